@@ -67,12 +67,76 @@ FROM events"""),
 }
 
 
+# Raw JSON log records for the normaliser (N1-N11, SRC4): one template per rule and trap of
+# SURVEY §2.2 (nested messages, key order, year-less and offset timestamps, epochs, wrong-typed
+# fields, metadata, container names and docker tags).  ``{u}`` is the event's user id.
+RAW_RECORD_TEMPLATES = [
+    '{"message": "Timeout user={u}", "level": "error", "timestamp": "2024-01-15T10:30:45.123", "service": "billing"}',
+    '{"log": "INFO:app:started {u}\\n", "container_name": "/ai-log-backend", "container_id": "abcdef1234567890", "time": "2024-01-15 10:31:00"}',
+    '{"msg": "", "text": "fallback text {u}", "@timestamp": "2024-01-15T10:30:45Z"}',
+    '{"message": "{\\"message\\": \\"nested hello service=inner{u}\\", \\"level\\": \\"warn\\"}", "tag": "docker.web"}',
+    '{"message": "{\\"log\\": \\"inner log line {u}\\"}", "tag": "host.x"}',
+    '{"message": "{\\"other\\": {u}}", "level": "WARNING"}',
+    '{"message": "Jan 15 10:30:45 host sshd[{u}]: accepted", "timestamp": "Jan 15 10:30:45", "log_type": "syslog"}',
+    '{"message": "2024-01-15 09:00:00 WARN disk {u}", "metadata": {"level": "debug", "service": "meta-svc", "n": {u}}}',
+    '{"message": "GET /a HTTP/1.1\\" 502 {u}", "timestamp": 1705312245.5, "level": ""}',
+    '{"text": "ERROR: Database connection failed {u}", "level": 5}',
+    '{"message": "plain message app=shop{u}", "metadata": "notadict"}',
+    '{"message": "User u{u}@example.com from 10.0.0.{u}:443 at 2024-01-16T08:00:00", "service": "api", "log_type": "json", "date": "2024-01-15T10:30:45+02:00"}',
+    '{"message": "Traceback (most recent call last):\\n  File \\"x.py\\", line {u}", "container_name": "worker", "metadata": {"level": "TRACE"}}',
+    '{"log": "kafka consumer lag {u}", "log_type": null, "metadata": null}',
+    '{"message": "[CRITICAL] out of memory component=core{u}", "level": "critical", "time": "2024-01-15T10:30:45"}',
+    '[1, 2, {u}]',
+]
+
+
+def _sql_literal(text: str, dialect: str) -> str:
+    if dialect == "spark":
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "'" + text.replace("'", "''") + "'"
+
+
+def raw_records_sql(dialect: str) -> str:
+    whens = []
+    for i, t in enumerate(RAW_RECORD_TEMPLATES):
+        parts = t.split("{u}")
+        pieces = []
+        for j, part in enumerate(parts):
+            if part:
+                pieces.append(_sql_literal(part, dialect))
+            if j < len(parts) - 1:
+                pieces.append("CAST(user_id AS STRING)")
+        whens.append(f"WHEN {i} THEN CONCAT({', '.join(pieces)})")
+    n = len(RAW_RECORD_TEMPLATES)
+    return (f"SELECT event_id AS rec_id, CASE event_id % {n} " + " ".join(whens[:-1])
+            + f" ELSE CONCAT({', '.join(_pieces_else(dialect))}) END AS value FROM events")
+
+
+def _pieces_else(dialect: str) -> list[str]:
+    parts = RAW_RECORD_TEMPLATES[-1].split("{u}")
+    out = []
+    for j, part in enumerate(parts):
+        if part:
+            out.append(_sql_literal(part, dialect))
+        if j < len(parts) - 1:
+            out.append("CAST(user_id AS STRING)")
+    return out
+
+
+VIEWS["raw_records"] = (("events",), raw_records_sql)
+
+
+def view_sql(name: str, dialect: str) -> str:
+    sql = VIEWS[name][1]
+    return sql(dialect) if callable(sql) else sql
+
+
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
     """Register the base parquet tables and the derived views as session temp views."""
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, (_, sql) in VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
+    for name in VIEWS:
+        spark.sql(view_sql(name, "spark")).createOrReplaceTempView(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +173,7 @@ def with_views(sql: str, *names: str) -> str:
         visit(n)
     if not order:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
+    ctes = ",\n".join(f"{n} AS ({view_sql(n, 'duckdb')}\n)" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
