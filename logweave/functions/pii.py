@@ -135,33 +135,77 @@ def _replacer(repl: Column):
     return f
 
 
-def recognise_steps(df: DataFrame, text_col: str, threshold: float = PII_CONFIDENCE_THRESHOLD,
-                    recognisers=None, prefix: str = "_pii") -> tuple[DataFrame, str, Column]:
-    """P5, the recogniser phase, as successive projections (one per recogniser).
-
-    Per recogniser: candidates by ``regexp_extract_all``; a candidate scores 1.0 when its
-    checksum holds (or the base score is 1.0), 0.75 with a context word, else the base score;
-    accepted candidates are replaced literally (longest first) by the type's placeholder.
-    Returns (frame, name of the redacted column, map entity -> count).
+def let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable and evaluate ``body(var)`` once per row.
+
+    ``transform(array(value), body)[1]``: the value is computed once and every reference inside
+    ``body`` reads the variable, so chained phases stay linear in size whatever the optimizer
+    does with the surrounding projections.
     """
-    cur = text_col
-    types, counts = [], []
-    for i, (entity, pattern, base, context, check) in enumerate(recognisers or RECOGNISERS):
-        s = F.col(cur)
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _recogniser_step(entity, pattern, base, context, check, threshold):
+    repl = F.lit(PLACEHOLDERS.get(entity, PLACEHOLDERS["DEFAULT"]))
+
+    def step(acc):
+        s = acc["t"]
         cands = F.regexp_extract_all(s, F.lit(pattern), 0)
         ctx = s.rlike("(?i)\\b(" + "|".join(context) + ")\\b") if context else F.lit(False)
-        keep_name = f"{prefix}_k{i}"
-        df = df.withColumn(keep_name, F.filter(cands, _accept(check, base, ctx, threshold)))
-        repl = F.lit(PLACEHOLDERS.get(entity, PLACEHOLDERS["DEFAULT"]))
-        ordered = F.array_sort(F.array_distinct(F.col(keep_name)), _longer_first)
-        nxt = f"{prefix}_t{i}"
-        df = df.withColumn(nxt, F.aggregate(ordered, s, _replacer(repl)))
-        types.append(entity)
-        counts.append(F.size(F.col(keep_name)))
-        cur = nxt
-    summary = F.map_filter(F.map_from_arrays(F.array(*[F.lit(t) for t in types]),
-                                             F.array(*counts)), _positive)
-    return df, cur, summary
+
+        def with_keep(keep):
+            ordered = F.array_sort(F.array_distinct(keep), _longer_first)
+            return F.struct(F.aggregate(ordered, s, _replacer(repl)).alias("t"),
+                            F.concat(acc["n"], F.array(F.size(keep))).alias("n"))
+        return let(F.filter(cands, _accept(check, base, ctx, threshold)), with_keep)
+    return step
+
+
+def redact(c: str | Column, threshold: float = PII_CONFIDENCE_THRESHOLD,
+           domains: list[str] | None = None, recognisers=None) -> Column:
+    """The full ordered pipeline P1 -> P2 -> P3 -> P4 -> P5 as one column.
+
+    Returns ``struct(text, entities MAP<STRING,INT>, pii_redacted)``; ``entities`` holds the
+    types with a positive count (P7).  Each phase reads the previous phase's text through a
+    lambda variable (see ``let``).
+    """
+    recognisers = recognisers or RECOGNISERS
+    hp = _host_pattern(domains or CLOUD_DOMAINS)
+
+    def phase1(x):
+        marked = F.regexp_replace(x, IP_PORT_PATTERN, f"[IP]{_MARK}$2{_MARK}")
+        out = F.regexp_replace(F.regexp_replace(marked, f"{_MARK}:[0-9]{{1,5}}{_MARK}", ":[PORT]"),
+                               f"{_MARK}{_MARK}", "")
+        return F.struct(out.alias("t"), F.array(F.regexp_count(x, F.lit(IP_PORT_PATTERN))).alias("n"))
+
+    def phase(pattern, placeholder):
+        def f(acc):
+            s = acc["t"]
+            return F.struct(F.regexp_replace(s, pattern, placeholder).alias("t"),
+                            F.concat(acc["n"], F.array(F.regexp_count(s, F.lit(pattern)))).alias("n"))
+        return f
+
+    r = let(F.coalesce(col(c), F.lit("")), phase1)
+    r = let(r, phase(UUID_PATTERN, "[UUID]"))
+    r = let(r, phase(hp, "[CLOUD_HOST]"))
+
+    def after_hosts(early):
+        kernel = is_kernel_log(early["t"])
+        rr = F.struct(early["t"].alias("t"), F.array().cast("array<int>").alias("n"))
+        for rec in recognisers:
+            rr = let(rr, _recogniser_step(*rec, threshold))
+
+        def finish(rec_out):
+            names = ["IP_ADDRESS", "UUID", "CLOUD_HOST"] + [x[0] for x in recognisers]
+            counts = F.when(kernel, F.concat(early["n"], F.array_repeat(F.lit(0), len(recognisers)))) \
+                .otherwise(F.concat(early["n"], rec_out["n"]))
+            ents = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]),
+                                                  counts.cast("array<int>")), _positive)
+            text = F.when(kernel, early["t"]).otherwise(rec_out["t"])
+            return F.struct(text.alias("text"), ents.alias("entities"),
+                            (F.size(ents) > 0).alias("pii_redacted"))
+        return let(rr, finish)
+    return let(r, after_hosts)
 
 
 def _positive(_, v):
@@ -171,34 +215,11 @@ def _positive(_, v):
 def redact_frame(df: DataFrame, text_col: str, out_col: str | None = None,
                  threshold: float = PII_CONFIDENCE_THRESHOLD,
                  domains: list[str] | None = None) -> DataFrame:
-    """The full ordered pipeline P1 -> P2 -> P3 -> P4 -> P5 on ``text_col``.
-
-    Adds ``out_col`` (default ``<text_col>_redacted``), ``pii_entities MAP<STRING,INT>``
-    (types with a positive count, P7) and ``pii_redacted``.  Each phase is a projection over
-    the previous one, so the plan stays one narrow codegen stage.
-    """
+    """P8 on a frame: adds ``out_col`` (default ``<text_col>_redacted``), ``pii_entities`` and
+    ``pii_redacted`` in one narrow projection."""
     out_col = out_col or f"{text_col}_redacted"
-    p = "_pii"
-    df = df.withColumn(f"{p}_s0", F.coalesce(F.col(text_col), F.lit("")))
-    s1, n_ip = redact_ip(f"{p}_s0")
-    df = df.withColumn(f"{p}_n1", n_ip).withColumn(f"{p}_s1", s1)
-    s2, n_uuid = redact_uuid(f"{p}_s1")
-    df = df.withColumn(f"{p}_n2", n_uuid).withColumn(f"{p}_s2", s2)
-    s3, n_host = redact_hosts(f"{p}_s2", domains)
-    df = df.withColumn(f"{p}_n3", n_host).withColumn(f"{p}_s3", s3)
-    df = df.withColumn(f"{p}_kernel", is_kernel_log(f"{p}_s3"))
-    df, last, rec = recognise_steps(df, f"{p}_s3", threshold, prefix=p)
-    early = F.map_filter(F.map_from_arrays(
-        F.array(F.lit("IP_ADDRESS"), F.lit("UUID"), F.lit("CLOUD_HOST")),
-        F.array(F.col(f"{p}_n1"), F.col(f"{p}_n2"), F.col(f"{p}_n3"))), _positive)
-    kernel = F.col(f"{p}_kernel")
-    ents = F.when(kernel, early).otherwise(F.map_concat(early, rec))
-    ents = F.transform_values(ents, _to_int)
-    df = df.withColumn(out_col, F.when(kernel, F.col(f"{p}_s3")).otherwise(F.col(last))) \
-        .withColumn("pii_entities", ents) \
-        .withColumn("pii_redacted", F.size("pii_entities") > 0)
-    return df.drop(*[c for c in df.columns if c.startswith(p + "_")])
-
-
-def _to_int(_, v):
-    return v.cast("int")
+    r = "_pii_r"
+    return df.withColumn(r, redact(text_col, threshold, domains)) \
+        .withColumn(out_col, F.col(f"{r}.text")) \
+        .withColumn("pii_entities", F.col(f"{r}.entities")) \
+        .withColumn("pii_redacted", F.col(f"{r}.pii_redacted")).drop(r)
