@@ -139,6 +139,22 @@ def q_u1(spark, sf_dir):
     return out.withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
+@register("Z5")
+def q_z5(spark, sf_dir):
+    """Isolation Forest over the whole vector table (rows-only; invariants in tests)."""
+    from ..operators.iforest import detect_iforest
+    s = detect_iforest(Tables(spark, sf_dir).vectors, None, contamination=0.1, n_trees=100, seed=42)
+    return s.select("log_id", "level", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+
+
+@register("Z7_iforest")
+def q_z7_iforest(spark, sf_dir):
+    """Forest scores for the FATAL logs against the whole population (rows-only)."""
+    t = Tables(spark, sf_dir)
+    r = A.score_logs(t.logs.filter(F.col("level") == "FATAL"), t.vectors, None, "iforest")
+    return r.select("log_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+
+
 @register("K1", f"""SELECT log_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {QUERY_ID})), 6) AS score
 FROM vectors WHERE level = 'ERROR' AND embedding IS NOT NULL

@@ -16,7 +16,7 @@ def test_level_service_golden(spark):
     meta = F.create_map(F.lit("level"), F.col("lvl2"))
     r = df.select(N.resolve_level("msg", meta, F.col("lvl")).alias("l"),
                   N.resolve_service("msg", None, None, None).alias("s")).collect()
-    assert [x.l for x in r] == ["ERROR", "ERROR", "ERROR", "CRITICAL", "WARN"]
+    assert [x.l for x in r] == ["ERROR", "INFO", "ERROR", "CRITICAL", "WARN"]
     assert r[1].s == "backend"
 
 
