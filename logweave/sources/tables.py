@@ -125,14 +125,35 @@ def _pieces_else(dialect: str) -> list[str]:
 
 VIEWS["raw_records"] = (("events",), raw_records_sql)
 
+# Model outputs for the triage parsers (T4, T5, T9): valid, partial and invalid JSON answers.
+VIEWS["verdicts"] = (("vectors",), """
+SELECT log_id, CASE WHEN log_id % 4 = 0 THEN 'not json'
+  WHEN log_id % 4 = 1 THEN CONCAT('{"is_anomaly": true, "confidence": 0.', CAST(log_id % 10 AS STRING), ', "reasoning": "burst on ', service, '"}')
+  WHEN log_id % 4 = 2 THEN '{"is_anomaly": false}'
+  ELSE CONCAT('{"confidence": "0.9", "reasoning": "level ', level, '"}') END AS response
+FROM vectors""")
+VIEWS["root_causes"] = (("vectors",), """
+SELECT log_id, CASE WHEN log_id % 3 = 0 THEN '{bad'
+  WHEN log_id % 3 = 1 THEN CONCAT('{"explanation": "spike in ', service, '", "root_causes": [{"hypothesis": "pool exhausted", "confidence": 0.8, "description": "too many connections"}, {"hypothesis": "slow db"}], "remediation_steps": [{"step": "raise pool", "priority": "HIGH", "description": "double it"}, {"step": "add index"}], "severity": "HIGH", "severity_reason": "payments affected"}')
+  ELSE '{"explanation": "minor", "severity_reason": "none"}' END AS response
+FROM vectors""")
+
 
 def view_sql(name: str, dialect: str) -> str:
     sql = VIEWS[name][1]
     return sql(dialect) if callable(sql) else sql
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the base parquet tables and the derived views as session temp views."""
+_REGISTERED: dict[int, str] = {}
+
+
+def register_tables(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
+    """Register the base parquet tables and the derived views as session temp views
+    (once per session and scale directory)."""
+    sid = id(spark._jsparkSession)
+    if not force and _REGISTERED.get(sid) == sf_dir and spark.catalog.tableExists("logs"):
+        return
+    _REGISTERED[sid] = sf_dir
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name in VIEWS:
