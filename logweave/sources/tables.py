@@ -125,6 +125,22 @@ def _pieces_else(dialect: str) -> list[str]:
 
 VIEWS["raw_records"] = (("events",), raw_records_sql)
 
+# Collector-format log lines (SRC3): syslog, nginx access and python logging lines built
+# from the logs view.
+VIEWS["log_lines"] = (("logs",), """
+SELECT log_id AS line_id, 'syslog' AS fmt, CONCAT('<', CAST(log_id % 192 AS STRING), '>Jan ', lpad(CAST(day(ts) AS STRING), 2, ' '), ' ',
+  lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0'), ':', lpad(CAST(CAST(floor(second(ts)) AS INT) AS STRING), 2, '0'),
+  ' host', CAST(log_id % 5 AS STRING), ' ', service, '[', CAST(log_id AS STRING), ']: ', message) AS line FROM logs
+UNION ALL
+SELECT log_id, 'nginx', CONCAT('10.0.', CAST(log_id % 7 AS STRING), '.', CAST(log_id % 250 AS STRING), ' - - [', lpad(CAST(day(ts) AS STRING), 2, '0'),
+  '/Jan/2024:', lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0'), ':',
+  lpad(CAST(CAST(floor(second(ts)) AS INT) AS STRING), 2, '0'), ' +0000] "GET /api/', service, ' HTTP/1.1" ',
+  CASE level WHEN 'ERROR' THEN '500' WHEN 'WARN' THEN '404' ELSE '200' END, ' ', CAST(length(message) AS STRING),
+  CASE WHEN level = 'DEBUG' THEN '' ELSE ' "-" "curl/8.0"' END) FROM logs
+UNION ALL
+SELECT log_id, 'python', CONCAT(CASE level WHEN 'WARN' THEN 'WARNING' WHEN 'FATAL' THEN 'CRITICAL' ELSE level END, ':', service, ':', message)
+FROM logs""")
+
 # Model outputs for the triage parsers (T4, T5, T9): valid, partial and invalid JSON answers.
 VIEWS["verdicts"] = (("vectors",), """
 SELECT log_id, CASE WHEN log_id % 4 = 0 THEN 'not json'
@@ -139,6 +155,35 @@ SELECT log_id, CASE WHEN log_id % 3 = 0 THEN '{bad'
 FROM vectors""")
 
 
+# Search-response pages (W1, W2): JSON bodies of <= 100 rows each, with wrong-typed fields,
+# non-object elements, a "logs" page instead of "results" and a non-array page.
+_API_ROW = """CONCAT('{"id": ', CASE WHEN log_id % 11 = 0 THEN 'null' ELSE CONCAT('"', CAST(log_id AS STRING), '"') END,
+  ', "level": ', CASE WHEN log_id % 7 = 0 THEN '123' ELSE CONCAT('"', level, '"') END,
+  ', "service": "', service, '", "message": "', message, '", "timestamp": ',
+  CASE WHEN log_id % 5 = 0 THEN 'null' ELSE '"2024-01-15T00:00:00"' END,
+  ', "is_anomaly": ', CASE WHEN log_id % 3 = 0 THEN 'true' ELSE '"no"' END,
+  ', "cluster_id": ', CASE WHEN log_id % 2 = 0 THEN CAST(log_id % 9 AS STRING) ELSE '"x"' END, '}')"""
+
+
+def api_pages_sql(dialect: str) -> str:
+    elem = f"CASE WHEN log_id % 13 = 0 THEN '42' ELSE {_API_ROW} END"
+    if dialect == "spark":
+        agg = "array_join(transform(array_sort(collect_list(struct(log_id, e))), x -> x.e), ', ')"
+    else:
+        agg = "string_agg(e, ', ' ORDER BY log_id)"
+    return f"""
+SELECT page_id, CASE
+  WHEN page_id % 10 = 3 THEN CONCAT('{{"logs": [', body, '], "total": ', CAST(n AS STRING), ', "limit": 100, "offset": 0}}')
+  WHEN page_id % 10 = 7 THEN '{{"results": "oops", "total": "many", "limit": 100}}'
+  WHEN page_id % 10 = 9 THEN '[1, 2]'
+  ELSE CONCAT('{{"results": [', body, '], "total": ', CAST(n AS STRING), ', "limit": 100, "offset": 0}}') END AS body
+FROM (SELECT CAST(floor(log_id / 100) AS BIGINT) AS page_id, {agg} AS body, COUNT(*) AS n
+      FROM (SELECT log_id, {elem} AS e FROM logs) GROUP BY CAST(floor(log_id / 100) AS BIGINT))"""
+
+
+VIEWS["api_pages"] = (("logs",), api_pages_sql)
+
+
 def view_sql(name: str, dialect: str) -> str:
     sql = VIEWS[name][1]
     return sql(dialect) if callable(sql) else sql
