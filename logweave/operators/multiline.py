@@ -191,17 +191,17 @@ def assemble_multiline(df: DataFrame, key_col: str = "src", time_col: str = "arr
     return assembled.unionByName(raw).withColumnRenamed("k", key_col)
 
 
-def simulate_sequential(lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
-                        max_lines: int = MAX_LINES) -> list[dict]:
-    """Slow sequential transcription of the four rules, for tests: ``lines`` = (key, t, seq,
-    line) tuples; returns the same records as ``assemble_multiline`` (drain at end)."""
+def apply_rules(bufs: dict, lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
+                max_lines: int = MAX_LINES, drain: bool = True) -> list[dict]:
+    """The four rules applied sequentially to ``lines`` = (key, t, seq, line) in the given
+    order, updating ``bufs`` (key -> {"lines": [(t, seq, line)], "last": t}).  Used by the
+    streaming processor (one key, one micro-batch) and as the test oracle."""
     import re
     new_re = re.compile(alternation(NEW_ENTRY_PATTERNS))
     cont_re = re.compile(alternation(CONTINUATION_PATTERNS))
     err_re = re.compile(alternation(ERROR_INDICATORS), re.M)
     open_re = re.compile(OPENER_START)
     out = []
-    bufs: dict = {}
 
     def flush(key):
         b = bufs.pop(key, None)
@@ -212,7 +212,7 @@ def simulate_sequential(lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
                         "end_ms": b["lines"][-1][0], "message": text, "line_count": len(b["lines"]),
                         "aggregated": True, "detected_error": err, "level": "ERROR" if err else None})
 
-    for key, t, q, line in sorted(lines, key=lambda r: (r[1], r[2])):
+    for key, t, q, line in lines:
         line = (line or "").rstrip("\n")
         if not line:
             continue
@@ -237,6 +237,14 @@ def simulate_sequential(lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
         else:
             out.append({"k": key, "first_seq": q, "start_ms": t, "end_ms": t, "message": line,
                         "line_count": 1, "aggregated": False, "detected_error": False, "level": None})
-    for key in list(bufs):
-        flush(key)
+    if drain:
+        for key in list(bufs):
+            flush(key)
     return out
+
+
+def simulate_sequential(lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
+                        max_lines: int = MAX_LINES) -> list[dict]:
+    """Slow sequential transcription of the four rules, for tests: ``lines`` = (key, t, seq,
+    line) tuples; returns the same records as ``assemble_multiline`` (drain at end)."""
+    return apply_rules({}, sorted(lines, key=lambda r: (r[1], r[2])), gap_ms, max_lines, drain=True)
