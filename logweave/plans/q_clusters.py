@@ -25,6 +25,20 @@ def _meta(t):
     return m.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
+@register("C1")
+def q_c1(spark, sf_dir):
+    """HDBSCAN over the whole vector table (rows-only; MST/core-distance invariants in tests)."""
+    from ..operators.hdbscan import hdbscan
+    return hdbscan(Tables(spark, sf_dir).vectors, min_cluster_size=5, min_samples=3)
+
+
+@register("C1_summary")
+def q_c1_summary(spark, sf_dir):
+    """C3 over the HDBSCAN assignment (rows-only)."""
+    from ..operators.hdbscan import hdbscan
+    return C.clustering_summary(hdbscan(Tables(spark, sf_dir).vectors, 5, 3))
+
+
 @register("C2", """SELECT log_id FROM vectors ORDER BY (log_id * 2654435761 + 42) % 4294967296, log_id LIMIT 100""",
           views=("vectors",))
 def q_c2(spark, sf_dir):
