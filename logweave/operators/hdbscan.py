@@ -100,14 +100,20 @@ def _resolve_parents(pairs: DataFrame) -> DataFrame:
         .select(F.col("a.comp").alias("comp"),
                 F.when((F.col("b.target") == F.col("a.comp")) & (F.col("a.comp") < F.col("a.target")),
                        F.col("a.comp")).otherwise(F.col("a.target")).alias("parent"))
-    p = p.checkpoint()
+    # Pointer jumping: O(log depth) joins; intermediate states are persisted (not
+    # checkpointed) because the lineage stays a few joins deep.
+    p = p.persist()
+    held = [p]
     while True:
         j = p.alias("x").join(p.alias("y"), F.col("x.parent") == F.col("y.comp"), "left") \
             .select(F.col("x.comp").alias("comp"), F.coalesce(F.col("y.parent"), F.col("x.parent")).alias("parent"),
-                    (F.coalesce(F.col("y.parent"), F.col("x.parent")) != F.col("x.parent")).alias("moved"))
-        j = j.checkpoint()
+                    (F.coalesce(F.col("y.parent"), F.col("x.parent")) != F.col("x.parent")).alias("moved")).persist()
+        held.append(j)
         if j.filter("moved").limit(1).count() == 0:
-            return j.select("comp", F.col("parent").alias("root"))
+            out = j.select("comp", F.col("parent").alias("root")).checkpoint()
+            for h in held:
+                h.unpersist()
+            return out
         p = j.select("comp", "parent")
 
 
@@ -276,7 +282,9 @@ def hdbscan(vec: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
     if not ensure:
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(vec.sparkSession)
-    v = valid_vectors(vec).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    # Materialised once (shared checkpoint dir): every Boruvka round re-reads the vectors.
+    v = valid_vectors(vec).select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v")) \
+        .checkpoint()
     if vb is None:
         d = len(v.select("v").first()[0]) if v.limit(1).count() else 1
         vb = max(1, math.ceil(v.count() / max(1, block_bytes // (8 * d))))
