@@ -126,6 +126,23 @@ def _is_json_object_text(c: Column) -> Column:
                       F.lit(False))
 
 
+def with_message_from(df, first_col: str, out_col: str = "message", keys: list[str] | None = None,
+                      depth: int = MESSAGE_NEST_DEPTH):
+    """N1 given the first-level value (``first_col``): nested JSON-object strings are searched
+    again, one projection per level."""
+    keys = keys or MESSAGE_KEYS
+    names = [first_col] + [f"_m{k}n" for k in range(1, depth + 1)]
+    for k in range(1, depth + 1):
+        prev = F.col(names[k - 1])
+        df = df.withColumn(names[k], F.when(_is_json_object_text(prev),
+                                            first_truthy(F.try_parse_json(prev), keys)))
+    out = F.coalesce(F.col(names[depth]), F.lit(""))
+    for k in range(depth - 1, -1, -1):
+        c = F.col(names[k])
+        out = F.when(c.isNull(), F.lit("")).when(~_is_json_object_text(c), c).otherwise(out)
+    return df.withColumn(out_col, out).drop(*names)
+
+
 def with_message(df, value_col: str = "value", out_col: str = "message",
                  keys: list[str] | None = None, depth: int = MESSAGE_NEST_DEPTH):
     """First truthy of message/log/msg/text; a value that is itself a JSON object string is

@@ -150,17 +150,33 @@ def _recogniser_step(entity, pattern, base, context, check, threshold):
 
     def step(acc):
         s = acc["t"]
-        cands = F.regexp_extract_all(s, F.lit(pattern), 0)
         ctx = s.rlike("(?i)\\b(" + "|".join(context) + ")\\b") if context else F.lit(False)
+        guard = _guard(entity, s, base, check, ctx, threshold)
+        cands = F.when(guard, F.regexp_extract_all(s, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
 
         def with_keep(keep):
             ordered = F.array_sort(F.array_distinct(keep), _longer_first)
-            return F.struct(F.aggregate(ordered, s, _replacer(repl)).alias("t"),
+            return F.struct(F.when(F.size(keep) > 0, F.aggregate(ordered, s, _replacer(repl))).otherwise(s).alias("t"),
                             F.concat(acc["n"], F.array(F.size(keep))).alias("n"))
         return let(F.filter(cands, _accept(check, base, ctx, threshold)), with_keep)
     return step
 
 
+def _guard(entity: str, s: Column, base: float, check, ctx: Column, threshold: float) -> Column:
+    """Cheap necessary condition for any candidate of a recogniser to be accepted, so the
+    (backtracking) pattern only runs on texts that can produce a hit.  Results are unchanged:
+    a candidate below the threshold without context or checksum is never kept."""
+    if base >= threshold:
+        return s.contains("@") if entity == "EMAIL_ADDRESS" else F.lit(True)
+    if check == "luhn":
+        return F.length(F.regexp_replace(s, "[^0-9]", "")) >= 13
+    if check == "mod97":
+        return s.rlike("[A-Z]{2}[0-9]{2}")
+    if 0.75 >= threshold:
+        return ctx
+    return F.lit(False)
+
+
 def redact(c: str | Column, threshold: float = PII_CONFIDENCE_THRESHOLD,
            domains: list[str] | None = None, recognisers=None) -> Column:
     """The full ordered pipeline P1 -> P2 -> P3 -> P4 -> P5 as one column.
@@ -178,16 +194,19 @@ def redact(c: str | Column, threshold: float = PII_CONFIDENCE_THRESHOLD,
                                f"{_MARK}{_MARK}", "")
         return F.struct(out.alias("t"), F.array(F.regexp_count(x, F.lit(IP_PORT_PATTERN))).alias("n"))
 
-    def phase(pattern, placeholder):
+    def phase(pattern, placeholder, guard_pattern=None, guard_literal=None):
         def f(acc):
             s = acc["t"]
-            return F.struct(F.regexp_replace(s, pattern, placeholder).alias("t"),
-                            F.concat(acc["n"], F.array(F.regexp_count(s, F.lit(pattern)))).alias("n"))
+            g = s.rlike(guard_pattern) if guard_pattern else (s.contains(guard_literal) if guard_literal else F.lit(True))
+            return F.struct(F.when(g, F.regexp_replace(s, pattern, placeholder)).otherwise(s).alias("t"),
+                            F.concat(acc["n"], F.array(F.when(g, F.regexp_count(s, F.lit(pattern))).otherwise(F.lit(0))))
+                            .alias("n"))
         return f
 
     r = let(F.coalesce(col(c), F.lit("")), phase1)
-    r = let(r, phase(UUID_PATTERN, "[UUID]"))
-    r = let(r, phase(hp, "[CLOUD_HOST]"))
+    r = let(r, phase(UUID_PATTERN, "[UUID]", guard_literal="-"))
+    dom = "|".join(d.replace(".", r"\.") for d in (domains or CLOUD_DOMAINS))
+    r = let(r, phase(hp, "[CLOUD_HOST]", guard_pattern=rf"(?i)\.({dom})"))
 
     def after_hosts(early):
         kernel = is_kernel_log(early["t"])

@@ -12,14 +12,60 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.common import col
-from ..functions.pii import redact_frame
+from ..functions.pii import let, redact_frame
 
 PROCESSED_COLUMNS = ["log_id", "timestamp", "level", "service", "message", "raw_log",
                      "metadata", "pii_redacted", "pii_entities", "reject_reason"]
 
 
-def _string_or_null(v: Column, key: str) -> Column:
-    t = N.vtype(v, key)
+PROBE_KEYS = list(dict.fromkeys(N.MESSAGE_KEYS + N.TIMESTAMP_KEYS +
+                                 ["container_name", "service", "tag", "level", "metadata", "log_type"]))
+_IDX = {k: i for i, k in enumerate(PROBE_KEYS)}
+
+
+def _probe(v: Column) -> Column:
+    """All field probes of a record, computed once: per key its JSON type, string value and
+    Python truthiness (the lambda variable keeps each probe from being re-evaluated)."""
+    raw = F.struct(
+        F.coalesce(F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("null")))).startswith("OBJECT"),
+                   F.lit(False)).alias("obj"),
+        *[N.vtype(v, k).alias(f"t{i}") for i, k in enumerate(PROBE_KEYS)],
+        *[N.vget(v, k).alias(f"s{i}") for i, k in enumerate(PROBE_KEYS)],
+        *[N.vget(v, k, "double").alias(f"d{i}") for i, k in enumerate(PROBE_KEYS)])
+
+    def finish(r):
+        cols = [r["obj"].alias("obj")]
+        for i in range(len(PROBE_KEYS)):
+            t, sv, d = r[f"t{i}"], r[f"s{i}"], r[f"d{i}"]
+            b = (F.when(t == "STRING", sv != "").when(t.isin(N.NUMERIC_TYPES), d != 0)
+                 .when(t == "BOOLEAN", sv == "true").when(t.isin("OBJECT", "ARRAY"), ~sv.isin("{}", "[]"))
+                 .otherwise(F.lit(False)))
+            cols += [t.alias(f"t{i}"), sv.alias(f"s{i}"), b.alias(f"b{i}")]
+        return F.struct(*cols)
+    return let(raw, finish)
+
+
+def _t(k):
+    return F.col(f"_p.t{_IDX[k]}")
+
+
+def _s(k):
+    return F.col(f"_p.s{_IDX[k]}")
+
+
+def _b(k):
+    return F.col(f"_p.b{_IDX[k]}")
+
+
+def _first(keys, what):
+    out = F.lit(None).cast("string")
+    for k in reversed(keys):
+        out = F.when(_b(k), what(k)).otherwise(out)
+    return out
+
+
+def _string_or_null(k: str) -> Column:
+    t = _t(k)
     return t.isNull() | t.isin("VOID", "STRING")
 
 
@@ -32,34 +78,42 @@ def normalize_records(raw: DataFrame, value_col: str = "value", as_of: Column |
     in a stream; a fixed literal in batch so reruns agree).  ``log_id`` is deterministic
     (B1): sha2 over ``id_cols`` (e.g. topic, partition, offset) or over the raw text.
     """
-    v = N.parse_record(value_col)
     now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else \
         (F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of)
-    df = raw.withColumn("_v", v)
+    df = raw.withColumn("_v", N.parse_record(value_col))
+    df = df.withColumn("_p", _probe(F.col("_v")))
     vv = F.col("_v")
-    is_obj = vv.isNotNull() & F.schema_of_variant(F.coalesce(vv, F.parse_json(F.lit("null")))).startswith("OBJECT")
-    meta_t = N.vtype(vv, "metadata")
-    svc_key = N.first_truthy_key(vv, ["container_name", "service", "tag"])
+    meta_t = _t("metadata")
+    svc_key = _first(["container_name", "service", "tag"], lambda k: F.lit(k))
     reject = (F.when(vv.isNull(), F.lit("invalid_json"))
-              .when(~is_obj, F.lit("not_object"))
-              .when(~_string_or_null(vv, "level"), F.lit("level_type"))
-              .when((svc_key == "container_name") & (N.vtype(vv, "container_name") != "STRING"),
-                    F.lit("service_type"))
-              .when((svc_key == "service") & (N.vtype(vv, "service") != "STRING"), F.lit("service_type"))
-              .when((svc_key == "tag") & (N.vtype(vv, "tag") != "STRING"), F.lit("service_type"))
-              .when(svc_key.isNull() & ~_string_or_null(vv, "service"), F.lit("service_type"))
+              .when(~F.col("_p.obj"), F.lit("not_object"))
+              .when(~_string_or_null("level"), F.lit("level_type"))
+              .when((svc_key == "container_name") & (_t("container_name") != "STRING"), F.lit("service_type"))
+              .when((svc_key == "service") & (_t("service") != "STRING"), F.lit("service_type"))
+              .when((svc_key == "tag") & (_t("tag") != "STRING"), F.lit("service_type"))
+              .when(svc_key.isNull() & ~_string_or_null("service"), F.lit("service_type"))
               .when(meta_t.isNotNull() & (meta_t != "OBJECT"), F.lit("metadata_type"))
-              .when(~_string_or_null(vv, "log_type"), F.lit("log_type_type")))
+              .when(~_string_or_null("log_type"), F.lit("log_type_type")))
     df = df.withColumn("reject_reason", reject)
-    df = N.with_message(df, value_col, "_msg")
-    df = N.with_timestamp_field(df, value_col, "_ts")
-    df = df.withColumn("_lvl", N.vget(vv, "level"))
-    extracted = N.extract_service_name(value_col, prefix)
-    raw_svc = N.vget(vv, "service")
-    df = df.withColumn("_svc", F.when(N.truthy(extracted), extracted).otherwise(raw_svc))
-    df = df.withColumn("_meta", F.when(meta_t == "OBJECT", F.from_json(N.vget(vv, "metadata"), "map<string,string>"))
+    # First level from the probes, nested levels re-parse the (rare) nested JSON text
+    df = df.withColumn("_m0", _first(N.MESSAGE_KEYS, _s))
+    df = N.with_message_from(df, "_m0", "_msg")
+    # N3/N4
+    ts_key = _first(N.TIMESTAMP_KEYS, lambda k: F.lit(k))
+    ts_text = _first(N.TIMESTAMP_KEYS, _s)
+    ts_type = _first(N.TIMESTAMP_KEYS, _t)
+    df = df.withColumn("_ts", F.when(ts_key.isNotNull() & (ts_type == "STRING"), N.parse_timestamp(ts_text)))
+    # N2
+    cn = _s("container_name")
+    cn_clean = F.regexp_replace(F.regexp_replace(cn, "^/", ""), "^" + prefix.replace(".", r"\."), "")
+    tag = _s("tag")
+    extracted = F.when(_b("container_name"), cn_clean).when(_b("service"), _s("service")) \
+        .when(_b("tag"), F.when(tag.startswith("docker."), F.substring(tag, 8, 1 << 30)))
+    df = df.withColumn("_lvl", _s("level"))
+    df = df.withColumn("_svc", F.when(N.truthy(extracted), extracted).otherwise(_s("service")))
+    df = df.withColumn("_meta", F.when(meta_t == "OBJECT", F.from_json(_s("metadata"), "map<string,string>"))
                        .otherwise(F.create_map().cast("map<string,string>")))
-    df = df.withColumn("_lt", N.vget(vv, "log_type"))
+    df = df.withColumn("_lt", _s("log_type"))
     df = df.withColumn("timestamp", N.resolve_timestamp(F.col("_ts"), F.col("_msg"), now))
     df = df.withColumn("level", N.resolve_level(F.col("_msg"), F.col("_meta"), F.col("_lvl")))
     df = df.withColumn("service", N.resolve_service(F.col("_msg"), F.col("_meta"), F.col("_lt"), F.col("_svc")))

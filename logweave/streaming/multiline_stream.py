@@ -3,8 +3,10 @@
 ``groupBy(key).transformWithStateInPandas``: per key, a bounded buffer (<= max_lines lines)
 lives in a RocksDB-backed ValueState.  Rows of one micro-batch are applied in (arrival time,
 seq) order, because messages of one container may sit on several input partitions.  Gaps are
-measured on the arrival-time column (so replays give the same records); a processing-time
-timer re-armed after every batch flushes a buffer that stays idle for ``gap_ms`` (M4 drain).
+measured on the arrival-time column (so replays give the same records); an event-time timer at
+(last arrival + ``gap_ms``) flushes a buffer once the watermark passes it (idle flush, M4
+drain).  Event time rather than wall-clock time keeps the output independent of scheduling:
+the records equal those of the batch operator M2.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def _processor_class():
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             k = key[0]
             lines, last = self._load()
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "q"])
+            batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "q"])[["t", "q", "line"]]
             state = {k: {"lines": [tuple(x) for x in lines], "last": last}} if lines else {}
             out = ML.apply_rules(state, [(k, int(r.t), int(r.q), r.line) for r in batch.itertuples()],
                                  self.gap_ms, self.max_lines, drain=False)
@@ -61,7 +63,7 @@ def _processor_class():
                 self.handle.deleteTimer(ts)
             if st and st["lines"]:
                 self.buf.update((json.dumps(st["lines"]), int(st["last"])))
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.gap_ms)
+                self.handle.registerTimer(int(st["last"]) + 1 + self.gap_ms + 1)
             else:
                 self.buf.clear()
             yield from self._emit(k, out)
@@ -82,14 +84,19 @@ def _processor_class():
 
 def assemble_multiline_stream(df: DataFrame, key_col: str = "src", time_col: str = "arrival_ms",
                               seq_col: str = "seq", line_col: str = "line",
-                              gap_ms: int = ML.FLUSH_TIMEOUT_MS, max_lines: int = ML.MAX_LINES) -> DataFrame:
-    """Streaming M3 over a stream with (key, arrival time, seq, line)."""
+                              gap_ms: int = ML.FLUSH_TIMEOUT_MS, max_lines: int = ML.MAX_LINES,
+                              lateness: str = "10 seconds") -> DataFrame:
+    """Streaming M3 over a stream with (key, arrival time in ms, seq, line); ``lateness`` is the
+    watermark delay tolerated for lines of one key arriving out of order."""
     spark = df.sparkSession
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = df.select(F.col(key_col).alias("k"), F.col(time_col).cast("bigint").alias("t"),
-                     F.col(seq_col).cast("bigint").alias("q"), F.col(line_col).alias("line"))
+                     F.col(seq_col).cast("bigint").alias("q"), F.col(line_col).alias("line"),
+                     # +1 ms: an event time equal to the initial watermark (epoch 0) counts as late
+                     F.timestamp_millis(F.col(time_col).cast("bigint") + 1).alias("et")) \
+        .withWatermark("et", lateness)
     proc = _processor_class()(gap_ms, max_lines)
     return rows.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=proc, outputStructType=OUT_SCHEMA, outputMode="Append", timeMode="ProcessingTime") \
+        statefulProcessor=proc, outputStructType=OUT_SCHEMA, outputMode="Append", timeMode="EventTime") \
         .withColumnRenamed("k", key_col)
