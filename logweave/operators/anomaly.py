@@ -8,6 +8,7 @@ narrow projection over the vector scan.  The level comes from a join with the lo
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,14 @@ def _with_level(df: DataFrame, logs: DataFrame | None) -> DataFrame:
     return base.join(logs.select("log_id", "level"), "log_id", "left")
 
 
+def _distance_table(vec: DataFrame, logs: DataFrame | None) -> DataFrame:
+    """(log_id, level, distance ...) without the vectors, persisted: the population statistics
+    and the scoring both read this small table instead of re-scanning the vectors (two passes
+    over the vectors in total: centroid, distances)."""
+    d = _with_level(centroid_distance(vec).drop("embedding"), logs)
+    return d.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def detect_zscore(vec: DataFrame, logs: DataFrame | None = None, threshold: float = 3.0,
                   weights: dict | None = None) -> DataFrame:
     """Z3: |d - mean| / std_pop(d) > threshold, then the level gate.
@@ -54,17 +63,17 @@ def detect_zscore(vec: DataFrame, logs: DataFrame | None = None, threshold: floa
     """
     if not 1.0 <= threshold <= 5.0:
         raise ValueError("threshold must be in 1..5")
-    d = centroid_distance(vec)
-    stats = d.agg(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s"),
-                  F.count(F.lit(1)).alias("n"))
-    m, s, n = (stats.select(c).scalar() for c in ("m", "s", "n"))
+    d = _distance_table(vec, logs)
+    st = d.agg(F.struct(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s"),
+                        F.count(F.lit(1)).alias("n")).alias("st")).select("st").scalar()
+    d = d.withColumn("_st", st)
+    m, s, n = F.col("_st.m"), F.col("_st.s"), F.col("_st.n")
     d = d.filter((n >= 2) & (s > 0))
-    d = _with_level(d.drop("embedding"), logs)
     z = F.abs((F.col("distance") - m) / s)
     w = level_weight("level", weights)
     return d.withColumn("anomaly_score", z) \
         .withColumn("is_anomaly", level_gate(z > F.lit(threshold), z, threshold, w)) \
-        .withColumn("detection_method", F.lit("Z-score"))
+        .withColumn("detection_method", F.lit("Z-score")).drop("_st")
 
 
 def detect_iqr(vec: DataFrame, logs: DataFrame | None = None, multiplier: float = 1.5,
@@ -74,27 +83,25 @@ def detect_iqr(vec: DataFrame, logs: DataFrame | None = None, multiplier: float
     ``approximate=True`` switches to ``percentile_approx`` for very large populations."""
     if not 0.5 <= multiplier <= 3.0:
         raise ValueError("multiplier must be in 0.5..3")
-    d = centroid_distance(vec)
+    d = _distance_table(vec, logs)
     if approximate:
-        qs = d.agg(F.percentile_approx("distance", [0.25, 0.75], 100000).alias("q"),
-                   F.count(F.lit(1)).alias("n"))
+        q = F.percentile_approx("distance", [0.25, 0.75], 100000)
     else:
-        qs = d.agg(F.percentile("distance", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-                   F.count(F.lit(1)).alias("n"))
-    q = qs.select("q").scalar()
-    n = qs.select("n").scalar()
-    q1, q3 = q[0], q[1]
+        q = F.percentile("distance", F.array(F.lit(0.25), F.lit(0.75)))
+    st = d.agg(F.struct(q.alias("q"), F.count(F.lit(1)).alias("n")).alias("st")).select("st").scalar()
+    d = d.withColumn("_st", st)
+    n = F.col("_st.n")
+    q1, q3 = F.col("_st.q")[0], F.col("_st.q")[1]
     iqr = q3 - q1
     lo, hi = q1 - F.lit(multiplier) * iqr, q3 + F.lit(multiplier) * iqr
     d = d.filter((n >= 4) & (iqr != 0))
-    d = _with_level(d.drop("embedding"), logs)
     dist = F.col("distance")
     score = F.when(dist < lo, (lo - dist) / iqr).when(dist > hi, (dist - hi) / iqr).otherwise(F.lit(0.0))
     stat = (dist < lo) | (dist > hi)
     w = level_weight("level", weights)
     return d.withColumn("anomaly_score", score) \
         .withColumn("is_anomaly", level_gate(stat, score, 1.0, w)) \
-        .withColumn("detection_method", F.lit("IQR"))
+        .withColumn("detection_method", F.lit("IQR")).drop("_st")
 
 
 def anomalies_only(scored: DataFrame) -> DataFrame:

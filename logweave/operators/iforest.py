@@ -157,11 +157,12 @@ def detect_iforest(vec: DataFrame, logs: DataFrame | None = None, contamination:
     if not 0.0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")   # B14: validated up front
     forest, psi = build_forest(vec, n_trees, seed, max_samples)
-    sc = score_forest(vec, forest, psi)
-    stats = sc.agg(F.percentile("score_samples", contamination).alias("offset"),
-                   F.median(-F.col("score_samples")).alias("med"))
-    offset = stats.select("offset").scalar()
-    med = stats.select("med").scalar()
+    from pyspark import StorageLevel
+    sc = score_forest(vec, forest, psi).persist(StorageLevel.MEMORY_AND_DISK)   # (id, score): small
+    st = sc.agg(F.struct(F.percentile("score_samples", contamination).alias("offset"),
+                         F.median(-F.col("score_samples")).alias("med")).alias("st")).select("st").scalar()
+    sc = sc.withColumn("_st", st)
+    offset, med = F.col("_st.offset"), F.col("_st.med")
     lv = valid_vectors(vec).select("log_id", *(["level"] if "level" in vec.columns else []))
     if logs is not None:
         lv = lv.select("log_id").join(logs.select("log_id", "level"), "log_id", "left")
@@ -172,4 +173,4 @@ def detect_iforest(vec: DataFrame, logs: DataFrame | None = None, contamination:
     w = level_weight("level", weights)
     return df.withColumn("anomaly_score", s) \
         .withColumn("is_anomaly", level_gate(F.col("score_samples") < offset, s, med, w)) \
-        .withColumn("detection_method", F.lit("IsolationForest"))
+        .withColumn("detection_method", F.lit("IsolationForest")).drop("_st")
