@@ -334,6 +334,15 @@ def q_r1(spark, sf_dir):
     return R.priority(Tables(spark, sf_dir).logs).select("log_id", "level")
 
 
+@register("R3", f"""SELECT log_id, CAST(ts AS DATE) AS day,
+  CAST(floor((row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, log_id) - 1) / 50) AS BIGINT) AS batch_no
+FROM logs WHERE {_PRIO}""", views=("logs",))
+def q_r3(spark, sf_dir):
+    """Size-bounded sub-batches (50 rows) of the priority track, numbered per day."""
+    lg = R.priority(Tables(spark, sf_dir).logs).withColumn("day", F.to_date("ts"))
+    return R.sub_batches(lg, 50, order_cols=("ts", "log_id"), partition_col="day").select("log_id", "day", "batch_no")
+
+
 @register("R5", f"""WITH z AS ({_zsql(2.0)})
 SELECT COUNT(*) AS processed, COUNT(z.log_id) AS embeddings_generated,
   COUNT(*) FILTER (WHERE COALESCE(z.is_anomaly, false)) AS anomalies_detected, CAST(0 AS BIGINT) AS errors
