@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,15 @@ def assemble_multiline(df: DataFrame, key_col: str = "src", time_col: str = "arr
                      F.col(q).cast("bigint").alias("q"), strip_line(F.col(line_col)).alias("line")) \
         .filter(F.col("line").isNotNull() & (F.col("line") != ""))
     rows = classify_lines(rows, "line").withColumn("b", F.floor(F.col("t") / bucket_ms).cast("bigint"))
+    # Each stage below reads the per-row frame several times (bucket aggregates joined back);
+    # persisting it at the stage boundaries keeps every branch from re-deriving it.
+    held = []
+
+    def keep(df):
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(df)
+        return df
+    rows = keep(rows)
     order = F.struct("t", "q")
 
     # --- gap to the previous line of the key -------------------------------------------------
@@ -126,7 +136,7 @@ def assemble_multiline(df: DataFrame, key_col: str = "src", time_col: str = "arr
         .withColumn("prev_t", F.coalesce("prev_t", "carry_t")).drop("carry_t")
     hard = (F.col("is_traceback") | (F.col("is_new_entry") & ~F.col("is_continuation"))
             | F.col("prev_t").isNull() | ((F.col("t") - F.col("prev_t")) > gap_ms))
-    rows = rows.withColumn("hard", hard)
+    rows = keep(rows.withColumn("hard", hard))
 
     # --- segment = latest hard start at or before the row -----------------------------------
     hard_o = F.when(F.col("hard"), order)
@@ -139,7 +149,7 @@ def assemble_multiline(df: DataFrame, key_col: str = "src", time_col: str = "arr
     # --- first opener of the segment; rows from it on form the group ------------------------
     firsts = rows.groupBy("k", "seg").agg(F.min(F.when(F.col("is_opener"), order)).alias("first_open"))
     rows = rows.join(firsts, ["k", "seg"], "left")
-    rows = rows.withColumn("grouped", F.col("first_open").isNotNull() & (order >= F.col("first_open")))
+    rows = keep(rows.withColumn("grouped", F.col("first_open").isNotNull() & (order >= F.col("first_open"))))
 
     grp = rows.filter("grouped")
     sizes = grp.groupBy("k", "seg").agg(F.count(F.lit(1)).alias("g_n"))
