@@ -76,7 +76,7 @@ def knn_join(queries: DataFrame, vec: DataFrame, k: int = 5, exclude_self: bool
     cand = vv.groupBy("vblk", "qblk").cogroup(qq.groupBy("vblk", "qblk")) \
         .applyInPandas(_topk_cell(k, exclude_self), OUT_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("neighbor_id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def semantic_search(logs: DataFrame, vec: DataFrame, anom: DataFrame, query,
@@ -91,7 +91,7 @@ def semantic_search(logs: DataFrame, vec: DataFrame, anom: DataFrame, query,
     """
     S._check_page(limit, offset)
     hits = knn(vec, query, k=limit + offset, level=level, service=service, min_score=min_score)
-    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "log_id")))
+    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "log_id")).cast("bigint"))
     hits = hits.filter(F.col("rank") > offset).select("log_id", "rank", "score")
     rows = logs.join(F.broadcast(hits), "log_id", "inner")
     rows = S.with_anomaly(rows, anom)

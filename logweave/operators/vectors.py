@@ -67,8 +67,8 @@ def vector_stats(vec: DataFrame, dim: int | None = None) -> DataFrame:
     size = F.size("embedding")
     aggs = [F.count(F.lit(1)).alias("points"),
             F.count_if(F.col("embedding").isNotNull()).alias("with_vector"),
-            F.min(F.when(F.col("embedding").isNotNull(), size)).alias("min_dim"),
-            F.max(F.when(F.col("embedding").isNotNull(), size)).alias("max_dim")]
+            F.min(F.when(F.col("embedding").isNotNull(), size)).cast("bigint").alias("min_dim"),
+            F.max(F.when(F.col("embedding").isNotNull(), size)).cast("bigint").alias("max_dim")]
     if dim is not None:
         aggs.append(F.count_if(F.col("embedding").isNotNull() & (size != dim)).alias("dim_mismatch"))
     return vec.agg(*aggs)

@@ -21,7 +21,7 @@ SELECT line_id, _s1_out AS text_redacted, n_ip AS ip_count FROM (
 def q_p1(spark, sf_dir):
     t = Tables(spark, sf_dir).pii_lines
     s, n = P.redact_ip("text")
-    return t.select("line_id", s.alias("text_redacted"), n.alias("ip_count"))
+    return t.select("line_id", s.alias("text_redacted"), n.cast("bigint").alias("ip_count"))
 
 
 @register("P1_docs", f"""SELECT doc_id, len(regexp_extract_all(text, {D.q(P.IP_PORT_PATTERN)})) AS ip_count
@@ -29,14 +29,14 @@ FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def q_p1_docs(spark, sf_dir):
     """IPv4 count over whole ASCII documents (RE2 and Java agree on \\b only for ASCII)."""
     d = Tables(spark, sf_dir).documents.filter(F.expr(ASCII_SPARK))
-    return d.select("doc_id", P.redact_ip("text")[1].alias("ip_count"))
+    return d.select("doc_id", P.redact_ip("text")[1].cast("bigint").alias("ip_count"))
 
 
 @register("P2", f"""SELECT line_id, regexp_replace(text, {D.q(P.UUID_PATTERN)}, '[UUID]', 'g') AS text_redacted,
   len(regexp_extract_all(text, {D.q(P.UUID_PATTERN)})) AS uuid_count FROM pii_lines""", views=("pii_lines",))
 def q_p2(spark, sf_dir):
     s, n = P.redact_uuid("text")
-    return Tables(spark, sf_dir).pii_lines.select("line_id", s.alias("text_redacted"), n.alias("uuid_count"))
+    return Tables(spark, sf_dir).pii_lines.select("line_id", s.alias("text_redacted"), n.cast("bigint").alias("uuid_count"))
 
 
 _HP = P._host_pattern(P.CLOUD_DOMAINS)
@@ -46,7 +46,7 @@ _HP = P._host_pattern(P.CLOUD_DOMAINS)
   len(regexp_extract_all(text, {D.q(_HP)})) AS host_count FROM pii_lines""", views=("pii_lines",))
 def q_p3(spark, sf_dir):
     s, n = P.redact_hosts("text")
-    return Tables(spark, sf_dir).pii_lines.select("line_id", s.alias("text_redacted"), n.alias("host_count"))
+    return Tables(spark, sf_dir).pii_lines.select("line_id", s.alias("text_redacted"), n.cast("bigint").alias("host_count"))
 
 
 @register("P4", f"""SELECT line_id, COALESCE(regexp_matches(text, {D.q('(?i)' + '|'.join(P.KERNEL_LOG_INDICATORS))}), false) AS is_kernel
@@ -67,7 +67,7 @@ def _p8(spark, sf_dir):
     e = F.col("pii_entities")
 
     def n(k):
-        return F.coalesce(F.element_at(e, F.lit(k)), F.lit(0))
+        return F.coalesce(F.element_at(e, F.lit(k)), F.lit(0)).cast("bigint")
     return r.select("line_id", "text_redacted", n("IP_ADDRESS").alias("ip_count"),
                     n("UUID").alias("uuid_count"), n("CLOUD_HOST").alias("host_count"),
                     n("EMAIL_ADDRESS").alias("email_count"), n("CREDIT_CARD").alias("card_count"),
@@ -90,7 +90,8 @@ SELECT line_id, k AS entity_type, v AS n FROM (
 def q_p7(spark, sf_dir):
     t = Tables(spark, sf_dir).pii_lines
     r = P.redact_frame(t, "text")
-    return r.select("line_id", F.explode("pii_entities").alias("entity_type", "n"))
+    return r.select("line_id", F.explode("pii_entities").alias("entity_type", "n")) \
+        .withColumn("n", F.col("n").cast("bigint"))
 
 
 @register("P9", f"""WITH {D.pii_ctes('pii_lines', 'text')},

@@ -62,7 +62,7 @@ def q_z3_t3(spark, sf_dir):
 SELECT dim, round(m, 6) AS mean FROM cen""", views=("vectors",))
 def q_z1(spark, sf_dir):
     r = A.centroid_rows(Tables(spark, sf_dir).vectors)
-    return r.select("dim", F.round("mean", 6).alias("mean"))
+    return r.select(F.col("dim").cast("bigint").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
 @register("Z2", f"WITH {_CEN} SELECT log_id, round(distance, 6) AS distance FROM d", views=("vectors",))
@@ -184,7 +184,7 @@ def q_k3(spark, sf_dir):
 
 
 @register("K4", """WITH n AS (SELECT log_id, list_transform(embedding, lambda x: -x) AS embedding, level FROM vectors WHERE level = 'ERROR')
-SELECT log_id, level, round(embedding[1], 6) AS e0 FROM (
+SELECT log_id, level, round(CAST(embedding[1] AS DOUBLE), 6) AS e0 FROM (
   SELECT v.log_id, v.embedding, v.level FROM vectors v WHERE v.log_id NOT IN (SELECT log_id FROM n)
   UNION ALL SELECT * FROM n)""", views=("vectors",))
 def q_k4(spark, sf_dir):
