@@ -27,6 +27,7 @@ def _probe(v: Column) -> Column:
     """All field probes of a record, computed once: per key its JSON type, string value and
     Python truthiness (the lambda variable keeps each probe from being re-evaluated)."""
     raw = F.struct(
+        v.isNull().alias("isnull"),
         F.coalesce(F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("null")))).startswith("OBJECT"),
                    F.lit(False)).alias("obj"),
         *[N.vtype(v, k).alias(f"t{i}") for i, k in enumerate(PROBE_KEYS)],
@@ -35,13 +36,29 @@ def _probe(v: Column) -> Column:
 
     def finish(r):
         cols = [r["obj"].alias("obj")]
-        for i in range(len(PROBE_KEYS)):
-            t, sv, d = r[f"t{i}"], r[f"s{i}"], r[f"d{i}"]
-            b = (F.when(t == "STRING", sv != "").when(t.isin(N.NUMERIC_TYPES), d != 0)
-                 .when(t == "BOOLEAN", sv == "true").when(t.isin("OBJECT", "ARRAY"), ~sv.isin("{}", "[]"))
-                 .otherwise(F.lit(False)))
-            cols += [t.alias(f"t{i}"), sv.alias(f"s{i}"), b.alias(f"b{i}")]
-        return F.struct(*cols)
+        t, sv, b = {}, {}, {}
+        for i, k in enumerate(PROBE_KEYS):
+            t[k], sv[k], d = r[f"t{i}"], r[f"s{i}"], r[f"d{i}"]
+            b[k] = (F.when(t[k] == "STRING", sv[k] != "").when(t[k].isin(N.NUMERIC_TYPES), d != 0)
+                    .when(t[k] == "BOOLEAN", sv[k] == "true").when(t[k].isin("OBJECT", "ARRAY"), ~sv[k].isin("{}", "[]"))
+                    .otherwise(F.lit(False)))
+            cols += [t[k].alias(f"t{i}"), sv[k].alias(f"s{i}"), b[k].alias(f"b{i}")]
+        # B6 checks inside the same binding: a pushed-down filter on the reason then evaluates
+        # the probes once, not once per referenced field.
+        svc_key = F.when(b["container_name"], "container_name").when(b["service"], "service").when(b["tag"], "tag")
+
+        def str_or_null(k):
+            return t[k].isNull() | t[k].isin("VOID", "STRING")
+        reject = (F.when(r["isnull"], F.lit("invalid_json"))
+                  .when(~r["obj"], F.lit("not_object"))
+                  .when(~str_or_null("level"), F.lit("level_type"))
+                  .when((svc_key == "container_name") & (t["container_name"] != "STRING"), F.lit("service_type"))
+                  .when((svc_key == "service") & (t["service"] != "STRING"), F.lit("service_type"))
+                  .when((svc_key == "tag") & (t["tag"] != "STRING"), F.lit("service_type"))
+                  .when(svc_key.isNull() & ~str_or_null("service"), F.lit("service_type"))
+                  .when(t["metadata"].isNotNull() & (t["metadata"] != "OBJECT"), F.lit("metadata_type"))
+                  .when(~str_or_null("log_type"), F.lit("log_type_type")))
+        return F.struct(*cols, reject.alias("reject"))
     return let(raw, finish)
 
 
@@ -82,18 +99,8 @@ def normalize_records(raw: DataFrame, value_col: str = "value", as_of: Column |
         (F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of)
     df = raw.withColumn("_v", N.parse_record(value_col))
     df = df.withColumn("_p", _probe(F.col("_v")))
-    vv = F.col("_v")
     meta_t = _t("metadata")
-    svc_key = _first(["container_name", "service", "tag"], lambda k: F.lit(k))
-    reject = (F.when(vv.isNull(), F.lit("invalid_json"))
-              .when(~F.col("_p.obj"), F.lit("not_object"))
-              .when(~_string_or_null("level"), F.lit("level_type"))
-              .when((svc_key == "container_name") & (_t("container_name") != "STRING"), F.lit("service_type"))
-              .when((svc_key == "service") & (_t("service") != "STRING"), F.lit("service_type"))
-              .when((svc_key == "tag") & (_t("tag") != "STRING"), F.lit("service_type"))
-              .when(svc_key.isNull() & ~_string_or_null("service"), F.lit("service_type"))
-              .when(meta_t.isNotNull() & (meta_t != "OBJECT"), F.lit("metadata_type"))
-              .when(~_string_or_null("log_type"), F.lit("log_type_type")))
+    reject = F.col("_p.reject")
     df = df.withColumn("reject_reason", reject)
     # First level from the probes, nested levels re-parse the (rare) nested JSON text
     df = df.withColumn("_m0", _first(N.MESSAGE_KEYS, _s))
