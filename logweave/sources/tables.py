@@ -199,6 +199,8 @@ def register_tables(spark: SparkSession, sf_dir: str, force: bool = False) -> No
     if not force and _REGISTERED.get(sid) == sf_dir and spark.catalog.tableExists("logs"):
         return
     _REGISTERED[sid] = sf_dir
+    # The log tables carry naive UTC datetimes; bucketing casts go through the session zone.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name in VIEWS:
