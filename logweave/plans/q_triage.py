@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters as C
 from ..operators import knn as KN
 from ..operators import triage as T
 from ..sources.tables import Tables
@@ -177,5 +176,3 @@ def q_t10(spark, sf_dir):
     ids = t.logs.filter(F.col("level").isin("ERROR", "FATAL"))
     return T.route_context(ids, t.anomalies, clu)
 
-
-_unused = (C,)

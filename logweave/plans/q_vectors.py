@@ -9,7 +9,6 @@ from ..operators import anomaly as A
 from ..operators import embed as EM
 from ..operators import knn as KN
 from ..operators import routing as R
-from ..operators import search as S
 from ..operators import upsert as U
 from ..operators import vectors as VE
 from ..sources.tables import Tables
@@ -356,5 +355,3 @@ def q_r5(spark, sf_dir):
         .withColumn("error", F.lit(None).cast("string"))
     return R.batch_outcome(b)
 
-
-_unused = (S,)
