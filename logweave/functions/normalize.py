@@ -80,8 +80,8 @@ def vget(v: Column, key: str, typ: str = "string") -> Column:
 def vtype(v: Column, key: str) -> Column:
     """JSON type of a field: OBJECT, ARRAY, STRING, BIGINT, DOUBLE, BOOLEAN, VOID or NULL."""
     sub = F.try_variant_get(v, _path(key), "variant")
-    return F.when(sub.isNull(), F.lit(None)).otherwise(
-        F.regexp_extract(F.schema_of_variant(sub), r"^([A-Z]+)", 1))
+    # "DECIMAL(2,1)" / "OBJECT<...>" / "STRING" -> leading type word (no regex)
+    return F.when(sub.isNotNull(), F.substring_index(F.substring_index(F.schema_of_variant(sub), "<", 1), "(", 1))
 
 
 def truthy(c: Column) -> Column:

@@ -32,13 +32,14 @@ def _probe(v: Column) -> Column:
                    F.lit(False)).alias("obj"),
         *[N.vtype(v, k).alias(f"t{i}") for i, k in enumerate(PROBE_KEYS)],
         *[N.vget(v, k).alias(f"s{i}") for i, k in enumerate(PROBE_KEYS)],
-        *[N.vget(v, k, "double").alias(f"d{i}") for i, k in enumerate(PROBE_KEYS)])
+        v.alias("v"))
 
     def finish(r):
         cols = [r["obj"].alias("obj")]
         t, sv, b = {}, {}, {}
         for i, k in enumerate(PROBE_KEYS):
-            t[k], sv[k], d = r[f"t{i}"], r[f"s{i}"], r[f"d{i}"]
+            t[k], sv[k] = r[f"t{i}"], r[f"s{i}"]
+            d = N.vget(r["v"], k, "double")      # only evaluated for numeric fields
             b[k] = (F.when(t[k] == "STRING", sv[k] != "").when(t[k].isin(N.NUMERIC_TYPES), d != 0)
                     .when(t[k] == "BOOLEAN", sv[k] == "true").when(t[k].isin("OBJECT", "ARRAY"), ~sv[k].isin("{}", "[]"))
                     .otherwise(F.lit(False)))
