@@ -10,3 +10,15 @@ plans/      the registered query catalogue (Spark plans + DuckDB oracle SQL)
 """
 
 __version__ = "0.1.0"
+
+# Functions handed to applyInPandas / mapInPandas / transformWithStateInPandas live in this
+# package; pickling them by value lets executors run them without the package installed
+# (cluster jobs otherwise need --py-files).
+try:  # pragma: no cover - depends on the PySpark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
