@@ -258,6 +258,36 @@ def q_e2(spark, sf_dir):
     return misses
 
 
+@register("E2_hits", f"""WITH p AS (SELECT log_id, message AS text, sha256(message) AS text_hash FROM logs WHERE {_PRIO}),
+cache AS (SELECT sha256(message) AS text_hash, CAST(floor(length(message) / 4) AS BIGINT) AS tokens
+          FROM logs WHERE level = 'ERROR' AND ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1, 2)
+SELECT p.log_id, p.text_hash, cache.tokens FROM p JOIN cache ON cache.text_hash = p.text_hash""", views=("logs",))
+def q_e2_hits(spark, sf_dir):
+    """Cache hits reuse the cached entry (joined by content hash)."""
+    lg = Tables(spark, sf_dir).logs
+    texts = R.priority(lg).select("log_id", F.col("message").alias("text"))
+    cache = EM.estimate_cost(lg.filter((F.col("level") == "ERROR") & (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")))
+                             .select(F.col("message").alias("text")), "text") \
+        .select(EM.text_hash("text").alias("text_hash"), "tokens").distinct()
+    hits, _ = EM.split_cached(texts, cache)
+    return hits.select("log_id", "text_hash", "tokens")
+
+
+@register("Q7_semantic", f"""SELECT v.log_id, l.level, substring(l.message, 1, 200) AS message,
+  round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {QUERY_ID})), 6) AS score
+FROM vectors v JOIN logs l ON l.log_id = v.log_id WHERE v.embedding IS NOT NULL
+ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {QUERY_ID})) DESC, v.log_id
+LIMIT 100""", views=("vectors", "logs"))
+def q_q7_semantic(spark, sf_dir):
+    """Analyst semantic search: no filters, at most 100 hits, message cut at 200."""
+    t = Tables(spark, sf_dir)
+    qv = t.embeddings.filter(F.col("vec_id") == QUERY_ID).select("embedding").scalar()
+    hits = VE.knn(t.vectors, qv, k=100).select("log_id", "score")
+    rows = t.logs.select("log_id", "level", F.substring("message", 1, 200).alias("message")) \
+        .join(F.broadcast(hits), "log_id", "inner")
+    return rows.select("log_id", "level", "message", F.round("score", 6).alias("score"))
+
+
 @register("E3", f"""SELECT service, CAST(SUM(floor(length(message) / 4)) AS BIGINT) AS tokens,
   round(SUM(floor(length(message) / 4) / 1e6 * 0.02), 9) AS cost_usd FROM logs WHERE {_PRIO} GROUP BY service""",
           views=("logs",))
