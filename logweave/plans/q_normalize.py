@@ -55,8 +55,9 @@ _N5_TS = f"CASE WHEN {D.ts_is_string(V)} THEN {D.parse_ts(D.pick_ts(V))} END"
 @register("N5", f"""WITH {_RECS}, {D.message_ctes('recs')}
 SELECT rec_id, {D.resolve_ts(_N5_TS, 'message', AS_OF)} AS resolved_ts FROM msg""", views=("raw_records",))
 def q_n5(spark, sf_dir):
-    df = N.with_message(N.with_timestamp_field(_records(spark, sf_dir), "value", "_ts"), "value", "_msg")
-    return df.select("rec_id", N.resolve_timestamp(F.col("_ts"), F.col("_msg"), F.lit(AS_OF)).alias("resolved_ts"))
+    # The normaliser's probe-once path (unused columns such as the redacted message are pruned).
+    out = normalize_records(_records(spark, sf_dir), as_of=AS_OF, id_cols=["rec_id"])
+    return out.select("rec_id", F.col("timestamp").alias("resolved_ts"))
 
 
 @register("N6", f"SELECT line_id, {D.resolve_level('message', 'NULL', 'level')} AS resolved_level FROM raw_lines",
