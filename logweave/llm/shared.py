@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,15 @@ def rows_of(batches: Iterable, *columns: str):
         picked = [batch.column(c) for c in columns]
         for i in range(batch.num_rows):
             yield tuple(c[i].as_py() for c in picked)
+
+
+def once(key: tuple, make: Callable):
+    """A value built once in each Python process.
+
+    This package's functions are shipped by value, so their globals live no longer than a
+    task; what is costly to open is kept with the interpreter instead.
+    """
+    held = sys.__dict__.setdefault("_logweave_once", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
