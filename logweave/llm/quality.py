@@ -1,10 +1,13 @@
 """Quality by weak supervision: rules vote or abstain, EM weighs them (op 3, native).
 
-Every rule looks at one property of a text and votes good, votes bad or abstains.  The votes
-of the corpus are counted by pattern (at most 3^rules patterns, whatever the corpus size) and
-expectation-maximisation over those counts estimates, for each rule, how often it votes each
-way on good and on bad texts, and the share of good texts.  A document is kept if its posterior
-probability of being good is at least one half, and it passes the base conditions.
+Every rule looks at one property of a text.  Defect rules vote bad where they see their defect
+and abstain elsewhere (a text without capitals-only lines is not good for that); support rules
+vote good or abstain.  The votes of the corpus are counted by pattern (at most 2^rules patterns,
+whatever the corpus size) and expectation-maximisation over those counts estimates how often
+each rule votes on good and on bad texts, hence its accuracy, and the share of good texts.  The
+estimates are drawn towards a prior by a fixed share, so that rare defects stay defects in small
+and large corpora alike.  A document is kept if its posterior probability of being good is at
+least one half, and it passes the base conditions.
 
 Only built-in functions run: one scan computes the features, which are written once; the
 pattern counts are one small aggregate; each EM step is an aggregate over the pattern table
@@ -18,7 +21,7 @@ doc_ids each keep a row; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,10 @@ SYMBOLS = "[#*$%&|<>]"
 STEPS = 40
 TOLERANCE = 1e-6
 GOOD, BAD = 1, -1
+#: How far estimates are drawn towards the prior, and the prior rates of voting on (good, bad) texts.
+PRIOR_SHARE = 0.3
+PRIOR_GOOD = 0.8
+PRIOR = {BAD: (0.005, 0.25), GOOD: (0.95, 0.5)}
 
 #: Frequent function words (English, German, French, Spanish).
 FUNCTION_WORDS = (
@@ -110,83 +117,73 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
 
 
-def _vote(value: Column, good: Column, bad: Column) -> Column:
-    """A null value abstains, as does one that meets neither condition."""
-    return F.when(value.isNull(), 0).when(bad, BAD).when(good, GOOD).otherwise(0)
-
-
-def votes() -> dict[str, Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains."""
+def rules() -> dict[str, tuple[int, Column]]:
+    """Each rule's side and the condition on which it votes; it abstains on any other value."""
     symbols, marks = _share("q_n_symbols", "q_n_words"), _share("q_n_marks", "q_n_words")
     repeats, doubled = _share("q_n_repeat_words", "q_n_words"), _share("q_n_dup_lines", "q_n_lines")
     capitals, function = _share("q_n_upper", "q_word_chars"), _share("q_n_function", "q_n_words")
     length, closed = _share("q_word_chars", "q_n_words"), _share("q_n_closed", "q_n_lines")
     return {
-        "symbols": _vote(symbols, symbols < 0.05, symbols > 0.25),
-        "marks": _vote(marks, marks < 0.1, marks > 0.4),
-        "repeats": _vote(repeats, repeats < 0.05, repeats > 0.2),
-        "lines": _vote(doubled, (doubled == 0) & (F.col("q_n_lines") > 1), doubled > 0.3),
-        "capitals": _vote(capitals, capitals < 0.2, capitals > 0.5),
-        "function": _vote(function, function > 0.1, F.lit(False)),
-        "length": _vote(length, length.between(3, 9), ~length.between(2, 14)),
-        "closed": _vote(closed, closed > 0.7, closed < 0.1),
+        "symbols": (BAD, symbols > 0.25), "marks": (BAD, marks > 0.4), "repeats": (BAD, repeats > 0.3),
+        "lines": (BAD, doubled > 0.5), "capitals": (BAD, capitals > 0.5), "length": (BAD, ~length.between(2, 14)),
+        "function": (GOOD, function > 0.05), "closed": (GOOD, closed >= 0.5),
     }
 
 
+def votes() -> dict[str, Column]:
+    """Each rule's vote: 1 good, -1 bad, 0 abstains."""
+    return {name: F.when(condition, side).otherwise(0) for name, (side, condition) in rules().items()}
+
+
 @dataclass
 class Model:
-    """P(good), and for each rule P(vote | good) and P(vote | bad) of the votes (bad, none, good)."""
+    """P(good), and for each rule how often it votes on good and on bad texts."""
 
-    good: float = 0.8
-    given_good: dict[str, tuple[float, float, float]] = field(default_factory=dict)
-    given_bad: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    sides: dict[str, int]
+    good: float
+    on_good: dict[str, float]
+    on_bad: dict[str, float]
 
     @classmethod
-    def first(cls, rules) -> Model:
-        return cls(0.8, dict.fromkeys(rules, (0.05, 0.25, 0.7)), dict.fromkeys(rules, (0.4, 0.35, 0.25)))
+    def first(cls, sides: dict[str, int]) -> Model:
+        return cls(sides, PRIOR_GOOD, {r: PRIOR[s][0] for r, s in sides.items()}, {r: PRIOR[s][1] for r, s in sides.items()})
 
     def posterior(self, vote) -> Column:
         """P(good | votes); ``vote(rule)`` is the rule's vote column."""
         logit = F.lit(math.log(self.good / (1 - self.good)))
-        for rule, good in self.given_good.items():
-            bad = self.given_bad[rule]
-            weigh = [F.lit(math.log(g / b)) for g, b in zip(good, bad, strict=True)]
-            v = vote(rule)
-            logit = logit + F.when(v == BAD, weigh[0]).when(v == GOOD, weigh[2]).otherwise(weigh[1])
+        for rule, g in self.on_good.items():
+            b = self.on_bad[rule]
+            logit = logit + F.when(vote(rule) != 0, math.log(g / b)).otherwise(math.log((1 - g) / (1 - b)))
         return 1 / (1 + F.exp(-logit))
 
     def accuracy(self, rule: str) -> float:
         """Share of a rule's votes that are right."""
-        g, b = self.given_good[rule], self.given_bad[rule]
-        right = self.good * g[2] + (1 - self.good) * b[0]
-        return right / (right + self.good * g[0] + (1 - self.good) * b[2])
+        on = (1 - self.good) * self.on_bad[rule], self.good * self.on_good[rule]
+        return on[self.sides[rule] == GOOD] / sum(on)
 
 
-def estimate(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Model:
+def estimate(patterns: DataFrame, sides: dict[str, int], steps: int = STEPS) -> Model:
     """EM over ``patterns(<rule>..., n)``; stops when no estimate moves by ``TOLERANCE``."""
-    model = Model.first(rules)
+    model = prior = Model.first(sides)
     for _ in range(steps):
-        p = model.posterior(F.col)
-        weighed = patterns.select("n", *rules, p.alias("p"))
+        weighed = patterns.select("n", *sides, model.posterior(F.col).alias("p"))
         sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("p")).alias("good")]
-        for rule in rules:
-            for vote in (BAD, 0, GOOD):
-                hit = F.when(F.col(rule) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(hit).alias(f"{rule}{vote}"), F.sum(hit * F.col("p")).alias(f"{rule}{vote}_good")]
+        for rule in sides:
+            hit = F.when(F.col(rule) != 0, F.col("n")).otherwise(0)
+            sums += [F.sum(hit).alias(f"{rule}_all"), F.sum(hit * F.col("p")).alias(f"{rule}_good")]
         row = weighed.agg(*sums).first()
         if not row["all"]:
             return model
         whole, good = float(row["all"]), float(row["good"])
 
-        def rates(rule: str, of_good: bool, total: float) -> tuple:
-            hits = [row[f"{rule}{v}_good"] if of_good else row[f"{rule}{v}"] - row[f"{rule}{v}_good"] for v in (BAD, 0, GOOD)]
-            return tuple(round((float(h) + 1) / (total + 3), 12) for h in hits)  # one pseudo-count a vote
+        def rate(hits: float, total: float, before: float) -> float:
+            return round((1 - PRIOR_SHARE) * (hits + 1) / (total + 2) + PRIOR_SHARE * before, 12)
 
-        new = Model(round((good + 1) / (whole + 2), 12), {r: rates(r, True, good) for r in rules},
-                    {r: rates(r, False, whole - good) for r in rules})
-        moved = max([abs(new.good - model.good)]
-                    + [abs(a - b) for r in rules for x, y in ((new.given_good, model.given_good), (new.given_bad, model.given_bad))
-                       for a, b in zip(x[r], y[r], strict=True)])
+        new = Model(sides, round((good + 1) / (whole + 2), 12),
+                    {r: rate(row[f"{r}_good"], good, prior.on_good[r]) for r in sides},
+                    {r: rate(row[f"{r}_all"] - row[f"{r}_good"], whole - good, prior.on_bad[r]) for r in sides})
+        moved = max([abs(new.good - model.good), *(abs(new.on_good[r] - model.on_good[r]) for r in sides),
+                     *(abs(new.on_bad[r] - model.on_bad[r]) for r in sides)])
         model = new
         if moved < TOLERANCE:
             break
@@ -195,11 +192,11 @@ def estimate(patterns: DataFrame, rules: list[str], steps: int = STEPS) -> Model
 
 def _judged(measured: DataFrame) -> tuple[DataFrame, Model]:
     """``measured`` with its votes (``q_vote_<rule>``), and the model of its corpus."""
-    rules = votes()
-    voted = measured.withColumns({f"q_vote_{r}": v for r, v in rules.items()})
-    counted = (voted.where("q_n_words > 0").groupBy(*[F.col(f"q_vote_{r}").alias(r) for r in rules])
+    sides = {name: side for name, (side, _) in rules().items()}
+    voted = measured.withColumns({f"q_vote_{r}": v for r, v in votes().items()})
+    counted = (voted.where("q_n_words > 0").groupBy(*[F.col(f"q_vote_{r}").alias(r) for r in sides])
                .agg(F.count(F.lit(1)).alias("n")))
-    return voted, estimate(materialise(counted.coalesce(1), "votes"), list(rules))
+    return voted, estimate(materialise(counted.coalesce(1), "votes"), sides)
 
 
 def _verdict(model: Model) -> tuple[Column, Column]:

@@ -68,27 +68,37 @@ def test_verdicts(assessed):
 
 
 def test_em_matches_plain_em(spark):
-    import math
-    patterns = [(1, 1, 1, 400), (1, 0, 1, 90), (-1, -1, 0, 60), (-1, 1, -1, 25), (0, -1, -1, 30), (1, -1, 1, 8)]
-    rules = ["a", "b", "c"]
-    model = quality.estimate(spark.createDataFrame(patterns, "a int, b int, c int, n long"), rules, steps=7)
-    good, gg, gb = 0.8, {r: [.05, .25, .7] for r in rules}, {r: [.4, .35, .25] for r in rules}
+    patterns = [(0, 0, 1, 400), (0, 0, 0, 90), (-1, -1, 0, 60), (-1, 0, 0, 25), (0, -1, 0, 30), (-1, 0, 1, 8)]
+    sides = {"a": -1, "b": -1, "c": 1}
+    model = quality.estimate(spark.createDataFrame(patterns, "a int, b int, c int, n long"), sides, steps=7)
+    good, prior = 0.8, {-1: (0.005, 0.25), 1: (0.95, 0.5)}
+    rates = {r: prior[s] for r, s in sides.items()}
     for _ in range(7):
         posts = []
-        for *vs, n in patterns:
+        for *vs, _n in patterns:
             a, b = good, 1 - good
-            for r, v in zip(rules, vs):
-                a, b = a * gg[r][v + 1], b * gb[r][v + 1]
+            for r, v in zip(sides, vs):
+                a, b = a * (rates[r][0] if v else 1 - rates[r][0]), b * (rates[r][1] if v else 1 - rates[r][1])
             posts.append(a / (a + b))
         total, mass = sum(p[-1] for p in patterns), sum(p[-1] * q for p, q in zip(patterns, posts))
         good = (mass + 1) / (total + 2)
-        for k, r in enumerate(rules):
-            gg[r] = [(sum(p[-1] * q for p, q in zip(patterns, posts) if p[k] == v) + 1) / (mass + 3) for v in (-1, 0, 1)]
-            gb[r] = [(sum(p[-1] * (1 - q) for p, q in zip(patterns, posts) if p[k] == v) + 1) / (total - mass + 3) for v in (-1, 0, 1)]
-    assert math.isclose(model.good, good, rel_tol=1e-6)
-    for r in rules:
-        assert model.given_good[r] == pytest.approx(gg[r], rel=1e-6)
-        assert model.given_bad[r] == pytest.approx(gb[r], rel=1e-6)
+        for k, (r, s) in enumerate(sides.items()):
+            on = sum(p[-1] * q for p, q in zip(patterns, posts) if p[k]), sum(p[-1] * (1 - q) for p, q in zip(patterns, posts) if p[k])
+            rates[r] = tuple(0.7 * (n + 1) / (m + 2) + 0.3 * prior[s][i] for i, (n, m) in enumerate(zip(on, (mass, total - mass))))
+    assert model.good == pytest.approx(good, rel=1e-6)
+    for r in sides:
+        assert (model.on_good[r], model.on_bad[r]) == pytest.approx(rates[r], rel=1e-6)
+    assert model.accuracy("b") > 0.9
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_against_the_given_labels(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    got = {r.doc_id: r for r in quality.assess(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    clean = [got[r.doc_id].kept for r in labels if r.quality == 1 and not got[r.doc_id].base_failed]
+    junk = [got[r.doc_id].kept for r in labels if r.quality == 0]
+    assert sum(clean) / len(clean) >= 0.99 and sum(junk) / len(junk) <= 0.05
 
 
 def test_keep_filters_rows_and_keeps_columns(spark, assessed):
