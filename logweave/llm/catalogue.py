@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, simhash, warc
+from . import bpe, language, packing, page_text, prefix_forest, quality, secrets, simhash, surrogates, warc
 from .shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_warc"] = warc.ROUND_TRIP_SQL
+
+
+@query
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+#: The key of the registered query; a real corpus takes its own from where secrets are kept.
+SURROGATE_KEY = "registered query"
+
+
+@query
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.query_rows(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+@query
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read_table(spark, sf_dir, "pages"))
