@@ -19,7 +19,6 @@ MESSAGE_KEYS = ["message", "log", "msg", "text"]
 ASSEMBLER_LINE_KEYS = ["log", "message", "msg", "text"]
 TIMESTAMP_KEYS = ["@timestamp", "timestamp", "time", "date"]
 CONTAINER_PREFIX = "ai-log-"
-MESSAGE_NEST_DEPTH = 3
 
 # Level patterns matched at the start of the upper-cased message, per level.
 LEVEL_START_PATTERNS = {
@@ -119,48 +118,63 @@ def first_truthy(v: Column, keys: list[str]) -> Column:
     return out
 
 
+def shown_number(d: Column) -> Column:
+    """A double as the message shows it: shortest digits, a fraction always, exponents (two
+    digits at least) only below 1e-4 and from 1e16."""
+    plain = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_replace(F.regexp_replace(d.cast("string"), r"\.0E", "E"), r"E(-?)(\d)$", "E$10$2")
+    power = F.regexp_replace(F.regexp_replace(power, r"E(\d)", "e+$1"), "E-", "e-")
+    return F.when((d == 0) | F.abs(d).between(1e-4, 9.999999999999999e15), plain).otherwise(power)
+
+
+def shown_text(text: Column, kind: Column, number: Column) -> Column:
+    """Text of a message field: strings as they are, fractional numbers and booleans as shown."""
+    return (F.when(kind == "BOOLEAN", F.initcap(text))
+            .when(kind.isin("DOUBLE", "FLOAT", "DECIMAL"), shown_number(number)).otherwise(text))
+
+
+def first_message(v: Column, keys: list[str]) -> Column:
+    """Text of the first truthy message field."""
+    out = F.lit(None).cast("string")
+    for k in reversed(keys):
+        out = F.when(field_truthy(v, k), shown_text(vget(v, k), vtype(v, k), vget(v, k, "double"))).otherwise(out)
+    return out
+
+
 def _is_json_object_text(c: Column) -> Column:
     nested = F.try_parse_json(c)
-    return F.coalesce(F.ltrim(c).startswith("{") & nested.isNotNull() &
+    return F.coalesce(F.ltrim(c, F.lit(" \t\n\r\x0b\x0c")).startswith("{") & nested.isNotNull() &
                       F.schema_of_variant(F.coalesce(nested, F.parse_json(F.lit("0")))).startswith("OBJECT"),
                       F.lit(False))
 
 
-def with_message_from(df, first_col: str, out_col: str = "message", keys: list[str] | None = None,
-                      depth: int = MESSAGE_NEST_DEPTH):
-    """N1 given the first-level value (``first_col``): nested JSON-object strings are searched
-    again, one projection per level."""
-    keys = keys or MESSAGE_KEYS
-    names = [first_col] + [f"_m{k}n" for k in range(1, depth + 1)]
-    for k in range(1, depth + 1):
-        prev = F.col(names[k - 1])
-        df = df.withColumn(names[k], F.when(_is_json_object_text(prev),
-                                            first_truthy(F.try_parse_json(prev), keys)))
-    out = F.coalesce(F.col(names[depth]), F.lit(""))
-    for k in range(depth - 1, -1, -1):
-        c = F.col(names[k])
-        out = F.when(c.isNull(), F.lit("")).when(~_is_json_object_text(c), c).otherwise(out)
-    return df.withColumn(out_col, out).drop(*names)
-
-
-def with_message(df, value_col: str = "value", out_col: str = "message",
-                 keys: list[str] | None = None, depth: int = MESSAGE_NEST_DEPTH):
-    """First truthy of message/log/msg/text; a value that is itself a JSON object string is
-    searched again (first present key wins, no fall-through: a nested object without a message
-    key gives "").  Unrolled to ``depth`` levels, one projection per level so that every
-    probe is computed once."""
+def unnested_message(first: Column, keys: list[str] | None = None) -> Column:
+    """N1 given the first-level text: a JSON-object string is searched again, as deep as it goes
+    (the first present key wins; an object without a message key gives "").
+
+    A level inside another doubles the backslashes before its quotes, so a text of n characters
+    holds at most log2(n) + 2 levels; that many steps lose none.
+    """
     keys = keys or MESSAGE_KEYS
-    names = [f"_m{k}" for k in range(depth + 1)]
-    df = df.withColumn(names[0], first_truthy(parse_record(value_col), keys))
-    for k in range(1, depth + 1):
-        prev = F.col(names[k - 1])
-        df = df.withColumn(names[k], F.when(_is_json_object_text(prev),
-                                            first_truthy(F.try_parse_json(prev), keys)))
-    out = F.coalesce(F.col(names[depth]), F.lit(""))
-    for k in range(depth - 1, -1, -1):
-        c = F.col(names[k])
-        out = F.when(c.isNull(), F.lit("")).when(~_is_json_object_text(c), c).otherwise(out)
-    return df.withColumn(out_col, out).drop(*names)
+    levels = F.sequence(F.lit(1), (F.floor(F.log2(F.length(first))) + 2).cast("int"))
+
+    def step(text: Column, _: Column) -> Column:
+        return F.when(_is_json_object_text(text), F.coalesce(first_message(F.try_parse_json(text), keys), F.lit(""))) \
+            .otherwise(text)
+
+    return F.when(first.isNull(), F.lit("")) \
+        .when(_is_json_object_text(first), F.aggregate(levels, first, step)).otherwise(first)
+
+
+def with_message_from(df, first_col: str, out_col: str = "message", keys: list[str] | None = None):
+    """N1 over a column that holds the first-level text, which is dropped."""
+    return df.withColumn(out_col, unnested_message(F.col(first_col), keys)).drop(first_col)
+
+
+def with_message(df, value_col: str = "value", out_col: str = "message", keys: list[str] | None = None):
+    """First truthy of message/log/msg/text, nested JSON objects searched again."""
+    df = df.withColumn("_m0", first_message(parse_record(value_col), keys or MESSAGE_KEYS))
+    return with_message_from(df, "_m0", out_col, keys)
 
 
 def extract_service_name(raw: str | Column, prefix: str = CONTAINER_PREFIX) -> Column:
@@ -214,13 +228,14 @@ def parse_timestamp(c: str | Column, default_year: int = 1900) -> Column:
     Python gives 1900, ``default_year`` overrides).
     """
     s = col(c)
-    iso = s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$")
-    spaced = s.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")
-    syslog = s.rlike(r"^[A-Za-z]{3} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}$")
+    # Fields but the year may have one digit; white space in a format stands for any amount.
+    iso = s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$")
+    spaced = s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$")
+    syslog = s.rlike(r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$")
+    single = F.regexp_replace(s, r"\s+", " ")
     syslog_ts = F.try_to_timestamp(
-        F.concat(F.lit(f"{default_year:04d} "), F.regexp_replace(F.initcap(s), "  ", " ")),
-        F.lit("yyyy MMM d HH:mm:ss"))
-    return F.when(iso | spaced, s.try_cast("timestamp_ntz")) \
+        F.concat(F.lit(f"{default_year:04d} "), F.initcap(single)), F.lit("yyyy MMM d H:m:s"))
+    return F.when(iso | spaced, single.try_cast("timestamp_ntz")) \
         .when(syslog, syslog_ts.cast("timestamp_ntz"))
 
 

@@ -22,6 +22,8 @@ The group assembly is a grouped aggregate of at most ``max_lines`` lines per gro
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -201,60 +203,50 @@ def assemble_multiline(df: DataFrame, key_col: str = "src", time_col: str = "arr
     return assembled.unionByName(raw).withColumnRenamed("k", key_col)
 
 
-def apply_rules(bufs: dict, lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
-                max_lines: int = MAX_LINES, drain: bool = True) -> list[dict]:
-    """The four rules applied sequentially to ``lines`` = (key, t, seq, line) in the given
-    order, updating ``bufs`` (key -> {"lines": [(t, seq, line)], "last": t}).  Used by the
-    streaming processor (one key, one micro-batch) and as the test oracle."""
-    import re
-    new_re = re.compile(alternation(NEW_ENTRY_PATTERNS))
-    cont_re = re.compile(alternation(CONTINUATION_PATTERNS))
-    err_re = re.compile(alternation(ERROR_INDICATORS), re.M)
-    open_re = re.compile(OPENER_START)
-    out = []
-
-    def flush(key):
-        b = bufs.pop(key, None)
-        if b and b["lines"]:
-            text = "\n".join(x[2] for x in b["lines"])
-            err = bool(err_re.search(text))
-            out.append({"k": key, "first_seq": b["lines"][0][1], "start_ms": b["lines"][0][0],
-                        "end_ms": b["lines"][-1][0], "message": text, "line_count": len(b["lines"]),
-                        "aggregated": True, "detected_error": err, "level": "ERROR" if err else None})
-
-    for key, t, q, line in lines:
-        line = (line or "").rstrip("\n")
-        if not line:
-            continue
-        b = bufs.get(key)
-        if b and b["lines"] and t - b["last"] > gap_ms:
-            flush(key)
-            b = None
-        is_new, is_cont = bool(new_re.match(line)), bool(cont_re.match(line))
-        if TRACEBACK_TEXT in line:
-            flush(key)
-            bufs[key] = {"lines": [(t, q, line)], "last": t}
-            continue
-        if b and b["lines"] and (is_cont or not is_new):
-            b["lines"].append((t, q, line))
-            b["last"] = t
-            if len(b["lines"]) >= max_lines:
-                flush(key)
-            continue
-        flush(key)
-        if err_re.search(line) or open_re.match(line):
-            bufs[key] = {"lines": [(t, q, line)], "last": t}
-        else:
-            out.append({"k": key, "first_seq": q, "start_ms": t, "end_ms": t, "message": line,
-                        "line_count": 1, "aggregated": False, "detected_error": False, "level": None})
-    if drain:
-        for key in list(bufs):
-            flush(key)
-    return out
-
-
-def simulate_sequential(lines: list[tuple], gap_ms: int = FLUSH_TIMEOUT_MS,
-                        max_lines: int = MAX_LINES) -> list[dict]:
-    """Slow sequential transcription of the four rules, for tests: ``lines`` = (key, t, seq,
-    line) tuples; returns the same records as ``assemble_multiline`` (drain at end)."""
-    return apply_rules({}, sorted(lines, key=lambda r: (r[1], r[2])), gap_ms, max_lines, drain=True)
+def assemble_lines(times: list[int], seqs: list[int], lines: list[str], gap_ms: int = FLUSH_TIMEOUT_MS,
+                   max_lines: int = MAX_LINES, closed: bool = True) -> tuple[list[dict], int]:
+    """Records of one key's lines in arrival order, cut by position; for one micro-batch.
+
+    All lines are classified first.  Hard starts (as in the batch form) bound the segments; in
+    each, chunks of at most ``max_lines`` begin at the first opener not yet covered and what no
+    chunk covers passes through.  Unless the input is ``closed``, a chunk that reaches the end
+    and still has room is held back: the second result is where it starts (the number of lines
+    if none does).
+    """
+    size = len(lines)
+    if not size:
+        return [], 0
+    def seen(pattern: str, flags: int = 0) -> np.ndarray:
+        search = re.compile(pattern, flags).search
+        return np.array([search(line) is not None for line in lines])
+
+    trace = np.array([TRACEBACK_TEXT in line for line in lines])
+    fresh = seen(alternation(NEW_ENTRY_PATTERNS)) & ~seen(alternation(CONTINUATION_PATTERNS))
+    gaps = np.diff(np.asarray(times, dtype=np.int64), prepend=times[0])
+    hard = trace | fresh | (gaps > gap_ms)
+    hard[0] = True
+    openers = np.flatnonzero(trace | seen(alternation(ERROR_INDICATORS), re.M) | seen(OPENER_START))
+
+    spans, held = [], size
+    bounds = [*np.flatnonzero(hard).tolist(), size]
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        at = begin
+        while at < end:
+            nth = np.searchsorted(openers, at)
+            chunk = min(int(openers[nth]), end) if nth < len(openers) else end
+            spans += [(n, n + 1, False) for n in range(at, chunk)]
+            at = min(chunk + max_lines, end)
+            if chunk < end:
+                if at == size and at - chunk < max_lines and not closed:
+                    held = chunk
+                else:
+                    spans.append((chunk, at, True))
+    return [_record(times, seqs, lines, *span) for span in spans], held
+
+
+def _record(times, seqs, lines, begin: int, end: int, joined: bool) -> dict:
+    message = "\n".join(lines[begin:end])
+    failed = joined and re.search(alternation(ERROR_INDICATORS), message, re.M) is not None
+    return {"first_seq": seqs[begin], "start_ms": times[begin], "end_ms": times[end - 1], "message": message,
+            "line_count": end - begin, "aggregated": joined, "detected_error": failed,
+            "level": "ERROR" if failed else None}

@@ -44,6 +44,8 @@ def _probe(v: Column) -> Column:
                     .when(t[k] == "BOOLEAN", sv[k] == "true").when(t[k].isin("OBJECT", "ARRAY"), ~sv[k].isin("{}", "[]"))
                     .otherwise(F.lit(False)))
             cols += [t[k].alias(f"t{i}"), sv[k].alias(f"s{i}"), b[k].alias(f"b{i}")]
+            if k in N.MESSAGE_KEYS:
+                cols.append(N.shown_text(sv[k], t[k], d).alias(f"m{i}"))
         # B6 checks inside the same binding: a pushed-down filter on the reason then evaluates
         # the probes once, not once per referenced field.
         svc_key = F.when(b["container_name"], "container_name").when(b["service"], "service").when(b["tag"], "tag")
@@ -82,11 +84,6 @@ def _first(keys, what):
     return out
 
 
-def _string_or_null(k: str) -> Column:
-    t = _t(k)
-    return t.isNull() | t.isin("VOID", "STRING")
-
-
 def normalize_records(raw: DataFrame, value_col: str = "value", as_of: Column | str | None = None,
                       id_cols: list[str] | None = None, prefix: str = N.CONTAINER_PREFIX,
                       redact: bool = True) -> DataFrame:
@@ -104,7 +101,7 @@ def normalize_records(raw: DataFrame, value_col: str = "value", as_of: Column |
     reject = F.col("_p.reject")
     df = df.withColumn("reject_reason", reject)
     # First level from the probes, nested levels re-parse the (rare) nested JSON text
-    df = df.withColumn("_m0", _first(N.MESSAGE_KEYS, _s))
+    df = df.withColumn("_m0", _first(N.MESSAGE_KEYS, lambda k: F.col(f"_p.m{_IDX[k]}")))
     df = N.with_message_from(df, "_m0", "_msg")
     # N3/N4
     ts_key = _first(N.TIMESTAMP_KEYS, lambda k: F.lit(k))

@@ -93,7 +93,9 @@ def search_compact(logs: DataFrame, query: str | None = None, level: str | None
                    service: str | None = None, start_time=None, end_time=None,
                    limit: int = 20) -> DataFrame:
     """Q7: analyst search — newest by event time, at most 100 rows, message cut at 200."""
-    n = max(1, min(int(limit), 100))
+    n = int(limit)
+    if not 1 <= n <= 100:
+        raise ValueError("limit must be 1 to 100")
     df = search(logs, query=query, level=level, service=service,
                 start_time=start_time, end_time=end_time)
     return df.orderBy(F.col("ts").desc(), F.col("log_id").desc()).limit(n).select(

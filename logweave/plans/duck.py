@@ -47,7 +47,7 @@ def _obj_text(x: str) -> str:
     return f"(ltrim({x}) LIKE '{{%' AND {is_object(x)})"
 
 
-def message_ctes(src: str, value: str = "value", keys=None, depth: int = N.MESSAGE_NEST_DEPTH,
+def message_ctes(src: str, value: str = "value", keys=None, depth: int = 3,
                  out: str = "message", name: str = "msg") -> str:
     """CTE chain ending in ``name`` = ``src`` plus the extracted message column ``out``."""
     keys = keys or N.MESSAGE_KEYS

@@ -8,6 +8,7 @@ codegen); times are parsed with ``try_to_timestamp`` so that bad values give NUL
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,15 +92,19 @@ def enrich_by_tag(df: DataFrame, tag_col: str = "tag", fields: tuple[str, ...] =
 
 def read_log_files(spark: SparkSession, paths: list[str] | str, stream: bool = False,
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC2: text log files (batch or tailing stream), one row per line with path and tag."""
-    paths = [paths] if isinstance(paths, str) else paths
+    """SRC2: text log files (batch or tailing stream), one row per line with path and tag.
+
+    A stream is the union of one file source a path."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
     if stream:
-        r = spark.readStream.format("text")
-        if max_files_per_trigger:
-            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-        df = r.load(paths[0])
+        def tail(one: str) -> DataFrame:
+            r = spark.readStream.format("text")
+            if max_files_per_trigger:
+                r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+            return r.load(one).select("value", "_metadata")
+        df = reduce(DataFrame.unionByName, map(tail, paths))
     else:
-        df = spark.read.text(paths)
+        df = spark.read.text(paths).select("value", "_metadata")
     path = F.col("_metadata.file_path")
     tag = F.lit(None).cast("string")
     parser = F.lit(None).cast("string")
@@ -112,15 +117,18 @@ def read_log_files(spark: SparkSession, paths: list[str] | str, stream: bool = F
 def read_raw_stream(spark: SparkSession, opts: dict | None = None) -> DataFrame:
     """SRC1: raw-log stream.  Kafka (topic ``logs-raw``, earliest offsets, bounded records per
     trigger) when the connector is on the classpath; ``opts['format']`` selects a file source
-    (json/text lines) for tests.  Output: value STRING, topic, partition, offset, ingest_ts."""
+    (json/text lines) for tests.  Output: value STRING, topic, partition, offset, ingest_ts.
+
+    Offsets that have expired stop the stream (the connector's ``failOnDataLoss`` stays on unless
+    given).  For files, ``partition`` is the file with the start of the block read and ``offset`` is
+    null; ``line_places`` numbers the lines of a micro-batch, so that the three name one line."""
     opts = dict(opts or {})
     fmt = opts.pop("format", "kafka")
     if fmt == "kafka":
         r = spark.readStream.format("kafka") \
             .option("subscribe", opts.pop("topic", "logs-raw")) \
             .option("startingOffsets", opts.pop("startingOffsets", "earliest")) \
-            .option("maxOffsetsPerTrigger", opts.pop("maxOffsetsPerTrigger", 10000)) \
-            .option("failOnDataLoss", "false")
+            .option("maxOffsetsPerTrigger", opts.pop("maxOffsetsPerTrigger", 10000))
         for k, v in opts.items():
             r = r.option(k, v)
         df = r.load()
@@ -132,7 +140,13 @@ def read_raw_stream(spark: SparkSession, opts: dict | None = None) -> DataFrame:
         r = r.option(k, v)
     df = r.load(path)
     return df.select(F.col("value"), F.lit("file").alias("topic"),
-                     F.col("_metadata.file_path").alias("partition"),
-                     F.col("_metadata.file_modification_time").cast("long").alias("offset"),
+                     F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("partition"),
+                     F.lit(None).cast("bigint").alias("offset"),
                      F.current_timestamp().cast("timestamp_ntz").alias("ingest_ts"))
 
+
+def line_places(batch: DataFrame) -> DataFrame:
+    """A micro-batch of ``read_raw_stream`` with null offsets filled: the line's place in the task
+    that reads its block.  A block is read by one task, so no two lines share all three columns."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return batch.withColumn("offset", F.coalesce(F.col("offset"), place))

@@ -37,10 +37,15 @@ def write_processed(df: DataFrame, path: str | None = None, epoch_id: int | None
 
 
 def append_logs(df: DataFrame, table_path: str, epoch_id: int, created_at=None) -> None:
-    """SNK2: append processed logs stamped with ``created_at``, partitioned by ingest date."""
+    """SNK2: append processed logs stamped with ``created_at`` and its ``ingest_date``.
+
+    The table is partitioned by ``epoch_id`` alone: a micro-batch that is run again replaces its
+    own partition, also if the date has changed in between.  Readers skip files of other dates by
+    the statistics of ``ingest_date``, which is constant within a partition.
+    """
     ts = F.current_timestamp().cast("timestamp_ntz") if created_at is None else \
         F.lit(created_at).cast("timestamp_ntz")
     out = df.withColumn("created_at", ts).withColumn("ingest_date", F.to_date("created_at")) \
         .withColumn("epoch_id", F.lit(int(epoch_id)))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("ingest_date", "epoch_id").parquet(table_path)
+        .partitionBy("epoch_id").parquet(table_path)

@@ -10,21 +10,30 @@ Every write is keyed by the epoch id, so a retried batch overwrites its own outp
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embed as EM
 from ..operators.normalize import normalize_records, split_rejected
 from ..operators.routing import priority
 from ..sources import sinks
+from ..sources.logfiles import line_places
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder is there; any other fault of the store is raised."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def process_batch(batch: DataFrame, epoch_id: int, out_dir: str, as_of=None,
                   embed_fn=None, levels=None) -> dict:
     spark = batch.sparkSession
-    norm = normalize_records(batch, "value", as_of=as_of,
-                             id_cols=["topic", "partition", "offset"]
-                             if {"topic", "partition", "offset"} <= set(batch.columns) else None)
+    place = ["topic", "partition", "offset"]
+    placed = set(place) <= set(batch.columns)
+    norm = normalize_records(line_places(batch) if placed else batch, "value", as_of=as_of,
+                             id_cols=place if placed else None)
     norm = norm.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ok, rejected = split_rejected(norm)
@@ -36,10 +45,8 @@ def process_batch(batch: DataFrame, epoch_id: int, out_dir: str, as_of=None,
             .option("partitionOverwriteMode", "dynamic").partitionBy("epoch_id").parquet(f"{out_dir}/quarantine")
         prio = priority(ok, levels).select(F.col("log_id"), F.col("message").alias("text"))
         cache_path = f"{out_dir}/embedding_cache"
-        try:
-            cache = spark.read.parquet(cache_path).filter(F.col("epoch_id") != epoch_id).select("text_hash")
-        except Exception:  # noqa: BLE001 - first batch: no cache yet
-            cache = spark.createDataFrame([], "text_hash string")
+        cache = spark.read.parquet(cache_path).filter(F.col("epoch_id") != epoch_id).select("text_hash") \
+            if exists(spark, cache_path) else spark.createDataFrame([], "text_hash string")
         _, misses = EM.split_cached(prio, cache)
         emb = EM.embed(misses, embed_fn, as_of=as_of).withColumn("epoch_id", F.lit(epoch_id))
         emb.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \

@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from logweave.operators import multiline as ML
 
@@ -14,10 +17,65 @@ def _run(spark, rows, **kw):
                     r["detected_error"]) for r in out])
 
 
+def walk(rows, gap_ms=2000, max_lines=100):
+    """The rules read line by line: what a line does to the buffer of its key."""
+    def any_of(patterns, flags=0):
+        return re.compile("|".join(f"(?:{p})" for p in patterns), flags)
+
+    fresh, more = any_of(ML.NEW_ENTRY_PATTERNS), any_of(ML.CONTINUATION_PATTERNS)
+    error, opens = any_of(ML.ERROR_INDICATORS, re.M), re.compile(ML.OPENER_START)
+    out, held = [], {}
+
+    def emit(key, lines, joined):
+        text = "\n".join(line for _, _, line in lines)
+        out.append((key, lines[0][1], text, len(lines), joined, joined and bool(error.search(text))))
+
+    for key, t, q, line in sorted(rows, key=lambda r: (r[1], r[2])):
+        line = line.rstrip("\n")
+        if not line:
+            continue
+        buffer = held.get(key, [])
+        trace = ML.TRACEBACK_TEXT in line
+        joins = buffer and t - buffer[-1][0] <= gap_ms and not trace and (more.match(line) or not fresh.match(line))
+        if not joins and buffer:
+            emit(key, buffer, True)
+            buffer = []
+        if joins or trace or error.search(line) or opens.match(line):
+            buffer = [*buffer, (t, q, line)]
+        else:
+            emit(key, [(t, q, line)], False)
+        if joins and len(buffer) >= max_lines:
+            emit(key, buffer, True)
+            buffer = []
+        held[key] = buffer
+    for key, buffer in held.items():
+        if buffer:
+            emit(key, buffer, True)
+    return sorted(out)
+
+
 def _sim(rows, **kw):
-    recs = ML.simulate_sequential([(r[0], r[1], r[2], r[3]) for r in rows], **kw)
-    return sorted([(r["k"], r["first_seq"], r["message"], r["line_count"], r["aggregated"],
-                    r["detected_error"]) for r in recs])
+    return walk(rows, **kw)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lines_cut_in_any_batches_give_the_same_records(seed):
+    rng = random.Random(seed)
+    t, rows = 0, []
+    for i in range(400):
+        t += rng.choice([50, 100, 400, 2500])
+        rows.append(("k", t, i, rng.choice([x for x in LINES if x])))
+    got, carry, at = [], [], 0
+    while at < len(rows):
+        step = rng.randrange(1, 40)
+        lines = carry + [r[1:] for r in rows[at:at + step]]
+        at += step
+        records, held = ML.assemble_lines(*map(list, zip(*lines)), max_lines=9, closed=at >= len(rows))
+        got += records
+        carry = lines[held:]
+    assert not carry
+    assert sorted(("k", r["first_seq"], r["message"], r["line_count"], r["aggregated"], r["detected_error"])
+                  for r in got) == walk(rows, max_lines=9)
 
 
 def test_matches_sequential_rules_random(spark):

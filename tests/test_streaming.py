@@ -1,12 +1,14 @@
 import os
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from logweave.operators import multiline as ML
 from logweave.operators import timeseries as TS
+from logweave.sources.logfiles import read_raw_stream
 from logweave.sources.tables import Tables
-from logweave.streaming.multiline_stream import assemble_multiline_stream
+from logweave.streaming.multiline_stream import assemble_multiline_stream, drain
 from logweave.streaming.pipeline import run_pipeline, volume_stream
 
 from .conftest import SF_SMALL
@@ -23,38 +25,68 @@ def test_stream_assembly_equals_batch(spark):
     t = Tables(spark, SF_SMALL)
     lines = t.stream_lines.select("seq", "src", "arrival_ms", "line")
     lines.filter("seq < 500").coalesce(1).write.parquet(f"{d}/in/a")
-    lines.filter("seq >= 500").coalesce(1).write.parquet(f"{d}/in/b")
     src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true") \
         .parquet(f"{d}/in")
     out = assemble_multiline_stream(src)
-    q = out.writeStream.format("parquet").option("path", f"{d}/out") \
-        .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    assert len(q.recentProgress) < 10    # event-time timers: no stream of empty batches
-    # restart on the same checkpoint with far-future sentinels: the gap rule drains every buffer
-    keys = [r.src for r in lines.select("src").distinct().collect()]
-    spark.createDataFrame([(10**9 + i, k, 10**12, "INFO:x:sentinel") for i, k in enumerate(keys)], SCHEMA) \
-        .coalesce(1).write.parquet(f"{d}/in/c")
-    q = out.writeStream.format("parquet").option("path", f"{d}/out") \
-        .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    got = spark.read.parquet(f"{d}/out").filter(F.col("message") != "INFO:x:sentinel").collect()
+
+    def run():
+        q = out.writeStream.format("parquet").option("path", f"{d}/out") \
+            .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+
+    run()
+    lines.filter("seq >= 500").coalesce(1).write.parquet(f"{d}/in/b")
+    run()   # a restart on the same checkpoint goes on with the open buffers
+    got = spark.read.parquet(f"{d}/out").collect() + drain(spark, f"{d}/ck").collect()
     want = ML.assemble_multiline(lines).collect()
     assert sorted(map(_key, got)) == sorted(map(_key, want))
 
 
+def test_late_lines_are_not_lost(spark):
+    d = tempfile.mkdtemp(prefix="lw-m3-late-", dir="/tmp")
+    os.mkdir(f"{d}/in")
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true") \
+        .parquet(f"{d}/in")
+    out = assemble_multiline_stream(src)
+    for n, row in enumerate([(1, "a", 10_000_000, "INFO:x:first"), (2, "a", 1_000, "INFO:x:hours late")]):
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.parquet(f"{d}/in/{n}")
+        q = out.writeStream.format("parquet").option("path", f"{d}/out") \
+            .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    assert {r.message for r in spark.read.parquet(f"{d}/out").collect()} == {"INFO:x:first", "INFO:x:hours late"}
+
+
+def test_idle_buffer_is_flushed_without_new_input(spark):
+    d = tempfile.mkdtemp(prefix="lw-m3-idle-", dir="/tmp")
+    spark.createDataFrame([(1, "a", 1_000, "ERROR:x:alone")], SCHEMA).coalesce(1).write.parquet(f"{d}/in/a")
+    src = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+    q = assemble_multiline_stream(src, gap_ms=200, idle_flush=True).writeStream.format("parquet") \
+        .option("path", f"{d}/out").option("checkpointLocation", f"{d}/ck").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if q.recentProgress and os.path.isdir(f"{d}/out") and spark.read.schema(
+                    "message string").parquet(f"{d}/out").count():
+                break
+    finally:
+        q.stop()
+    assert [r.message for r in spark.read.parquet(f"{d}/out").collect()] == ["ERROR:x:alone"]
+
+
 def test_two_track_pipeline_restart_no_duplicates(spark):
     d = tempfile.mkdtemp(prefix="lw-r2-", dir="/tmp")
     t = Tables(spark, SF_SMALL)
     t.raw_records.select("value").coalesce(2).write.text(f"{d}/in")
     n_in = spark.read.text(f"{d}/in").count()
-    raw = spark.readStream.format("text").load(f"{d}/in").select("value")
+    raw = read_raw_stream(spark, {"format": "text", "path": f"{d}/in"})
     for _ in range(2):   # second run restarts from the checkpoint and must add nothing
         q = run_pipeline(raw, f"{d}/out", f"{d}/ck", trigger={"availableNow": True}, as_of="2024-01-20 00:00:00")
         q.awaitTermination(300)
         ok = spark.read.parquet(f"{d}/out/log_entries").count()
         bad = spark.read.parquet(f"{d}/out/quarantine").count()
         assert ok + bad == n_in
+        # every line of a file has an id of its own
+        assert spark.read.parquet(f"{d}/out/log_entries").select("log_id").distinct().count() == ok
     vec = spark.read.parquet(f"{d}/out/log_vectors")
     prio = spark.read.parquet(f"{d}/out/log_entries").filter(
         F.upper("level").isin("ERROR", "WARN", "WARNING", "CRITICAL", "FATAL")).count()
