@@ -125,16 +125,6 @@ def _accept(check, base: float, ctx: Column, threshold: float):
     return f
 
 
-def _longer_first(a, b):
-    return F.length(b) - F.length(a)
-
-
-def _replacer(repl: Column):
-    def f(acc, m):
-        return F.replace(acc, m, repl)
-    return f
-
-
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable and evaluate ``body(var)`` once per row.
 
@@ -154,11 +144,19 @@ def _recogniser_step(entity, pattern, base, context, check, threshold):
         guard = _guard(entity, s, base, check, ctx, threshold)
         cands = F.when(guard, F.regexp_extract_all(s, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
 
-        def with_keep(keep):
-            ordered = F.array_sort(F.array_distinct(keep), _longer_first)
-            return F.struct(F.when(F.size(keep) > 0, F.aggregate(ordered, s, _replacer(repl))).otherwise(s).alias("t"),
-                            F.concat(acc["n"], F.array(F.size(keep))).alias("n"))
-        return let(F.filter(cands, _accept(check, base, ctx, threshold)), with_keep)
+        accept = _accept(check, base, ctx, threshold)
+
+        def woven(found):
+            """The text cut at the matches, accepted ones replaced where they stand."""
+            return F.array_join(F.flatten(F.zip_with(
+                F.split(s, pattern, -1), found,
+                lambda piece, m: F.array(piece, F.when(m.isNull(), F.lit("")).when(accept(m), repl).otherwise(m)))), "")
+
+        def with_found(found):
+            kept = F.size(F.filter(found, accept))
+            return F.struct(F.when(kept > 0, woven(found)).otherwise(s).alias("t"),
+                            F.concat(acc["n"], F.array(kept)).alias("n"))
+        return let(cands, with_found)
     return step
 
 

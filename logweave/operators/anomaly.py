@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as VX
 from ..functions.levels import level_gate, level_weight
+from .numbering import percentiles
 from .vectors import valid_vectors
 
 
@@ -87,7 +88,7 @@ def detect_iqr(vec: DataFrame, logs: DataFrame | None = None, multiplier: float
     if approximate:
         q = F.percentile_approx("distance", [0.25, 0.75], 100000)
     else:
-        q = F.percentile("distance", F.array(F.lit(0.25), F.lit(0.75)))
+        q = F.first(percentiles(d, "distance", [0.25, 0.75]))  # literals
     st = d.agg(F.struct(q.alias("q"), F.count(F.lit(1)).alias("n")).alias("st")).select("st").scalar()
     d = d.withColumn("_st", st)
     n = F.col("_st.n")

@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import number_rows
+
 # Fixed values (must equal the reference): price per million tokens of the small embedding
 # model, characters per token estimate, request size.
 PRICE_PER_MILLION_TOKENS = 0.02
@@ -47,9 +49,9 @@ def split_cached(df: DataFrame, cache: DataFrame, text_col: str = "text") -> tup
 def chunk(df: DataFrame, n: int = MAX_TEXTS_PER_REQUEST, order_cols=("text_hash",),
           partition_cols=()) -> DataFrame:
     """E5: request numbers of at most ``n`` texts: floor((row_number - 1) / n) within
-    ``partition_cols`` (a day, a service) so that no window spans the whole input."""
-    w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-    return df.withColumn("request_no", F.floor((F.row_number().over(w) - 1) / n).cast("bigint"))
+    ``partition_cols`` (a day, a service), however many rows one of them holds."""
+    numbered = number_rows(df, order_cols, partition_cols)
+    return numbered.withColumn("request_no", F.floor((F.col("row_no") - 1) / n).cast("bigint")).drop("row_no")
 
 
 def admit(batches: DataFrame, daily_budget_usd: float) -> DataFrame:

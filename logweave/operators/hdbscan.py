@@ -39,10 +39,15 @@ def _blocks(v: DataFrame, vb: int) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def _dist(A: np.ndarray, B: np.ndarray) -> np.ndarray:
-    aa = (A * A).sum(1)[:, None]
-    bb = (B * B).sum(1)[None, :]
-    return np.sqrt(np.maximum(aa + bb - 2.0 * A @ B.T, 0.0))
+def _dist(A: np.ndarray, B: np.ndarray, rows: int = 1 << 22) -> np.ndarray:
+    """Distances from the differences themselves: equal points are 0 apart and a pair's distance
+    is the same from both sides, to the last bit."""
+    out = np.empty((len(A), len(B)))
+    step = max(1, rows // max(1, B.size))
+    for at in range(0, len(A), step):
+        gap = A[at:at + step, None, :] - B[None, :, :]
+        out[at:at + step] = np.sqrt((gap * gap).sum(axis=2))
+    return out
 
 
 def _knn_cell(k: int):
@@ -143,7 +148,10 @@ def mst_edges(v: DataFrame, core: DataFrame, vb: int, max_rounds: int | None = N
             .checkpoint()
         if pts.select("comp").distinct().limit(2).count() <= 1:
             break
-    return edges
+    else:
+        if pts.select("comp").distinct().limit(2).count() > 1:
+            raise RuntimeError(f"the points are still in several components after {rounds} rounds")
+    return edges if edges is not None else v.sparkSession.createDataFrame([], "lo bigint, hi bigint, w double")
 
 
 def condense_and_select(edges: pd.DataFrame, n_ids: np.ndarray, min_cluster_size: int = 5,
@@ -287,7 +295,9 @@ def hdbscan(vec: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
         .checkpoint()
     if vb is None:
         d = len(v.select("v").first()[0]) if v.limit(1).count() else 1
-        vb = max(1, math.ceil(v.count() / max(1, block_bytes // (8 * d))))
+        # A block pair's matrix of doubles is what has to fit.
+        side = max(1, min(block_bytes // (8 * d), math.isqrt(block_bytes // 8)))
+        vb = max(1, math.ceil(v.count() / side))
     core = core_distances(v, min_samples, vb)
     edges = mst_edges(v, core, vb)
     ids = v.select("id")

@@ -12,7 +12,7 @@ Distributed plan
    and ``mapInPandas`` computes path lengths for Arrow batches with numpy, one level of all
    trees at a time.  s(x) = 2^(-E[h(x)] / c(psi)); score_samples = -s.
 4. Statistics: offset = percentile(score_samples, contamination) (strict "<" flags), median of
-   s for the level gate — exact Spark percentiles, no collect.
+   s for the level gate — exact percentiles by rank, two values each to the driver.
 Scores cannot equal scikit-learn's (different random stream); tests check invariants.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import level_gate, level_weight
 from .clusters import top_n_per_group
+from .numbering import percentiles
 from .vectors import valid_vectors
 
 EULER = 0.5772156649
@@ -159,10 +160,8 @@ def detect_iforest(vec: DataFrame, logs: DataFrame | None = None, contamination:
     forest, psi = build_forest(vec, n_trees, seed, max_samples)
     from pyspark import StorageLevel
     sc = score_forest(vec, forest, psi).persist(StorageLevel.MEMORY_AND_DISK)   # (id, score): small
-    st = sc.agg(F.struct(F.percentile("score_samples", contamination).alias("offset"),
-                         F.median(-F.col("score_samples")).alias("med")).alias("st")).select("st").scalar()
-    sc = sc.withColumn("_st", st)
-    offset, med = F.col("_st.offset"), F.col("_st.med")
+    levels = percentiles(sc, "score_samples", [contamination, 0.5])
+    offset, med = levels[0], -levels[1]
     lv = valid_vectors(vec).select("log_id", *(["level"] if "level" in vec.columns else []))
     if logs is not None:
         lv = lv.select("log_id").join(logs.select("log_id", "level"), "log_id", "left")
@@ -173,4 +172,4 @@ def detect_iforest(vec: DataFrame, logs: DataFrame | None = None, contamination:
     w = level_weight("level", weights)
     return df.withColumn("anomaly_score", s) \
         .withColumn("is_anomaly", level_gate(F.col("score_samples") < offset, s, med, w)) \
-        .withColumn("detection_method", F.lit("IsolationForest")).drop("_st")
+        .withColumn("detection_method", F.lit("IsolationForest"))

@@ -5,7 +5,8 @@ blocks; every (vector block, query block) cell is one cogroup task that computes
 scores with numpy and keeps only the top-k per query.  A per-query merge over at most
 ``k * vb`` candidates gives the exact answer.  Nothing is collected to the driver, no task
 holds more than one block of each side, and no all-pairs rows are emitted.  Block counts are
-chosen from the row counts so that a block stays near ``block_bytes``.
+chosen from the row counts and the dimension so that a cell's score matrix stays near
+``block_bytes``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from . import search as S
 from .vectors import knn, valid_vectors
 
+#: Rows of a block below which a finer split costs more than it gains.
+SMALL_BLOCK = 512
 OUT_SCHEMA = "query_id bigint, neighbor_id bigint, score double"
 
 
@@ -41,10 +44,15 @@ def _topk_cell(k: int, exclude_self: bool):
             Sm[qid[:, None] == vid[None, :]] = -np.inf
         Sm = np.nan_to_num(Sm, nan=-np.inf)
         kk = min(k, Sm.shape[1])
-        # candidates: top kk by score, ties broken by smaller neighbour id
-        order = np.lexsort((np.broadcast_to(vid, Sm.shape), -Sm), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(len(qid)), kk)
-        cols = order.reshape(-1)
+        # The kk-th best score of each row bounds its candidates; ties at it go to the smaller id.
+        bound = -np.partition(-Sm, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = [], []
+        for row in range(len(qid)):
+            near = np.flatnonzero(Sm[row] >= bound[row])
+            near = near[np.lexsort((vid[near], -Sm[row, near]))[:kk]]
+            rows.append(np.full(len(near), row))
+            cols.append(near)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
         sc = Sm[rows, cols]
         keep = np.isfinite(sc)
         return pd.DataFrame({"query_id": qid[rows][keep], "neighbor_id": vid[cols][keep],
@@ -63,12 +71,15 @@ def knn_join(queries: DataFrame, vec: DataFrame, k: int = 5, exclude_self: bool
     v = valid_vectors(vec).select("log_id", F.col("embedding").cast("array<float>").alias("embedding"))
     q = queries.select("query_id", F.col("embedding").cast("array<float>").alias("q"))
     if vb is None or qb is None:
-        d = dim or 1536
-        per_block = max(1, block_bytes // (4 * d))
-        if vb is None:
-            vb = max(1, math.ceil(v.count() / per_block))
-        if qb is None:
-            qb = max(1, math.ceil(q.count() / per_block))
+        # A cell holds its score matrix (doubles, with working copies) and both blocks; small
+        # inputs still spread over the cores.
+        head = v.select(F.size("embedding").alias("d")).first() if dim is None else None
+        d = dim or (head["d"] if head else 1)
+        side = max(1, min(math.isqrt(block_bytes // 16), block_bytes // (16 * d)))
+        cores = vec.sparkSession.sparkContext.defaultParallelism
+        n = v.count()
+        vb = vb or max(1, math.ceil(n / side), min(cores, math.ceil(n / SMALL_BLOCK)))
+        qb = qb or max(1, math.ceil(q.count() / side))
     vv = v.withColumn("vblk", F.pmod(F.xxhash64("log_id"), F.lit(vb))) \
         .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("qblk", F.col("qblk").cast("bigint"))
     qq = q.withColumn("qblk", F.pmod(F.xxhash64("query_id"), F.lit(qb))) \

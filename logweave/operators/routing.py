@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import PRIORITY_LEVELS
+from .numbering import number_rows
 
 
 def priority(df: DataFrame, levels: list[str] | None = None, enabled: bool = True,
@@ -21,11 +22,11 @@ def sub_batches(df: DataFrame, size: int = 50, order_cols=("ts", "log_id"),
                 partition_col: str | None = None) -> DataFrame:
     """Number rows into batches of ``size`` (``batch_no`` = floor((row_number-1)/size)).
 
-    With ``partition_col`` the numbering restarts per key, so no single task sees all rows.
+    With ``partition_col`` the numbering restarts per key.  Neither form sends all rows, or all
+    rows of a key, to one task.
     """
-    w = Window.orderBy(*order_cols) if partition_col is None else \
-        Window.partitionBy(partition_col).orderBy(*order_cols)
-    return df.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    numbered = number_rows(df, order_cols, [partition_col] if partition_col else ())
+    return numbered.withColumn("batch_no", F.floor((F.col("row_no") - 1) / size).cast("bigint")).drop("row_no")
 
 
 def batch_outcome(df: DataFrame) -> DataFrame:

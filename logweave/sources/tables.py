@@ -189,16 +189,16 @@ def view_sql(name: str, dialect: str) -> str:
     return sql(dialect) if callable(sql) else sql
 
 
-_REGISTERED: dict[int, str] = {}
+#: The session setting that names the folder whose tables are registered.
+REGISTERED = "spark.logweave.tables"
 
 
 def register_tables(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
     """Register the base parquet tables and the derived views as session temp views
     (once per session and scale directory)."""
-    sid = id(spark._jsparkSession)
-    if not force and _REGISTERED.get(sid) == sf_dir and spark.catalog.tableExists("logs"):
+    if not force and spark.conf.get(REGISTERED, "") == sf_dir and spark.catalog.tableExists("logs"):
         return
-    _REGISTERED[sid] = sf_dir
+    spark.conf.set(REGISTERED, sf_dir)
     # The log tables carry naive UTC datetimes; bucketing casts go through the session zone.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in BASE_TABLES:
@@ -223,6 +223,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES or name in VIEWS:
+            register_tables(self.spark, self.sf_dir)  # another folder may have been registered since
             return self.spark.table(name)
         raise AttributeError(name)
 

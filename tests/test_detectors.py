@@ -48,3 +48,25 @@ def test_iqr_needs_four(spark):
 def test_plan_centroid_is_scalar_subquery(spark, tables):
     plan = A.centroid_distance(tables.vectors)._jdf.queryExecution().executedPlan().toString()
     assert "Subquery" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_numbering_and_percentiles_with_one_hot_key(spark):
+    import numpy as np
+
+    from logweave.operators.numbering import number_rows, percentiles
+    rows = [("hot" if i % 10 else f"k{i}", (i * 7919) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v int, id long")
+    got = {(r.k, r.id): r.row_no for r in number_rows(df, ["v", "id"], ["k"]).collect()}
+    for key in {k for k, _, _ in rows}:
+        own = sorted((v, i) for k, v, i in rows if k == key)
+        assert [got[key, i] for _, i in own] == list(range(1, len(own) + 1))
+    found = df.limit(1).select(percentiles(df, "v", [0.25, 0.5, 0.9]).alias("p")).first().p
+    assert np.allclose(found, np.percentile([v for _, v, _ in rows], [25, 50, 90]))
+    assert df.limit(1).select(percentiles(df.where("id < 0"), "v", [0.5]).alias("p")).first().p == [None]
+
+
+def test_redaction_replaces_where_a_match_stands(spark):
+    from logweave.functions import pii as P
+    text = "ssn 123-45-6789 ref 9123-45-67890, phone 555-123-4567 part A555-123-45678"
+    out = P.redact_frame(spark.createDataFrame([(text,)], "text string"), "text", "out").first().out
+    assert "ref 9123-45-67890" in out and "A555-123-45678" in out and "ssn 123" not in out and "phone 555" not in out

@@ -38,3 +38,12 @@ def test_hdbscan_blobs(spark):
     a, b = {labels[i] for i in range(30)}, {labels[i] for i in range(30, 70)}
     assert len(a) == 1 and len(b) == 1 and a != b and -1 not in a | b
     assert labels[70] == labels[71] == labels[72] == -1
+
+
+def test_tiny_inputs_and_duplicates(spark):
+    schema = "log_id long, embedding array<double>"
+    for n in (0, 1, 2):
+        df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], schema)
+        assert sorted((r.log_id, r.cluster_id) for r in H.hdbscan(df).collect()) == [(i, -1) for i in range(n)]
+    a = np.random.default_rng(0).standard_normal((40, 6)) * 1e3
+    assert (H._dist(a, a).diagonal() == 0).all() and (H._dist(a, a[::-1]) == H._dist(a[::-1], a).T).all()
