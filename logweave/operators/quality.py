@@ -31,7 +31,8 @@ def _str_field(e: Column, key: str, default: Column) -> Column:
 def repair_rows(pages: DataFrame, body_col: str = "body", as_of: str = "1970-01-01T00:00:00") -> DataFrame:
     """One repaired row per object element of ``results`` (or ``logs``); non-object
     elements are dropped; ``id`` falls back to ``unknown-<index>``, level INFO, service
-    unknown, message "", timestamp ``as_of``; wrong-typed optional fields become NULL."""
+    unknown, message "", timestamp ``as_of``; optional fields that are empty texts, wrong-typed or
+    outside their values become NULL.  Objects come back as JSON text."""
     v = F.try_parse_json(F.col(body_col))
     res = F.when(_t(v, "$.results") == "ARRAY", F.try_variant_get(v, "$.results", "array<variant>")) \
         .when(_t(v, "$.logs") == "ARRAY", F.try_variant_get(v, "$.logs", "array<variant>"))
@@ -39,7 +40,12 @@ def repair_rows(pages: DataFrame, body_col: str = "body", as_of: str = "1970-01-
     ex = pages.select(*keep, F.posexplode(res).alias("idx", "e"))
     e = F.col("e")
     ex = ex.filter(_t(e, "$") == "OBJECT")
-    cid_t = _t(e, "$.cluster_id")
+    null = F.lit(None).cast("string")
+
+    def typed(key: str, kinds: list[str], as_type: str) -> Column:
+        return F.when(_t(e, f"$.{key}").isin(kinds), F.try_variant_get(e, f"$.{key}", as_type)).alias(key)
+
+    tier = F.try_variant_get(e, "$.hybrid_tier", "string")
     return ex.select(
         *keep, "idx",
         _str_field(e, "id", F.concat(F.lit("unknown-"), F.col("idx").cast("string"))).alias("id"),
@@ -47,8 +53,12 @@ def repair_rows(pages: DataFrame, body_col: str = "body", as_of: str = "1970-01-
         _str_field(e, "level", F.lit("INFO")).alias("level"),
         _str_field(e, "service", F.lit("unknown")).alias("service"),
         _str_field(e, "message", F.lit("")).alias("message"),
-        F.when(_t(e, "$.is_anomaly") == "BOOLEAN", F.try_variant_get(e, "$.is_anomaly", "boolean")).alias("is_anomaly"),
-        F.when(cid_t.isin(_NUM), F.try_variant_get(e, "$.cluster_id", "double")).alias("cluster_id"))
+        typed("is_anomaly", ["BOOLEAN"], "boolean"), typed("cluster_id", _NUM, "double"),
+        typed("anomaly_score", _NUM, "double"), typed("metadata", ["OBJECT", "ARRAY"], "string"),
+        *[_str_field(e, k, null).alias(k) for k in ("redacted_message", "llm_reasoning", "detection_method", "created_at")],
+        typed("llm_validated", ["BOOLEAN"], "boolean"), typed("pii_redacted", ["BOOLEAN"], "boolean"),
+        F.when(tier.isin("tier1", "tier2"), tier).alias("hybrid_tier"),
+        typed("pii_entities_detected", ["OBJECT", "ARRAY"], "string"))
 
 
 def validate_structure(pages: DataFrame, body_col: str = "body",

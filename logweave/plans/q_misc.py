@@ -108,7 +108,15 @@ SELECT page_id, CAST(idx AS INTEGER) AS idx, {_W_T.format(k='id', d="'unknown-'
   {_W_T.format(k='timestamp', d="'2024-01-20T00:00:00'")} AS timestamp, {_W_T.format(k='level', d="'INFO'")} AS level,
   {_W_T.format(k='service', d="'unknown'")} AS service, {_W_T.format(k='message', d="''")} AS message,
   CASE WHEN json_type(e, '$.is_anomaly') = 'BOOLEAN' THEN CAST(json_extract_string(e, '$.is_anomaly') AS BOOLEAN) END AS is_anomaly,
-  CASE WHEN json_type(e, '$.cluster_id') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(e, '$.cluster_id') AS DOUBLE) END AS cluster_id
+  CASE WHEN json_type(e, '$.cluster_id') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(e, '$.cluster_id') AS DOUBLE) END AS cluster_id,
+  CASE WHEN json_type(e, '$.anomaly_score') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(e, '$.anomaly_score') AS DOUBLE) END AS anomaly_score,
+  CASE WHEN json_type(e, '$.metadata') IN ('OBJECT', 'ARRAY') THEN CAST(json_extract(e, '$.metadata') AS VARCHAR) END AS metadata,
+  {_W_T.format(k='redacted_message', d='NULL')} AS redacted_message, {_W_T.format(k='llm_reasoning', d='NULL')} AS llm_reasoning,
+  {_W_T.format(k='detection_method', d='NULL')} AS detection_method, {_W_T.format(k='created_at', d='NULL')} AS created_at,
+  CASE WHEN json_type(e, '$.llm_validated') = 'BOOLEAN' THEN CAST(json_extract_string(e, '$.llm_validated') AS BOOLEAN) END AS llm_validated,
+  CASE WHEN json_type(e, '$.pii_redacted') = 'BOOLEAN' THEN CAST(json_extract_string(e, '$.pii_redacted') AS BOOLEAN) END AS pii_redacted,
+  CASE WHEN json_extract_string(e, '$.hybrid_tier') IN ('tier1', 'tier2') THEN json_extract_string(e, '$.hybrid_tier') END AS hybrid_tier,
+  CASE WHEN json_type(e, '$.pii_entities_detected') IN ('OBJECT', 'ARRAY') THEN CAST(json_extract(e, '$.pii_entities_detected') AS VARCHAR) END AS pii_entities_detected
 FROM x WHERE json_type(e) = 'OBJECT'""", views=("api_pages",))
 def q_w1(spark, sf_dir):
     return W.repair_rows(Tables(spark, sf_dir).api_pages, as_of="2024-01-20T00:00:00")

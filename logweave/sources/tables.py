@@ -162,7 +162,11 @@ _API_ROW = """CONCAT('{"id": ', CASE WHEN log_id % 11 = 0 THEN 'null' ELSE CONCA
   ', "service": "', service, '", "message": "', message, '", "timestamp": ',
   CASE WHEN log_id % 5 = 0 THEN 'null' ELSE '"2024-01-15T00:00:00"' END,
   ', "is_anomaly": ', CASE WHEN log_id % 3 = 0 THEN 'true' ELSE '"no"' END,
-  ', "cluster_id": ', CASE WHEN log_id % 2 = 0 THEN CAST(log_id % 9 AS STRING) ELSE '"x"' END, '}')"""
+  ', "cluster_id": ', CASE WHEN log_id % 2 = 0 THEN CAST(log_id % 9 AS STRING) ELSE '"x"' END,
+  CASE WHEN log_id % 4 = 1 THEN ', "anomaly_score": 0.25, "detection_method": "iqr", "hybrid_tier": "tier2", "llm_validated": true, "metadata": {"a":"b"}'
+       WHEN log_id % 4 = 2 THEN ', "anomaly_score": "high", "detection_method": "", "hybrid_tier": "tier9", "llm_validated": "yes", "metadata": "none"'
+       WHEN log_id % 4 = 3 THEN ', "redacted_message": "[EMAIL]", "llm_reasoning": "rare", "created_at": "2024-01-16T00:00:00", "pii_redacted": false, "pii_entities_detected": {"EMAIL_ADDRESS":2}'
+       ELSE '' END, '}')"""
 
 
 def api_pages_sql(dialect: str) -> str:
