@@ -154,3 +154,16 @@ def budget_stats(spend: DataFrame, daily_budget_usd: float) -> DataFrame:
     return s.select("day", F.round("spent_usd", 9).alias("spent_usd"),
                     F.round(F.greatest(F.lit(0.0), b - F.col("spent_usd")), 9).alias("remaining_usd"),
                     F.round(F.col("spent_usd") / b * 100, 6).alias("utilisation_pct"))
+
+
+def usage_by_model(embedded: DataFrame) -> DataFrame:
+    """A4: requests, cache hits, tokens and cost by model.
+
+    Expects ``embedding_model``, ``embedding_cached``, ``embedding_tokens`` and
+    ``embedding_cost_usd``; hits cost nothing.
+    """
+    paid = ~F.coalesce(F.col("embedding_cached"), F.lit(False))
+    return embedded.groupBy("embedding_model").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(~paid).alias("cache_hits"),
+        F.coalesce(F.sum(F.when(paid, F.col("embedding_tokens"))), F.lit(0)).cast("bigint").alias("tokens"),
+        F.round(F.coalesce(F.sum(F.when(paid, F.col("embedding_cost_usd"))), F.lit(0.0)), 9).alias("cost_usd"))

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values (callers see these texts): required fields and issue texts.
+NOT_AN_OBJECT, MISSING = "Expected object, got ", "Missing required field: "
+LOGS_FIELD = 'Found "logs" field instead of expected "results" field'
+RESULTS_TYPE = 'Field "results" should be array, got '
 REQUIRED_FIELDS = ["results", "total", "limit", "offset"]
 _NUM = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL"]
 
@@ -68,13 +72,13 @@ def validate_structure(pages: DataFrame, body_col: str = "body",
     v = F.try_parse_json(F.col(body_col))
     top = _t(v, "$")
     is_obj = F.coalesce(top.isin("OBJECT", "ARRAY"), F.lit(False))   # JS: typeof [] == "object"
-    issues = [F.when(~is_obj, F.concat(F.lit("Expected object, got "), _js_type(top)))]
-    issues += [F.when(is_obj & _t(v, f"$.{f}").isNull(), F.lit(f"Missing required field: {f}")) for f in required]
+    issues = [F.when(~is_obj, F.concat(F.lit(NOT_AN_OBJECT), _js_type(top)))]
+    issues += [F.when(is_obj & _t(v, f"$.{f}").isNull(), F.lit(MISSING + f)) for f in required]
     issues.append(F.when(is_obj & _t(v, "$.results").isNull() & _t(v, "$.logs").isNotNull(),
-                         F.lit('Found "logs" field instead of expected "results" field')))
+                         F.lit(LOGS_FIELD)))
     rt = _t(v, "$.results")
     issues.append(F.when(is_obj & rt.isNotNull() & (rt != "ARRAY"),
-                         F.concat(F.lit('Field "results" should be array, got '), _js_type(rt))))
+                         F.concat(F.lit(RESULTS_TYPE), _js_type(rt))))
     keep = [c for c in pages.columns if c != body_col]
     return pages.select(*keep, F.explode(F.filter(F.array(*issues), lambda x: x.isNotNull())).alias("issue"))
 

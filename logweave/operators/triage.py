@@ -16,6 +16,14 @@ ROOT_CAUSE_SCHEMA = ("struct<explanation:string,"
                      "remediation_steps:array<struct<step:string,priority:string,description:string>>,"
                      "severity:string,severity_reason:string>")
 CONFIRM_CONFIDENCE = 0.6
+# Fixed values (callers see these texts): what stands for a missing part of an answer, headings.
+NO_REASONING = "No reasoning provided"
+NO_EXPLANATION = "No explanation provided"
+NO_REASON = "No reason provided"
+UNPARSED = "Analysis completed but structured parsing failed"
+CAUSES_HEADING = "\n\nRoot Causes:"
+STEPS_HEADING = "\n\nRemediation Steps:"
+SEVERITY_HEADING = "\n\nSeverity: "
 
 
 def _is_object(c: Column) -> Column:
@@ -74,7 +82,7 @@ def parse_verdicts(df: DataFrame, col: str = "response") -> DataFrame:
     v = F.from_json(F.col(col), VERDICT_SCHEMA)
     return df.withColumn("is_anomaly", F.when(ok, F.coalesce(v["is_anomaly"], F.lit(False)))) \
         .withColumn("confidence", F.when(ok, F.coalesce(v["confidence"].try_cast("double"), F.lit(0.5)))) \
-        .withColumn("reasoning", F.when(ok, F.coalesce(v["reasoning"], F.lit("No reasoning provided"))))
+        .withColumn("reasoning", F.when(ok, F.coalesce(v["reasoning"], F.lit(NO_REASONING))))
 
 
 def parse_root_cause(df: DataFrame, col: str = "response", fallback: Column | None = None) -> DataFrame:
@@ -86,13 +94,13 @@ def parse_root_cause(df: DataFrame, col: str = "response", fallback: Column | No
     has = ok | fb.isNotNull()
     empty_rc = F.array().cast("array<struct<hypothesis:string,confidence:double,description:string>>")
     empty_st = F.array().cast("array<struct<step:string,priority:string,description:string>>")
-    return df.withColumn("explanation", F.when(ok, F.coalesce(v["explanation"], F.lit("No explanation provided")))
+    return df.withColumn("explanation", F.when(ok, F.coalesce(v["explanation"], F.lit(NO_EXPLANATION)))
                          .otherwise(fb)) \
         .withColumn("root_causes", F.when(ok, F.coalesce(v["root_causes"], empty_rc)).when(has, empty_rc)) \
         .withColumn("remediation_steps", F.when(ok, F.coalesce(v["remediation_steps"], empty_st)).when(has, empty_st)) \
         .withColumn("severity", F.when(ok, F.coalesce(v["severity"], F.lit("MEDIUM"))).when(has, F.lit("MEDIUM"))) \
-        .withColumn("severity_reason", F.when(ok, F.coalesce(v["severity_reason"], F.lit("No reason provided")))
-                    .when(has, F.lit("Analysis completed but structured parsing failed")))
+        .withColumn("severity_reason", F.when(ok, F.coalesce(v["severity_reason"], F.lit(NO_REASON)))
+                    .when(has, F.lit(UNPARSED)))
 
 
 def confirmed(df: DataFrame, threshold: float = CONFIRM_CONFIDENCE) -> DataFrame:
@@ -110,9 +118,9 @@ def render_reasoning(df: DataFrame) -> DataFrame:
                                                 F.lit("] "), F.coalesce(s["step"], F.lit("Unknown")),
                                                 F.lit(": "), F.coalesce(s["description"], F.lit(""))))
     text = F.concat_ws("\n", F.coalesce(F.col("explanation"), F.lit("")),
-                       F.when(F.size(rc) > 0, F.concat(F.array(F.lit("\n\nRoot Causes:")), causes)),
-                       F.when(F.size(st) > 0, F.concat(F.array(F.lit("\n\nRemediation Steps:")), steps)),
-                       F.concat(F.lit("\n\nSeverity: "), F.coalesce(F.col("severity"), F.lit("MEDIUM")),
+                       F.when(F.size(rc) > 0, F.concat(F.array(F.lit(CAUSES_HEADING)), causes)),
+                       F.when(F.size(st) > 0, F.concat(F.array(F.lit(STEPS_HEADING)), steps)),
+                       F.concat(F.lit(SEVERITY_HEADING), F.coalesce(F.col("severity"), F.lit("MEDIUM")),
                                 F.lit(" - "), F.coalesce(F.col("severity_reason"), F.lit(""))))
     return df.withColumn("rendered", F.when(F.col("explanation").isNotNull(), text))
 

@@ -2,7 +2,7 @@
 
 Each upsert is a full outer join on the key plus per-column ``coalesce``/``when`` rules — a
 set-based rewrite instead of one lookup per row.  ``commit_version`` writes the new table as
-a fresh version directory and then swaps a one-line pointer file, so readers never see a
+a fresh version directory and then adds a line to a commit log, so readers never see a
 half-written table (one writer at a time).  With a v2 table format on the classpath the same
 rules map to ``DataFrame.mergeInto``.
 """
@@ -75,22 +75,34 @@ def upsert_metadata(clu: DataFrame, new: DataFrame, updated_at=None, replace: bo
 # ---- versioned tables -------------------------------------------------------------------
 
 def _pointer(path: str) -> str:
-    return f"{path.rstrip('/')}/_current"
+    return f"{path.rstrip('/')}/_commits"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("seq bigint, version string").json(_pointer(path))
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:
-    """Read the current version of a versioned table."""
-    cur = spark.read.text(_pointer(path)).first()[0].strip()
-    return spark.read.parquet(f"{path.rstrip('/')}/{cur}")
+    """Read the latest committed version of a versioned table."""
+    version = _commits(spark, path).orderBy(F.desc("seq")).first()["version"]
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
 
 
 def commit_version(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as a new version directory, then atomically replace the pointer file."""
+    """Write ``df`` as a new version directory, then add a line to the commit log.
+
+    Nothing that a reader may be looking at is removed: it finds the version before or the one
+    after.  There may be one writer at a time; old versions stay until they are cleared away.
+    """
     spark = df.sparkSession
-    ver = f"v-{uuid.uuid4().hex}"
+    version = f"v-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(f"{path.rstrip('/')}/{ver}")
-    spark.createDataFrame([(ver,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(path))
-    return ver
+    w.parquet(f"{path.rstrip('/')}/{version}")
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_pointer(path))
+    there = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log)
+    last = _commits(spark, path).agg(F.max("seq").alias("seq")).first()["seq"] if there else None
+    spark.createDataFrame([((last or 0) + 1, version)], "seq bigint, version string").coalesce(1) \
+        .write.mode("append").json(_pointer(path))
+    return version

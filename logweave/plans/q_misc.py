@@ -97,6 +97,20 @@ def q_a4_vectors(spark, sf_dir):
     return v.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("level").alias("levels"))
 
 
+@register("A4_usage", """WITH t AS (SELECT message, COUNT(*) AS n, CAST(floor(length(message) / 4) AS BIGINT) AS tokens FROM logs GROUP BY message)
+SELECT 'hashing-64' AS embedding_model, CAST(SUM(n) AS BIGINT) AS texts, CAST(SUM(n) - COUNT(*) AS BIGINT) AS cache_hits,
+  CAST(SUM(tokens) AS BIGINT) AS tokens, round(SUM(tokens / 1e6 * 0.02), 9) AS cost_usd FROM t""", views=("logs",))
+def q_a4_usage(spark, sf_dir):
+    """Every log message embedded once: repeats are cache hits."""
+    from ..operators import embed as EM
+    texts = Tables(spark, sf_dir).logs.groupBy(F.col("message").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    used = EM.estimate_cost(texts).select(
+        F.lit("hashing-64").alias("embedding_model"), F.col("tokens").alias("embedding_tokens"),
+        F.col("cost_usd").alias("embedding_cost_usd"),
+        F.explode(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("n")), lambda i: i > 1)).alias("embedding_cached"))
+    return EM.usage_by_model(used)
+
+
 _W_T = """(CASE WHEN json_type(e, '$.{k}') = 'VARCHAR' AND json_extract_string(e, '$.{k}') <> '' THEN json_extract_string(e, '$.{k}') ELSE {d} END)"""
 
 

@@ -70,3 +70,13 @@ def test_redaction_replaces_where_a_match_stands(spark):
     text = "ssn 123-45-6789 ref 9123-45-67890, phone 555-123-4567 part A555-123-45678"
     out = P.redact_frame(spark.createDataFrame([(text,)], "text string"), "text", "out").first().out
     assert "ref 9123-45-67890" in out and "A555-123-45678" in out and "ssn 123" not in out and "phone 555" not in out
+
+
+def test_versions_are_committed_without_a_gap(spark):
+    import tempfile
+
+    from logweave.operators import upsert as U
+    d = tempfile.mkdtemp(prefix="lw-version-", dir="/tmp")
+    for n in range(3):
+        U.commit_version(spark.createDataFrame([(n,)], "v int"), f"{d}/t")
+        assert [r.v for r in U.read_version(spark, f"{d}/t").collect()] == [n]
