@@ -28,8 +28,6 @@ def detect_pii(df: DataFrame, text_col: str, id_col: str | None = None,
         matches = F.regexp_extract_all(s, F.lit(pattern), 0)
         pieces = F.split(s, pattern, -1)
         ctx = s.rlike("(?i)\\b(" + "|".join(context) + ")\\b") if context else F.lit(False)
-        acc = P._accept(check, base, ctx, -1.0)  # keeps all; score recomputed below
-
         def mk(m, i, entity=entity, base=base, check=check, ctx=ctx, pieces=pieces, matches=matches):
             start = _len_sum(F.slice(pieces, 1, i + 1)) + _len_sum(F.slice(matches, 1, i))
             if base >= 1.0:
@@ -40,7 +38,6 @@ def detect_pii(df: DataFrame, text_col: str, id_col: str | None = None,
                 score = F.when(ctx, F.lit(0.75)).otherwise(F.lit(float(base)))
             return F.struct(F.lit(entity).alias("entity_type"), start.alias("start"),
                             (start + F.length(m)).alias("end"), score.alias("score"))
-        del acc
         spans.append(F.transform(matches, _two_arg(mk)))
     out = df.select(*([id_col] if id_col else []), F.explode(F.concat(*spans)).alias("span")) \
         .select(*([id_col] if id_col else []), "span.*")

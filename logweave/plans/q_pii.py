@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pii as P
 from ..operators import pii_ops as PO
+from ..operators.partitioning import spread
 from ..sources.tables import Tables
 from . import duck as D
 from .registry import register
@@ -62,7 +63,7 @@ FROM pii"""
 
 
 def _p8(spark, sf_dir):
-    t = Tables(spark, sf_dir).pii_lines
+    t = spread(Tables(spark, sf_dir).pii_lines)
     r = P.redact_frame(t, "text", "text_redacted")
     e = F.col("pii_entities")
 
@@ -106,15 +107,15 @@ def q_p9(spark, sf_dir):
 @register("P9_documents")
 def q_p9_documents(spark, sf_dir):
     """PII inventory over the whole documents corpus (all languages; rows-only check)."""
-    return PO.pii_report(Tables(spark, sf_dir).documents, "text")
+    return PO.pii_report(spread(Tables(spark, sf_dir).documents), "text")
 
 
 @register("P9_pages")
 def q_p9_pages(spark, sf_dir):
-    return PO.pii_report(Tables(spark, sf_dir).pages, "html")
+    return PO.pii_report(spread(Tables(spark, sf_dir).pages), "html")
 
 
 @register("P6")
 def q_p6(spark, sf_dir):
     """Detection spans (type, start, end, score) over whole documents; rows-only."""
-    return PO.detect_pii(Tables(spark, sf_dir).documents, "text", id_col="doc_id")
+    return PO.detect_pii(spread(Tables(spark, sf_dir).documents), "text", id_col="doc_id")
