@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +37,29 @@ END_ID = 0
 GROUP_ROWS = 1 << 16
 TOKENIZER = "word_bpe_49k.json"
 #: Words remembered by a worker; longer words than this many bytes are not remembered.
-MEMO_WORDS, MEMO_BYTES = 300_000, 48
+MEMO_WORDS, MEMO_BYTES = 500_000, 48
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
+#: Words of these characters are normalised and cut here as the library would: they are composed,
+#: lower-cased one by one, and hold no white space.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def _shown_bytes() -> dict[int, str]:
+    """How the vocabulary writes bytes that are no visible characters: counted on from 256."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: chr(256 + n) for n, byte in enumerate(b for b in range(256) if b not in seen)}
+
+
 class Tokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     No token of this vocabulary crosses ASCII white space, and normalisation works within a
     word, so a text's ids are its words' ids in a row.  Ids of words seen before are remembered.
+    Plain Latin words go straight to the library's merges, all others through all of it.
     """
 
     def __init__(self, path: str):
@@ -53,8 +68,22 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True  # special strings in a text are plain text
+        self.merges = self.library.model.tokenize
+        self.shown = _shown_bytes()
         self.memo: dict[bytes, bytes] = {}
 
+    def word(self, raw: bytes) -> bytes:
+        """Ids of one word."""
+        text = raw.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        ids = array("I")
+        for part in _PARTS.findall(text.lower()):
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(self.shown)
+            ids.extend([t.id for t in self.merges(part)])
+        return ids.tobytes()
+
     @classmethod
     def of(cls, path: str) -> Tokenizer:
         return once(("tokenizer", path), lambda: cls(path))
@@ -68,12 +97,15 @@ class Tokenizer:
             pass
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in memo]
-        found = self.library.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        local = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(fresh, found, strict=True)}
-        out = b"".join([local[w] if w in local else memo[w] for w in words])
-        memo.update((w, v) for w, v in local.items() if len(w) <= MEMO_BYTES)
-        return out
+        out = []
+        for w in words:
+            ids = memo.get(w)
+            if ids is None:
+                ids = self.word(w)
+                if len(w) <= MEMO_BYTES:
+                    memo[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 def default_tokenizer() -> str:
