@@ -45,8 +45,10 @@ SEQUENCE = 120
 STEPS, RATE, DECAY = 80, 0.15, 0.02
 SALTS = 32
 #: Posteriors (words times languages) held at once while documents are stepped through.
-HELD = 4 << 20
+HELD = 1 << 20
 MEMO_WORDS = 200_000
+#: Words whose features are listed at once.
+WORDS_AT_ONCE = 4096
 SEED = 11
 
 
@@ -94,10 +96,11 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """A row of label scores for every clean word."""
-        if not words:
-            return np.zeros((0, len(self.langs)))
-        flat, starts = feature_table(words, self.lexicon)
-        return np.add.reduceat(self.weights[flat], starts, axis=0).astype(np.float64)
+        out = np.zeros((len(words), len(self.langs)))
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            flat, starts = feature_table(words[at:at + WORDS_AT_ONCE], self.lexicon)
+            out[at:at + WORDS_AT_ONCE] = np.add.reduceat(self.weights[flat], starts, axis=0)
+        return out
 
 
 def _steps(scores: np.ndarray) -> np.ndarray:
@@ -294,7 +297,7 @@ class Labeller:
         return out
 
 
-def batches_of_texts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[list[str]]:
+def batches_of_texts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[list[str]]:
     """The batch's texts in order, in lists of about ``most`` characters."""
     held, size = [], 0
     for (text,) in rows_of([batch], "text"):
