@@ -8,19 +8,23 @@ subsequence and those that both have are deleted: what a site repeats is not the
 
 Two things are known from the markup itself.  Lines of elements that never hold the article
 (navigation, headers, footers, sidebars, notices, adverts, forms, comment sections, scripts and
-styles) go without a comparison.  Lines inside an article or main element stay although
-the partner has them: mirrored or partly copied articles are in one another's neighbourhood
-in URL order, and differencing alone would delete what they share.  So differencing decides
-about everything in between, and about all of a page without such an element.
+styles) go without a comparison.  Lines inside an article or main element need more evidence
+than one partner: mirrored or partly copied articles are in one another's neighbourhood in URL
+order, and one comparison alone would delete what they share.  Such a line is deleted if two of
+the four nearest paths in order have it and neither those two nor the page with one of
+them are near copies, that is, share half of the shorter article's characters.  A passage copied
+into several otherwise different neighbours looks the same as a repeated line and goes too.
+Article lines are compared with article lines, all others with the partner's others.
 
 Scale: hosts are not groups here.  Paths are ranked by (host, path) with a range partition, so a
-host with a third of all pages spreads over many tasks; partners are ranks apart by one and meet
-by an equi join on the rank, and only hashes of the undecided lines travel.
+host with a third of all pages spreads over many tasks; neighbours meet in buckets of ranks that
+overlap by two, and only hashes of lines travel.  Pages are parsed twice, so that their text
+is moved once, to what their path is compared with.
 
 Defined results: null html has no text; a null url is a host of its own with an empty path; a
 path is represented by its row with the smallest page_id; a page alone on its host loses no line
 by differencing, nor does one that would lose all it has (a copy of its partner tells nothing
-apart); repeated rows each keep a row; an empty table gives an empty result; other columns are
+apart), and a host of two paths loses no article line; repeated rows each keep a row; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, rows_of
@@ -203,36 +207,46 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *(head + i for i in reversed(found)), *range(len(a) - tail, len(a))]
 
 
-def line_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+#: A line's hash holds its length in the lowest 16 bits, and above them whether it is an article's.
+LENGTH, ARTICLE = 0xFFFF, 0x10000
 
 
-def _blocks(pages: DataFrame) -> DataFrame:
-    """One row a page: host, path, its lines that are not removed, and hashes of the undecided."""
+def line_hash(state: int, text: str) -> int:
+    mixed = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 17 << 17
+    return (mixed | (ARTICLE if state == KEPT else 0) | min(len(text), LENGTH)) - (1 << 63)
+
+
+def _addressed(pages: DataFrame) -> DataFrame:
+    """One row a page: host, path and markup."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(bare, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_replace(F.regexp_replace(bare, r"^[^/?#]*", ""), r"[?#].*$", "")
     path = F.regexp_replace(path, r"(?:/index)?(?:\.(?:html?|php|aspx?|jsp))?/*$", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    names = ["page_id", "url", "host", "path"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, undecided, hashes = [], [], []
-            for (page,) in rows_of([batch], "html"):
-                left = [(state, text) for state, text in lines_of(page or "") if state != GONE]
-                texts.append([text for _, text in left])
-                undecided.append([n for n, (state, _) in enumerate(left) if state == OPEN])
-                hashes.append([line_hash(text) for state, text in left if state == OPEN])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(undecided, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                [*names, "lines", "undecided", "hashes"])
 
-    return rows.mapInArrow(run, "page_id long, url string, host string, path string, lines array<string>, "
-                                "undecided array<int>, hashes array<long>")
+def _left(page: str | None) -> list[tuple[int, str]]:
+    return [(state, text) for state, text in lines_of(page or "") if state != GONE]
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [[line_hash(*line) for line in _left(page)] for (page,) in rows_of([batch], "html")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in ("page_id", "host", "path")), pa.array(hashes, pa.list_(pa.int64()))],
+            ["page_id", "host", "path", "hashes"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "url", "host", "path"]
+    for batch in batches:
+        left = [_left(page) for (page,) in rows_of([batch], "html")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in names), pa.array([[text for _, text in page] for page in left], pa.list_(pa.string())),
+             pa.array([[line_hash(*line) for line in page] for page in left], pa.list_(pa.int64()))],
+            [*names, "lines", "hashes"])
 
 
 def _ranked(paths: DataFrame) -> DataFrame:
@@ -259,29 +273,73 @@ def _agreement(a: str, b: str) -> F.Column:
     return F.when(F.col(b).isNull(), -1).when(shorter == 0, 0).otherwise(same)
 
 
-def partners(paths: DataFrame) -> DataFrame:
-    """(host, path, partner_hashes) of the paths that have a neighbour on their host."""
-    ranked = materialise(_ranked(paths), "ranked")
+#: Ranks that are compared in one group.
+BUCKET = 4096
 
-    def shifted(step: int, name: str) -> DataFrame:
-        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"),
-                             F.col("path").alias(f"{name}_path"), F.col("hashes").alias(f"{name}_hashes"))
 
-    both = ranked.join(shifted(1, "before"), "rank", "left").join(shifted(-1, "after"), "rank", "left")
-    for name in ("before", "after"):
-        there = F.col("host") == F.col(f"{name}_host")
-        both = both.withColumn(f"{name}_path", F.when(there, F.col(f"{name}_path")))
+def partners(paths: DataFrame) -> DataFrame:
+    """(host, path, partner_hashes, other_hashes) of the paths that have a neighbour on their host.
+
+    ``other_hashes`` holds those of the two paths before and the two after that share a line with
+    another of them; the rest are no evidence on any line.
+    """
+    place = F.col("rank") % BUCKET
+    buckets = F.array_compact(F.array(F.lit(0), F.when(place < 2, -1), F.when(place >= BUCKET - 2, 1)))
+    dealt = _ranked(paths).withColumn("guest", F.explode(buckets)).withColumn("bucket", F.floor(F.col("rank") / BUCKET) + F.col("guest"))
+    order = Window.partitionBy("bucket").orderBy("rank")
+    steps = {"before": -1, "after": 1, "before2": -2, "after2": 2}
+    for name, step in steps.items():
+        there = F.lag("host", -step).over(order) == F.col("host")
+        dealt = dealt.withColumn(f"{name}_hashes", F.when(there, F.lag("hashes", -step).over(order)))
+        if abs(step) == 1:
+            dealt = dealt.withColumn(f"{name}_path", F.when(there, F.lag("path", -step).over(order)))
     nearer = _agreement("path", "before_path") >= _agreement("path", "after_path")
     found = F.when(F.col("before_path").isNull() & F.col("after_path").isNull(), None).when(
         nearer, F.col("before_hashes")).otherwise(F.col("after_hashes"))
-    return both.select("host", "path", found.alias("partner_hashes")).where("partner_hashes is not null")
+    near = [f"{name}_hashes" for name in steps]
+    others = [F.when(F.coalesce(F.greatest(*(F.arrays_overlap(a, b) for b in near if b != a)), F.lit(False)), F.col(a)) for a in near]
+    return dealt.where("guest = 0").select(
+        "host", "path", found.alias("partner_hashes"), F.array_compact(F.array(*others)).alias("other_hashes")
+    ).where("partner_hashes is not null")
+
+
+def _size(hashes: list[int]) -> int:
+    return sum(h & LENGTH for h in hashes)
+
+
+def _alike(a: list[int], b: list[int], shared: list[int]) -> bool:
+    """Whether the lines of ``a`` that ``b`` has too make them near copies."""
+    return 2 * _size(shared) >= min(_size(a), _size(b))
+
+
+def repeated(article: list[int], others: list[list[int]]) -> set[int]:
+    """Positions of the lines that two of ``others`` have, neither being a near copy of ``article`` or of the other."""
+    unlike: list[tuple[list[int], set[int]]] = []
+    for other in others:
+        shared = [] if set(article).isdisjoint(other) else common(article, other)
+        if shared and not _alike(article, other, [article[n] for n in shared]):
+            unlike.append((other, set(shared)))
+    gone: set[int] = set()
+    for k, (a, in_a) in enumerate(unlike):
+        for b, in_b in unlike[:k]:
+            if in_a & in_b and not _alike(a, b, [a[n] for n in common(a, b)]):
+                gone |= in_a & in_b
+    return gone
+
+
+def _shared(hashes: list[int], partner: list[int], others: list[list[int]]) -> set[int]:
+    """Positions of the lines that differencing deletes."""
+    article = [n for n, h in enumerate(hashes) if h & ARTICLE]
+    undecided = [n for n, h in enumerate(hashes) if not h & ARTICLE]
+    gone = {undecided[n] for n in common([hashes[n] for n in undecided], [h for h in partner if not h & ARTICLE])}
+    return gone | {article[n] for n in repeated([hashes[n] for n in article], [[h for h in o if h & ARTICLE] for o in others])}
 
 
 def _delete_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for lines, undecided, hashes, other in rows_of([batch], "lines", "undecided", "hashes", "partner_hashes"):
-            gone = {undecided[n] for n in common(hashes, other)} if other and hashes else set()
+        for lines, hashes, partner, others in rows_of([batch], "lines", "hashes", "partner_hashes", "other_hashes"):
+            gone = _shared(hashes, partner or [], others or [])
             if len(gone) == len(lines):
                 gone = set()
             texts.append("\n".join(text for n, text in enumerate(lines) if n not in gone))
@@ -292,11 +350,10 @@ def _delete_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html)``."""
-    made = materialise(_blocks(pages), "blocks")
-    paths = made.groupBy("host", "path").agg(F.min_by("hashes", "page_id").alias("hashes"))
+    rows = _addressed(pages)
+    hashed = rows.mapInArrow(_hashed, "page_id long, host string, path string, hashes array<long>")
+    paths = hashed.groupBy("host", "path").agg(F.min_by("hashes", "page_id").alias("hashes"))
     paths = paths.withColumn("hashes", F.coalesce("hashes", F.array().cast("array<long>")))
-    # A page without undecided lines has nothing to compare, though it may be a partner.
-    decided = made.where(F.size("hashes") == 0).withColumn("partner_hashes", F.lit(None).cast("array<long>"))
-    compared = made.where(F.size("hashes") > 0).join(partners(paths), ["host", "path"], "left")
-    return decided.unionByName(compared).mapInArrow(
+    parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>")
+    return parsed.join(partners(paths), ["host", "path"], "left").mapInArrow(
         _delete_shared, "page_id long, url string, text string, n_chars long")

@@ -108,3 +108,34 @@ def test_long_page_and_empty_table(spark):
     text = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(data, SCHEMA)).collect()}
     assert text[2] == "own" and text[1].count("\n") == 20000 - 3
     assert page_text.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def article(*lines):
+    return "<nav>Menu</nav><article>" + "".join(f"<p>{line}</p>" for line in lines) + "</article>"
+
+
+def test_repeated_lines_inside_articles_go_and_copies_stay(spark):
+    story = {n: [f"Sentence {n}.{k} of a story that nobody else on this host has told so far." for k in range(4)] for n in range(20)}
+    licence, passage = "All texts under the common licence.", "A passage that one more article quotes from its neighbour."
+    data = [(n, f"http://a.example/x/{n:02}", article(*story[n], licence), "h", 1) for n in range(10)]
+    data[4] = (4, data[4][1], article(*story[4][:2], passage, licence), "h", 1)
+    data[5] = (5, data[5][1], article(passage, *story[5], licence), "h", 1)
+    # Mirrors, three in a row, and a host of two pages: no evidence that a line is no article.
+    data += [(10 + n, f"http://m.example/y/{n}", article(*story[10], licence), "h", 1) for n in range(3)]
+    data += [(13 + n, f"http://t.example/z/{n}", article(*story[13 + n], licence), "h", 1) for n in range(2)]
+    text = {r.page_id: r.text.split("\n") for r in page_text.extract(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()}
+    for n in (0, 1, 2, 3, 6, 7, 8, 9):
+        assert text[n] == story[n]
+    assert text[4] == [*story[4][:2], passage] and text[5] == [passage, *story[5]]
+    assert all(text[10 + n] == [*story[10], licence] for n in range(3))
+    assert all(text[13 + n] == [*story[13 + n], licence] for n in range(2))
+
+
+def test_neighbours_meet_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(page_text, "BUCKET", 4)
+    table = spark.createDataFrame([("h", f"/{n:03}", [n, -1]) for n in range(30)], "host string, path string, hashes array<long>")
+    got = {r.path: r for r in page_text.partners(table).collect()}
+    for n in range(30):
+        want = sorted(m for m in range(n - 2, n + 3) if 0 <= m < 30 and m != n)
+        assert sorted(o[0] for o in got[f"/{n:03}"].other_hashes) == want
+        assert got[f"/{n:03}"].partner_hashes[0] in (n - 1, n + 1)
