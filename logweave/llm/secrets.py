@@ -39,13 +39,20 @@ class Rule:
     base: bool = False
 
 
+#: A private key's text: headers and base64 up to the END line, newlines also as the escapes of a string literal.  A key
+#: that is cut off runs as far as its headers and its runs of 16 and more go.
+_HEADER = r"""[A-Za-z0-9+/=:,.;()@_"'\\\x20\t]"""
+_WITHIN = rf"({_HEADER}|[\r\n]|-({_HEADER}|[\r\n]))*"
+_CUT_OFF = rf"(\r?\n[A-Za-z]+(-[A-Za-z]+)*:\x20({_HEADER}|-{_HEADER})*)*(([\x20\t\r\n]|\\[nr])*[A-Za-z0-9+/=]{{16,}})+"
+_END = r"-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY(\x20BLOCK)?-----"
+
 #: The three base kinds in their listed order, then the kinds the method adds.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]+", 6, True, True),
     Rule("access", r"AKIA", r"[A-Z0-9]+", 16, base=True),
     # Runs end where another byte stands, so runs of 24 and more are what is left of all runs.
     Rule("hex", r"", r"[0-9a-f]{24,}", 24, base=True),
-    Rule("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY", r"-----", 5),
+    Rule("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY(\x20BLOCK)?", rf"-----({_WITHIN}{_END}|{_CUT_OFF})?", 5),
     Rule("forge", r"gh[opsur]_", r"[A-Za-z0-9]+", 36),
     Rule("chat", r"xox[abprs]-", r"[A-Za-z0-9-]+", 20),
     Rule("cloud", r"AIza", r"[A-Za-z0-9_-]+", 35),
@@ -55,6 +62,13 @@ RULES = (
 )
 
 
+def _without_optional_end(node: automaton.Node) -> automaton.Node:
+    parts = list(node.parts)
+    while node.kind == "seq" and parts and parts[-1].kind == "rep" and parts[-1].low == 0:
+        parts.pop()
+    return automaton.Node(node.kind, tuple(parts), node.bytes, node.low, node.high)
+
+
 class Scanner:
     """The compiled rules."""
 
@@ -63,7 +77,9 @@ class Scanner:
         whole = [automaton.parse(r.head, r.fold) for r in rules]
         bodies = [automaton.parse(r.body, r.fold) for r in rules]
         joined = [automaton.Node("seq", (h, b)) for h, b in zip(whole, bodies, strict=True)]
-        self.starts = automaton.build([automaton.backwards(j) for j in joined], anywhere=True)
+        # An optional ending has no say in where matches begin, and would cost many states there.
+        needed = [automaton.Node("seq", (h, _without_optional_end(b))) for h, b in zip(whole, bodies, strict=True)]
+        self.starts = automaton.build([automaton.backwards(n) for n in needed], anywhere=True)
         self.heads = [automaton.build([h], anywhere=False) for h in whole]
         self.ends = [automaton.build([j], anywhere=False) for j in joined]
 
