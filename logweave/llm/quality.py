@@ -7,7 +7,9 @@ whatever the corpus size) and expectation-maximisation over those counts estimat
 each rule votes on good and on bad texts, hence its accuracy, and the share of good texts.  The
 estimates are drawn towards a prior by a fixed share, so that rare defects stay defects in small
 and large corpora alike.  A document is kept if its posterior probability of being good is at
-least one half, and it passes the base conditions.
+least one half, and it passes the base conditions.  EM weighs abstaining supports too, as they set
+the corpus's texts apart; the posterior that decides does not: the function words are of four
+languages, and a text of another, a list or a verse lacks supports without being bad for that.
 
 Only built-in functions run: one scan computes the features, which are written once; the
 pattern counts are one small aggregate; each EM step is an aggregate over the pattern table
@@ -89,7 +91,7 @@ def features(texts: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), n_words - (WINDOW_WORDS - 1)),
         lambda i: F.xxhash64(F.slice("q_words", i, WINDOW_WORDS)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    closed = F.filter("q_lines", lambda line: line.rlike("[.!?:…\"'”»)][\\x20\\x09-\\x0D]*$"))
+    closed = F.filter("q_lines", lambda line: line.rlike("[.!?:…\"'”»)।॥。！？：」』）۔؟։።၊။][\\x20\\x09-\\x0D]*$"))
     stops = F.filter("q_words", lambda w: w.isin(*FUNCTION_WORDS))
     made = worded.withColumn("q_windows", windows).withColumn("q_lines", lines)
     chars = F.length("text")
@@ -148,12 +150,13 @@ class Model:
     def first(cls, sides: dict[str, int]) -> Model:
         return cls(sides, PRIOR_GOOD, {r: PRIOR[s][0] for r, s in sides.items()}, {r: PRIOR[s][1] for r, s in sides.items()})
 
-    def posterior(self, vote) -> Column:
-        """P(good | votes); ``vote(rule)`` is the rule's vote column."""
+    def posterior(self, vote, lack: bool = True) -> Column:
+        """P(good | votes); ``vote(rule)`` is the rule's vote column; ``lack``: support rules that abstain count against."""
         logit = F.lit(math.log(self.good / (1 - self.good)))
         for rule, g in self.on_good.items():
             b = self.on_bad[rule]
-            logit = logit + F.when(vote(rule) != 0, math.log(g / b)).otherwise(math.log((1 - g) / (1 - b)))
+            silent = math.log((1 - g) / (1 - b)) if lack or self.sides[rule] == BAD else 0.0
+            logit = logit + F.when(vote(rule) != 0, math.log(g / b)).otherwise(silent)
         return 1 / (1 + F.exp(-logit))
 
     def accuracy(self, rule: str) -> float:
@@ -200,7 +203,7 @@ def _judged(measured: DataFrame) -> tuple[DataFrame, Model]:
 
 
 def _verdict(model: Model) -> tuple[Column, Column]:
-    quality = F.when(F.col("q_n_words") > 0, model.posterior(lambda r: F.col(f"q_vote_{r}"))).otherwise(F.lit(0.0))
+    quality = F.when(F.col("q_n_words") > 0, model.posterior(lambda r: F.col(f"q_vote_{r}"), lack=False)).otherwise(F.lit(0.0))
     return quality, ~base_failed() & (quality >= 0.5)
 
 

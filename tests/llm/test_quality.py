@@ -114,3 +114,24 @@ def test_native_and_empty(spark):
     assert quality.keep(empty).collect() == []
     plan = quality.features(empty)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+HINDI = "यह नदी के किनारे बसा हुआ एक पुराना गाँव है जहाँ लोग खेती करते हैं और शाम को साथ बैठते हैं।"
+POLISH = "Rzeka płynie przez miasto obok starego młyna"
+RUSSIAN = "Старый дом стоит у реки за лесом"
+
+
+def test_clean_text_of_other_languages_is_kept(spark, assessed):
+    rng = random.Random(7)
+    hindi = "\n".join(" ".join(rng.sample(HINDI[:-1].split(), 9)) + "।" for _ in range(5))
+    own = {"hindi": hindi, "polish list": "\n".join(f"{POLISH} {k}" for k in "abcde"),
+           "russian verse": "\n".join(f"{RUSSIAN} {k}" for k in "абвгд")}
+    shouted = {f"{name} shouted": text.upper() + " !!!" * 12 for name, text in own.items() if name in ("polish list", "russian verse")}
+    texts = {**own, **shouted}
+    rows_ = [(i, t, 3, "k") for i, t in rows()] + [(1000 + n, t, 3, "k") for n, t in enumerate(texts.values())]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows_, SCHEMA).repartition(3)).collect()}
+    for n, name in enumerate(texts):
+        assert got[1000 + n].kept == (name in own), name
+    # Nothing but the language: as sure as of the listed ones without a defect.
+    assert all(got[1000 + n].quality > 0.75 for n in range(len(own)))
+    assert all(got[i].kept == r.kept for i, r in ((r.doc_id, r) for r in assessed) if i is not None)
