@@ -8,7 +8,8 @@ subsequence and those that both have are deleted: what a site repeats is not the
 
 Two things are known from the markup itself.  Lines of elements that never hold the article
 (navigation, headers, footers, sidebars, notices, adverts, forms, comment sections, scripts and
-styles) go without a comparison.  Lines inside an article or main element need more evidence
+styles) go without a comparison; a class, id or form may be a wrapper's, so it removes no article
+of a page that has no other, and not all of a page.  Lines inside an article or main element need more evidence
 than one partner: mirrored or partly copied articles are in one another's neighbourhood in URL
 order, and one comparison alone would delete what they share.  Such a line is deleted if two of
 the four nearest paths in order have it and neither those two nor the page with one of
@@ -63,22 +64,43 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 GONE, OPEN, KEPT = 0, 1, 2
+#: While a page is read: below a mark that may belong to a wrapper, and an article below such a mark.
+MARKED, FOUND = 3, 4
 
 
-def _removed(name: str, attributes: str) -> bool:
-    if name in REMOVED:
-        return True
+def _removal(name: str, attributes: str) -> int | None:
+    """GONE or MARKED where markup speaks against an element; a class or id name counts by its first word."""
+    if name in REMOVED and name != "form":
+        return GONE
+    found = MARKED if name == "form" else None
     if not attributes or name in ("html", "body", *CONTENT):
-        return False
+        return found
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return GONE
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return GONE
+        if key in ("class", "id") and any(re.split(r"[^a-z0-9]+", token.lstrip("-_"))[0] in MARKS for token in value.split()):
+            found = MARKED
+    return found
+
+
+def _state(above: int, name: str, attributes: str) -> int:
+    removal = GONE if above == GONE else _removal(name, attributes)
+    if removal == GONE or removal == MARKED and above in (KEPT, FOUND):
+        return GONE
+    if above == MARKED or removal == MARKED:
+        return FOUND if name in CONTENT else MARKED
+    return KEPT if above == OPEN and name in CONTENT else above
+
+
+def _settled(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Articles below marks count if the page has no other; without any line left, what marks alone removed is undecided."""
+    states = {state for state, _ in lines}
+    found = GONE if KEPT in states else KEPT
+    marked = GONE if not states.isdisjoint((OPEN, KEPT, FOUND)) else OPEN
+    return [({FOUND: found, MARKED: marked}.get(state, state), text) for state, text in lines]
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
@@ -139,12 +161,12 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         if name in ("li", "option", "dt", "dd", "tr", "td", "th"):
             _end_sibling(stack, name, end_block)
         above = stack[-1][1]
-        state = GONE if above == GONE or _removed(name, tag[3]) else KEPT if above == KEPT or name in CONTENT else above
+        state = _state(above, name, tag[3])
         if name not in BLOCKS and state != above:
             end_block()
         stack.append((name, state))
     end_block()
-    return lines
+    return _settled(lines)
 
 
 def _end_paragraph(stack: list[tuple[str, int]], end_block) -> None:

@@ -139,3 +139,16 @@ def test_neighbours_meet_across_buckets(spark, monkeypatch):
         want = sorted(m for m in range(n - 2, n + 3) if 0 <= m < 30 and m != n)
         assert sorted(o[0] for o in got[f"/{n:03}"].other_hashes) == want
         assert got[f"/{n:03}"].partner_hashes[0] in (n - 1, n + 1)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class='layout has-sidebar'><p>o</p><article><p>a</p></article></div>", ["o", "a"]),
+    ("<div id=page class='no-sidebar'><main>m</main><div class=sidebar>s</div></div>", ["m"]),
+    ("<div class='modal-page'><p>o</p><article><p>a</p><div class=share>s</div></article></div>", ["a"]),
+    ("<form action=x><nav>n</nav><div>o</div><main><h1>t</h1></main></form>", ["t"]),
+    ("<form><div>only</div><div class=ad>ad</div></form>", ["only", "ad"]),
+    ("<article><h1 class='article-header'>t</h1><p>a</p><div id=comments><article>c</article></div></article>", ["t", "a"]),
+    ("<article>a</article><div class=related><article>teaser</article></div>", ["a"]),
+])
+def test_wrappers_do_not_remove_the_article(page, want):
+    assert kept(page) == want
