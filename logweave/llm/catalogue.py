@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, page_text, prefix_forest, quality, secrets, simhash, surrogates, warc
+from . import (bpe, language, packing, page_text, prefix_forest, quality, secrets, simhash, surrogates, url_filter,
+               warc)
 from .shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,12 @@ def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.contract_rules(pages))
+
+
+ORACLE_SQL["op11_url_digests"] = url_filter.JUDGE_SQL

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, rows_of, shared_folder
+from .shared import filesystem, materialise, rows_of, shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
@@ -69,16 +69,6 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     return pack.compress(head.encode()) + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
 
 
-def filesystem(uri: str):
-    """(filesystem, path) of a Hadoop-style URI."""
-    from pyarrow import fs
-
-    local = re.fullmatch(r"(?:file:/*)?(/.*|[^:/].*)", uri)
-    if uri.startswith("file:") or "://" not in uri:
-        return fs.LocalFileSystem(), "/" + re.sub(r"^file:/*", "", uri).lstrip("/") if local else uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as archives below ``folder``; returns the manifest.
 
