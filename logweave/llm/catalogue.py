@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, language, packing, page_text, prefix_forest, quality, secrets, simhash, surrogates, url_filter,
-               warc)
+from . import (bpe, language, packing, page_text, periodic_runs, prefix_forest, quality, secrets, simhash, surrogates,
+               url_filter, warc)
 from .shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op11_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op11_url_digests"] = url_filter.JUDGE_SQL
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(read_table(spark, sf_dir, "documents"), periodic_runs.contract_rewrite)
