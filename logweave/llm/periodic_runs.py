@@ -48,21 +48,26 @@ KEPT_WORDS = 1 << 15
 _GAPS = b" \t\n\r\x0b\x0c"
 
 
-def words_of(raw: bytes) -> Iterator[bytes]:
+def words_of(raw: bytes) -> Iterator[list[bytes]]:
     """The words, a slice of the text at a time (``bytes.split`` parts at just these six bytes)."""
     at = 0
     while at < len(raw):
         stop = min(len(raw), at + SLICE_BYTES)
         while stop < len(raw) and raw[stop] not in _GAPS:
             stop += 1
-        yield from raw[at:stop].split()
+        yield raw[at:stop].split()
         at = stop
 
 
 def numbered(raw: bytes) -> np.ndarray:
     """Word numbers, equal for equal words, from 1."""
     seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words_of(raw)), np.int32)
+    parts = []
+    for words in words_of(raw):
+        for w in dict.fromkeys(words):
+            seen.setdefault(w, len(seen) + 1)
+        parts.append(np.array(list(map(seen.__getitem__, words)), np.int32))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def ranks_of(*columns: np.ndarray) -> np.ndarray:
@@ -191,7 +196,7 @@ def pairs(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of grid pairs (i, i + p) of a text of n words."""
     if n <= KEPT_WORDS:
         i, _, j = once(("run grid",), _kept_grid)
-        stop = np.searchsorted(j, n)  # ordered by the second position: those inside come first
+        stop = np.searchsorted(j, np.int32(n))  # ordered by the second position: those inside come first
         yield i[:stop], j[:stop]
         return
     first = 1
