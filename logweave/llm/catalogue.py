@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (bpe, language, packing, page_text, periodic_runs, prefix_forest, quality, secrets, simhash, surrogates,
-               url_filter, warc)
+               token_alignment, url_filter, warc)
 from .shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ ORACLE_SQL["op11_url_digests"] = url_filter.JUDGE_SQL
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(read_table(spark, sf_dir, "documents"), periodic_runs.contract_rewrite)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(read_table(spark, sf_dir, "documents"))
