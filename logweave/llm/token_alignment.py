@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .shared import materialise, once, rows_of, utf8
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MEMO_WORDS, MEMO_CHARS = 300_000, 48
-MEMO_WINDOWS, MEMO_WINDOW_IDS = 300_000, 32
+MEMO_WORDS, MEMO_CHARS = 200_000, 48
+MEMO_WINDOWS, MEMO_WINDOW_IDS = 200_000, 32
 #: Up to this many different pairs (some 60 bytes each) their counts are broadcast.
 BROADCAST_PAIRS = 1 << 20
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -91,31 +91,34 @@ def ranked_encoder(file: str) -> Callable[[list[str]], list[list[int]]] | None:
 
 
 def align_window(a: list[int], b: list[int], of_a: Vocabulary, of_b: Vocabulary) -> tuple[str, int, bytes]:
-    """The alignment of one window: its groups as text, their number, its links as pair numbers."""
-    shown_a, shown_b = [of_a.shown[i] for i in a], [of_b.shown[i] for i in b]
-    if len(a) == 1 or len(b) == 1:
-        links = array("q", [i << 32 | j for i in a for j in b])
-        return f"{','.join(shown_a)}|{','.join(shown_b)}", 1, links.tobytes()
-    size_a, size_b = [of_a.sizes[i] for i in a], [of_b.sizes[i] for i in b]
-    groups, links = [], array("q")
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[0], size_b[0]
+    """The alignment of one window: its groups as text, their number, its links as pairs of 32-bit ids, B's first."""
+    size_a, size_b, shown_a, shown_b = of_a.sizes, of_b.sizes, of_a.shown, of_b.shown
+    groups, links = [], array("I")
+    i = j = 0
+    x, y = a[0], b[0]
+    end_a, end_b = size_a[x], size_b[y]
+    text_a, text_b = shown_a[x], shown_b[y]
     while True:
-        links.append(a[i] << 32 | b[j])
+        links.append(y)
+        links.append(x)
         if end_a == end_b:
+            groups.append(f"{text_a}|{text_b}")
             i, j = i + 1, j + 1
-            groups.append(f"{','.join(shown_a[first_a:i])}|{','.join(shown_b[first_b:j])}")
             if i == len(a):
                 return ";".join(groups), len(groups), links.tobytes()
-            first_a, first_b = i, j
-            end_a += size_a[i]
-            end_b += size_b[j]
+            x, y = a[i], b[j]
+            end_a, end_b = end_a + size_a[x], end_b + size_b[y]
+            text_a, text_b = shown_a[x], shown_b[y]
         elif end_a < end_b:
             i += 1
-            end_a += size_a[i]
+            x = a[i]
+            end_a += size_a[x]
+            text_a += "," + shown_a[x]
         else:
             j += 1
-            end_b += size_b[j]
+            y = b[j]
+            end_b += size_b[y]
+            text_b += "," + shown_b[y]
 
 
 class Aligner:
@@ -138,8 +141,11 @@ class Aligner:
         self.of_b = Vocabulary([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
                                 for i, p in enumerate(pieces)])
         self.by_word = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
+        # Each memo has a young and an older half: what is in use moves on, the rest is forgotten.
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older_words: dict[str, tuple[bytes, bytes] | None] = {}
         self.windows: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
+        self.older_windows: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
 
     @classmethod
     def of(cls, files: tuple[str, str]) -> Aligner:
@@ -148,9 +154,10 @@ class Aligner:
     def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Both sides' ids of a space and each part, None where a side spells something else."""
         out = []
+        bytes_a, bytes_b = self.of_a.tokens.__getitem__, self.of_b.tokens.__getitem__
         for part, a, b in zip(parts, self.encode_a([" " + p for p in parts]), self.b.encode(parts, num_threads=1), strict=True):
             raw = b" " + part.encode()
-            spelled = all(b"".join([v.tokens[i] for i in ids]) == raw for ids, v in ((a, self.of_a), (b, self.of_b)))
+            spelled = b"".join(map(bytes_b, b)) == raw and b"".join(map(bytes_a, a)) == raw
             out.append((array("I", a).tobytes(), array("I", b).tobytes()) if spelled else None)
         return out
 
@@ -159,12 +166,17 @@ class Aligner:
         if not text:
             return None
         parts = _BETWEEN_WORDS.split(text) if self.by_word else [text]
-        memo = self.words
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in memo]
+        if len(self.words) > MEMO_WORDS:
+            self.words, self.older_words = {}, self.words
+        memo, older = self.words, self.older_words
+        new = []
+        for part in set(parts).difference(memo):
+            if part in older:
+                memo[part] = older[part]
+            else:
+                new.append(part)
         memo.update(zip(new, self._encode(new), strict=True))
-        got = [memo[p] for p in parts]
+        got = list(map(memo.__getitem__, parts))
         for p in new:
             if len(p) > MEMO_CHARS:
                 del memo[p]
@@ -188,22 +200,19 @@ class Aligner:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = ids
         cut_a, cut_b = self.anchors(a, b)
-        raw_a, raw_b, memo = a.tobytes(), b.tobytes(), self.windows
-        list_a, list_b = a.tolist(), b.tolist()
-        if len(memo) > MEMO_WINDOWS:
-            memo.clear()
-        got = []
-        from_a = from_b = 0
-        for to_a, to_b in zip(cut_a[1:], cut_b[1:], strict=True):
-            key = raw_a[4 * from_a:4 * to_a], raw_b[4 * from_b:4 * to_b]
-            window = memo.get(key)
-            if window is None:
-                window = align_window(list_a[from_a:to_a], list_b[from_b:to_b], self.of_a, self.of_b)
-                if max(to_a - from_a, to_b - from_b) <= MEMO_WINDOW_IDS:
-                    memo[key] = window
-            got.append(window)
-            from_a, from_b = to_a, to_b
-        links = np.frombuffer(b"".join([w[2] for w in got]), np.int64)
+        raw_a, raw_b, list_a, list_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+        if len(self.windows) > MEMO_WINDOWS:
+            self.windows, self.older_windows = {}, self.windows
+        memo, older = self.windows, self.older_windows
+        windows = list(zip(cut_a, cut_a[1:], cut_b, cut_b[1:]))
+        keys = [(raw_a[4 * i:4 * j], raw_b[4 * k:4 * m]) for i, j, k, m in windows]
+        got = list(map(memo.get, keys))
+        for at in [n for n, window in enumerate(got) if window is None]:
+            key, (i, j, k, m) = keys[at], windows[at]
+            got[at] = memo.get(key) or older.get(key) or align_window(list_a[i:j], list_b[k:m], self.of_a, self.of_b)
+            if max(j - i, m - k) <= MEMO_WINDOW_IDS:
+                memo[key] = got[at]
+        links = np.frombuffer(b"".join([w[2] for w in got]), "<i8")
         pairs, times = np.unique(links, return_counts=True)
         shown = hashlib.sha256(";".join([w[0] for w in got]).encode()).hexdigest()
         return len(a), len(b), sum([w[1] for w in got]), len(links), shown, pairs, times
