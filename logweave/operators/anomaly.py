@@ -55,6 +55,16 @@ def _distance_table(vec: DataFrame, logs: DataFrame | None) -> DataFrame:
     return d.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def gated_zscore(rows: DataFrame, threshold: float, weights: dict | None = None) -> DataFrame:
+    """``anomaly_score`` (= |z|), ``is_anomaly`` and method of rows with ``distance``, ``level`` and the
+    population's ``_st(m, s, n)``; NULL with fewer than 2 vectors or zero spread."""
+    m, s, n = F.col("_st.m"), F.col("_st.s"), F.col("_st.n")
+    z = F.when((n >= 2) & (s > 0), F.abs((F.col("distance") - m) / s))
+    return rows.withColumn("anomaly_score", z) \
+        .withColumn("is_anomaly", level_gate(z > F.lit(threshold), z, threshold, level_weight("level", weights))) \
+        .withColumn("detection_method", F.lit("Z-score")).drop("_st")
+
+
 def detect_zscore(vec: DataFrame, logs: DataFrame | None = None, threshold: float = 3.0,
                   weights: dict | None = None) -> DataFrame:
     """Z3: |d - mean| / std_pop(d) > threshold, then the level gate.
@@ -67,14 +77,8 @@ def detect_zscore(vec: DataFrame, logs: DataFrame | None = None, threshold: floa
     d = _distance_table(vec, logs)
     st = d.agg(F.struct(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s"),
                         F.count(F.lit(1)).alias("n")).alias("st")).select("st").scalar()
-    d = d.withColumn("_st", st)
-    m, s, n = F.col("_st.m"), F.col("_st.s"), F.col("_st.n")
-    d = d.filter((n >= 2) & (s > 0))
-    z = F.abs((F.col("distance") - m) / s)
-    w = level_weight("level", weights)
-    return d.withColumn("anomaly_score", z) \
-        .withColumn("is_anomaly", level_gate(z > F.lit(threshold), z, threshold, w)) \
-        .withColumn("detection_method", F.lit("Z-score")).drop("_st")
+    d = d.withColumn("_st", st).filter((F.col("_st.n") >= 2) & (F.col("_st.s") > 0))
+    return gated_zscore(d, threshold, weights)
 
 
 def detect_iqr(vec: DataFrame, logs: DataFrame | None = None, multiplier: float = 1.5,

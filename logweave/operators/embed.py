@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .admission import admit  # noqa: F401 - E4 is part of this module's interface
 from .numbering import number_rows
 
 # Fixed values (must equal the reference): price per million tokens of the small embedding
@@ -21,7 +22,6 @@ from .numbering import number_rows
 PRICE_PER_MILLION_TOKENS = 0.02
 CHARS_PER_TOKEN = 4
 MAX_TEXTS_PER_REQUEST = 2048
-BUDGET_WARNING_SHARE = 0.8
 
 
 def text_hash(c: str = "text"):
@@ -54,34 +54,6 @@ def chunk(df: DataFrame, n: int = MAX_TEXTS_PER_REQUEST, order_cols=("text_hash"
     return numbered.withColumn("request_no", F.floor((F.col("row_no") - 1) / n).cast("bigint")).drop("row_no")
 
 
-def admit(batches: DataFrame, daily_budget_usd: float) -> DataFrame:
-    """Daily-budget admission of whole batches.
-
-    ``batches``: one row per batch with ``day``, ``batch_no`` (order) and ``est_cost_usd``.
-    A batch is rejected if spent(day) + estimate > budget; a rejected batch adds nothing, so
-    this is a sequential fold per day — over batch rows (one per request), never text rows.
-    Adds ``admitted``, ``spent_before``, ``spent_after`` and ``warning`` (>= 80 % used).
-    """
-    b = F.lit(float(daily_budget_usd))
-    g = batches.groupBy("day").agg(
-        F.array_sort(F.collect_list(F.struct("batch_no", "est_cost_usd"))).alias("bs"))
-
-    def step(acc, x):
-        spent = acc["spent"]
-        ok = (spent + x["est_cost_usd"]) <= b
-        after = F.when(ok, spent + x["est_cost_usd"]).otherwise(spent)
-        rec = F.struct(x["batch_no"].alias("batch_no"), ok.alias("admitted"),
-                       spent.alias("spent_before"), after.alias("spent_after"))
-        return F.struct(after.alias("spent"), F.concat(acc["out"], F.array(rec)).alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("spent"),
-                    F.array().cast("array<struct<batch_no:bigint,admitted:boolean,"
-                                   "spent_before:double,spent_after:double>>").alias("out"))
-    folded = g.select("day", F.explode(F.aggregate("bs", zero, step)["out"]).alias("r")).select("day", "r.*")
-    return batches.join(folded, ["day", "batch_no"], "inner") \
-        .withColumn("warning", F.col("spent_after") >= b * F.lit(BUDGET_WARNING_SHARE))
-
-
 # ---- pluggable embedding ------------------------------------------------------------------
 
 _TOKEN = re.compile(r"\w+", re.UNICODE)
