@@ -99,7 +99,7 @@ def score(vec: DataFrame, population: DataFrame, threshold: float = 3.0, weights
     A population of fewer than two vectors, or without spread, gives no score: NULL ``anomaly_score``
     and ``is_anomaly`` (as Z7).
     """
-    st = population.select(F.struct(F.col("distance_mean").alias("m"), F.sqrt(F.col("distance_m2") / F.col("n")).alias("s"),
+    st = population.select(F.struct(F.col("distance_mean").alias("m"), F.sqrt(F.try_divide("distance_m2", "n")).alias("s"),
                                     F.col("n"), F.col("center")).alias("st")).select("st").scalar()
     rows = valid_vectors(vec).withColumn("_st", st).withColumn("distance", VX.euclidean("embedding", "_st.center"))
     return gated_zscore(rows, threshold, weights)

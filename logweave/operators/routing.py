@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import PRIORITY_LEVELS
@@ -29,13 +29,14 @@ def sub_batches(df: DataFrame, size: int = 50, order_cols=("ts", "log_id"),
     return numbered.withColumn("batch_no", F.floor((F.col("row_no") - 1) / size).cast("bigint")).drop("row_no")
 
 
-def batch_outcome(df: DataFrame) -> DataFrame:
-    """Processed / embedded / anomalous / failed counters of one batch result table.
+def outcome_counters() -> list[Column]:
+    """R5 as aggregates, for ``agg`` or ``observe``, over ``embedding``, ``is_anomaly`` and ``error`` (all nullable)."""
+    return [F.count(F.lit(1)).alias("processed"),
+            F.count_if(F.col("embedding").isNotNull()).alias("embeddings_generated"),
+            F.count_if(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("anomalies_detected"),
+            F.count_if(F.col("error").isNotNull()).alias("errors")]
 
-    Expected columns: ``embedding`` (nullable), ``is_anomaly`` (nullable), ``error`` (nullable).
-    """
-    return df.agg(
-        F.count(F.lit(1)).alias("processed"),
-        F.count_if(F.col("embedding").isNotNull()).alias("embeddings_generated"),
-        F.count_if(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("anomalies_detected"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+def batch_outcome(df: DataFrame) -> DataFrame:
+    """Processed / embedded / anomalous / failed counters of one batch result table."""
+    return df.agg(*outcome_counters())

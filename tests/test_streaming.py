@@ -4,15 +4,18 @@ import time
 
 from pyspark.sql import functions as F
 
+from logweave.operators import anomaly as A
 from logweave.operators import multiline as ML
 from logweave.operators import timeseries as TS
+from logweave.operators.routing import batch_outcome
 from logweave.sources.logfiles import read_raw_stream
 from logweave.sources.tables import Tables
 from logweave.streaming.multiline_stream import assemble_multiline_stream, drain
-from logweave.streaming.pipeline import run_pipeline, volume_stream
+from logweave.streaming.pipeline import outcome_totals, process_batch, run_pipeline, volume_stream
 
 from .conftest import SF_SMALL
 
+AS_OF = "2024-01-20 00:00:00"
 SCHEMA = "seq bigint, src string, arrival_ms bigint, line string"
 
 
@@ -94,6 +97,55 @@ def test_two_track_pipeline_restart_no_duplicates(spark):
     assert os.path.isdir(f"{d}/out/processed")
 
 
+OUT = ["log_id", "anomaly_score", "is_anomaly", "error"]
+
+
+def _results(spark, out):
+    return sorted((tuple(r) for r in spark.read.parquet(f"{out}/results").select(*OUT).collect()), key=str)
+
+
+def test_priority_rows_are_scored_as_by_the_whole_scan(spark):
+    d = tempfile.mkdtemp(prefix="lw-r2-score-", dir="/tmp")
+    records = Tables(spark, SF_SMALL).raw_records.select("value").distinct()
+    parts = records.randomSplit([1.0, 1.0], seed=3)
+    for epoch, part in enumerate(parts):
+        outcome = process_batch(part, epoch, f"{d}/out", as_of=AS_OF, refresh_growth=0.0)
+    vec = spark.read.parquet(f"{d}/out/log_vectors")
+    second = vec.where("epoch_id = 1").select("log_id")
+    want = {r.log_id: (r.anomaly_score, r.is_anomaly) for r in A.score_logs(second, vec.drop("epoch_id"), None, "zscore").collect()}
+    got = spark.read.parquet(f"{d}/out/results").where("epoch_id = 1").collect()
+    assert len(got) == len(want) == outcome["processed"] > 20
+    for r in got:
+        assert abs(r.anomaly_score - want[r.log_id][0]) < 1e-9 and r.is_anomaly == want[r.log_id][1]
+    # an epoch that is run again changes nothing, and its counters are those of its table
+    before = _results(spark, f"{d}/out")
+    states = spark.read.parquet(f"{d}/out/population").orderBy("epoch_id").collect()
+    assert process_batch(parts[1], 1, f"{d}/out", as_of=AS_OF, refresh_growth=0.0) == outcome
+    assert _results(spark, f"{d}/out") == before
+    assert spark.read.parquet(f"{d}/out/population").orderBy("epoch_id").collect() == states
+    told = spark.read.parquet(f"{d}/out/results").join(vec.select("log_id", "embedding"), "log_id", "left")
+    assert batch_outcome(told).first() == outcome_totals(spark, f"{d}/out").first()
+
+
+def test_budget_admits_whole_requests_and_counts_the_rest_as_errors(spark):
+    d = tempfile.mkdtemp(prefix="lw-r2-budget-", dir="/tmp")
+    texts = [f'{{"message": "ERROR: disk {i} {"x" * 392}", "level": "error"}}' for i in range(120)]
+    batch = spark.createDataFrame([(t,) for t in texts], "value string")
+    # a request of 50 such texts costs some 50 * 101 tokens
+    outcome = process_batch(batch, 0, f"{d}/out", as_of=AS_OF, daily_budget_usd=2.1 * 50 * 101 / 1e6 * 0.02)
+    assert outcome["processed"] == 120 and outcome["embeddings_generated"] == 100 and outcome["errors"] == 20
+    again = process_batch(batch, 1, f"{d}/out", as_of=AS_OF, daily_budget_usd=2.1 * 50 * 101 / 1e6 * 0.02)
+    assert again["embeddings_generated"] == 100 and again["errors"] == 20  # hits are free, the rest is still too dear
+
+
+def test_batches_without_priority_rows(spark):
+    d = tempfile.mkdtemp(prefix="lw-r2-none-", dir="/tmp")
+    quiet = spark.createDataFrame([('{"message": "all well", "level": "info"}',)], "value string")
+    none = {"processed": 0, "embeddings_generated": 0, "anomalies_detected": 0, "errors": 0}
+    for epoch in (0, 1):
+        assert process_batch(quiet, epoch, f"{d}/out", as_of=AS_OF) == {"epoch_id": epoch, **none}
+
+
 def test_volume_stream_matches_batch(spark):
     t = Tables(spark, SF_SMALL)
     d = tempfile.mkdtemp(prefix="lw-v4-", dir="/tmp")
