@@ -54,6 +54,16 @@ RECOGNISERS = [
 _MARK = ""   # private-use marker, used to keep the single-pass IP:port semantics
 
 
+#: Word characters of all scripts; ``\b`` alone means different things to different Java versions.
+WORD = r"[\p{L}\p{Nl}\p{No}0-9_]"
+BORDER = r"\b"
+
+
+def between_words(pattern: str) -> str:
+    r"""A pattern that begins and ends with ``\b`` and a word character, its borders spelled out."""
+    return f"(?<!{WORD}){pattern.removeprefix(BORDER).removesuffix(BORDER)}(?!{WORD})"
+
+
 def _host_pattern(domains: list[str]) -> str:
     alts = "|".join(d.replace(".", r"\.") for d in domains)
     return rf"(?i)[a-zA-Z0-9.-]*\.({alts})(:\d+)?"
@@ -62,17 +72,17 @@ def _host_pattern(domains: list[str]) -> str:
 def redact_ip(c: str | Column) -> tuple[Column, Column]:
     """``a.b.c.d:port`` -> ``[IP]:[PORT]``, ``a.b.c.d`` -> ``[IP]`` in one left-to-right
     scan (a marker carries the optional port group to a second, literal rewrite)."""
-    s = col(c)
-    marked = F.regexp_replace(s, IP_PORT_PATTERN, f"[IP]{_MARK}$2{_MARK}")
+    s, pattern = col(c), between_words(IP_PORT_PATTERN)
+    marked = F.regexp_replace(s, pattern, f"[IP]{_MARK}$2{_MARK}")
     out = F.regexp_replace(F.regexp_replace(marked, f"{_MARK}:[0-9]{{1,5}}{_MARK}", ":[PORT]"),
                            f"{_MARK}{_MARK}", "")
-    return out, F.regexp_count(s, F.lit(IP_PORT_PATTERN))
+    return out, F.regexp_count(s, F.lit(pattern))
 
 
 def redact_uuid(c: str | Column) -> tuple[Column, Column]:
     """P2."""
-    s = col(c)
-    return F.regexp_replace(s, UUID_PATTERN, "[UUID]"), F.regexp_count(s, F.lit(UUID_PATTERN))
+    s, pattern = col(c), between_words(UUID_PATTERN)
+    return F.regexp_replace(s, pattern, "[UUID]"), F.regexp_count(s, F.lit(pattern))
 
 
 def redact_hosts(c: str | Column, domains: list[str] | None = None) -> tuple[Column, Column]:
@@ -187,10 +197,10 @@ def redact(c: str | Column, threshold: float = PII_CONFIDENCE_THRESHOLD,
     hp = _host_pattern(domains or CLOUD_DOMAINS)
 
     def phase1(x):
-        marked = F.regexp_replace(x, IP_PORT_PATTERN, f"[IP]{_MARK}$2{_MARK}")
+        marked = F.regexp_replace(x, between_words(IP_PORT_PATTERN), f"[IP]{_MARK}$2{_MARK}")
         out = F.regexp_replace(F.regexp_replace(marked, f"{_MARK}:[0-9]{{1,5}}{_MARK}", ":[PORT]"),
                                f"{_MARK}{_MARK}", "")
-        return F.struct(out.alias("t"), F.array(F.regexp_count(x, F.lit(IP_PORT_PATTERN))).alias("n"))
+        return F.struct(out.alias("t"), F.array(F.regexp_count(x, F.lit(between_words(IP_PORT_PATTERN)))).alias("n"))
 
     def phase(pattern, placeholder, guard_pattern=None, guard_literal=None):
         def f(acc):
@@ -202,7 +212,7 @@ def redact(c: str | Column, threshold: float = PII_CONFIDENCE_THRESHOLD,
         return f
 
     r = let(F.coalesce(col(c), F.lit("")), phase1)
-    r = let(r, phase(UUID_PATTERN, "[UUID]", guard_literal="-"))
+    r = let(r, phase(between_words(UUID_PATTERN), "[UUID]", guard_literal="-"))
     dom = "|".join(d.replace(".", r"\.") for d in (domains or CLOUD_DOMAINS))
     r = let(r, phase(hp, "[CLOUD_HOST]", guard_pattern=rf"(?i)\.({dom})"))
 

@@ -23,7 +23,7 @@ def detect_pii(df: DataFrame, text_col: str, id_col: str | None = None,
     """
     s = F.coalesce(F.col(text_col), F.lit(""))
     spans = []
-    table = [("IP_ADDRESS", P.IP_PORT_PATTERN, 0.95, [], None)] + P.RECOGNISERS
+    table = [("IP_ADDRESS", P.between_words(P.IP_PORT_PATTERN), 0.95, [], None)] + P.RECOGNISERS
     for entity, pattern, base, context, check in table:
         matches = F.regexp_extract_all(s, F.lit(pattern), 0)
         pieces = F.split(s, pattern, -1)

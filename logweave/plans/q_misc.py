@@ -48,33 +48,43 @@ for _fmt in LF.LINE_FORMATS:
     register(f"SRC3_{_fmt}", _src3_sql(_fmt), views=("log_lines",))(_src3(_fmt))
 
 
-@register("SRC4", f"""SELECT rec_id, CAST(len(json_keys(value)) AS INTEGER) AS n_fields, json_extract_string(value, '$.message') AS message,
-  CAST(try_strptime(json_extract_string(value, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%g') AS TIMESTAMP) AS time_parsed
-FROM raw_records WHERE {D.is_object('value')}""", views=("raw_records",))
+_OBJ = D.is_object("value")
+
+
+def _when_object(text: str) -> str:
+    return f"CASE WHEN {_OBJ} THEN {text} END"
+
+
+def _object_records(spark, sf_dir):
+    v = N.parse_record("value")
+    is_object = v.isNotNull() & F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("0")))).startswith("OBJECT")
+    return Tables(spark, sf_dir).raw_records.withColumn("_object", is_object)
+
+
+@register("SRC4", f"""SELECT rec_id, CAST({_when_object("len(json_keys(value))")} AS INTEGER) AS n_fields,
+  {_when_object("json_extract_string(value, '$.message')")} AS message,
+  {_when_object("CAST(try_strptime(json_extract_string(value, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%g') AS TIMESTAMP)")} AS time_parsed
+FROM raw_records""", views=("raw_records",))
 def q_src4(spark, sf_dir):
-    r = Tables(spark, sf_dir).raw_records.withColumnRenamed("value", "line")
-    v = F.try_parse_json("line")
-    r = r.filter(v.isNotNull() & F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("0")))).startswith("OBJECT"))
-    p = LF.parse_json_lines(r, "json", time_key="timestamp")
-    return p.select("rec_id", F.size("fields").alias("n_fields"), F.col("fields")["message"].alias("message"),
-                    "time_parsed")
+    """Lines that are no JSON object have no fields, message or time."""
+    lines = _object_records(spark, sf_dir).withColumn("line", F.when(F.col("_object"), F.col("value")))
+    p = LF.parse_json_lines(lines, "json", time_key="timestamp")
+    return p.select("rec_id", F.when(F.col("_object"), F.size("fields")).alias("n_fields"),
+                    F.col("fields")["message"].alias("message"), "time_parsed")
 
 
-@register("SRC5", f"""WITH r AS (SELECT rec_id, json_extract_string(value, '$.tag') AS tag,
-  json_extract_string(value, '$.service') AS service, json_extract_string(value, '$.environment') AS environment
-  FROM raw_records WHERE {D.is_object('value')})
+@register("SRC5", f"""WITH r AS (SELECT rec_id, {_when_object("json_extract_string(value, '$.tag')")} AS tag,
+  {_when_object("json_extract_string(value, '$.service')")} AS service,
+  {_when_object("json_extract_string(value, '$.environment')")} AS environment FROM raw_records)
 SELECT rec_id, tag, COALESCE(service, CASE WHEN regexp_matches(tag, '^host\\.') THEN 'host'
     WHEN regexp_matches(tag, '^logs\\.') THEN 'fluentbit' END) AS service,
   COALESCE(environment, CASE WHEN regexp_matches(tag, '^docker\\.') THEN 'docker' WHEN regexp_matches(tag, '^host\\.') THEN 'host'
     WHEN regexp_matches(tag, '^logs\\.') THEN 'docker' END) AS environment
 FROM r""", views=("raw_records",))
 def q_src5(spark, sf_dir):
-    r = Tables(spark, sf_dir).raw_records
-    v = N.parse_record("value")
-    r = r.filter(v.isNotNull() & F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("0")))).startswith("OBJECT"))
-    r = r.select("rec_id", N.vget(v, "tag").alias("tag"), N.vget(v, "service").alias("service"),
-                 N.vget(v, "environment").alias("environment"))
-    return LF.enrich_by_tag(r)
+    r = _object_records(spark, sf_dir)
+    fields = [F.when(F.col("_object"), N.vget(N.parse_record("value"), k)).alias(k) for k in ("tag", "service", "environment")]
+    return LF.enrich_by_tag(r.select("rec_id", *fields))
 
 
 @register("A4", "SELECT service, level, COUNT(*) AS n FROM logs GROUP BY service, level", views=("logs",))

@@ -16,49 +16,57 @@ V = "value"
 OBJ = D.is_object(V)
 
 
+def _is_object():
+    v = N.parse_record(V)
+    return v.isNotNull() & F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("0")))).startswith("OBJECT")
+
+
+def _told(df, *names):
+    """``rec_id`` and the columns, NULL for records that are no JSON object."""
+    return df.select("rec_id", *[F.when(F.col("_object"), F.col(n)).alias(n) for n in names])
+
+
 def _records(spark, sf_dir):
-    df = Tables(spark, sf_dir).raw_records
-    v = N.parse_record("value")
-    return df.filter(v.isNotNull() & F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("0"))))
-                     .startswith("OBJECT"))
+    return Tables(spark, sf_dir).raw_records.withColumn("_object", _is_object())
 
 
 _RECS = f"recs AS (SELECT * FROM raw_records WHERE {OBJ})"
 
 
 @register("N1", f"""WITH {_RECS}, {D.message_ctes('recs')}
-SELECT rec_id, message FROM msg""", views=("raw_records",))
+SELECT r.rec_id, m.message FROM raw_records r LEFT JOIN msg m ON m.rec_id = r.rec_id""", views=("raw_records",))
 def q_n1(spark, sf_dir):
-    return N.with_message(_records(spark, sf_dir), "value", "message").select("rec_id", "message")
+    return _told(N.with_message(_records(spark, sf_dir), "value", "message"), "message")
 
 
-@register("N2", f"SELECT rec_id, {D.service_name(V)} AS service_name FROM raw_records WHERE {OBJ}",
+@register("N2", f"SELECT rec_id, CASE WHEN {OBJ} THEN {D.service_name(V)} END AS service_name FROM raw_records",
           views=("raw_records",))
 def q_n2(spark, sf_dir):
-    return _records(spark, sf_dir).select("rec_id", N.extract_service_name("value").alias("service_name"))
+    return _told(_records(spark, sf_dir).withColumn("service_name", N.extract_service_name("value")), "service_name")
 
 
-@register("N3", f"SELECT rec_id, {D.pick_ts(V)} AS ts_text FROM raw_records WHERE {OBJ}",
+@register("N3", f"SELECT rec_id, CASE WHEN {OBJ} THEN {D.pick_ts(V)} END AS ts_text FROM raw_records",
           views=("raw_records",))
 def q_n3(spark, sf_dir):
-    return _records(spark, sf_dir).select("rec_id", N.pick_timestamp("value").alias("ts_text"))
+    return _told(_records(spark, sf_dir).withColumn("ts_text", N.pick_timestamp("value")), "ts_text")
 
 
-@register("N4", f"""SELECT rec_id, CASE WHEN {D.ts_is_string(V)} THEN {D.parse_ts(D.pick_ts(V))} END AS parsed_ts
-FROM raw_records WHERE {OBJ}""", views=("raw_records",))
+@register("N4", f"""SELECT rec_id, CASE WHEN {OBJ} AND {D.ts_is_string(V)} THEN {D.parse_ts(D.pick_ts(V))} END AS parsed_ts
+FROM raw_records""", views=("raw_records",))
 def q_n4(spark, sf_dir):
-    return N.with_timestamp_field(_records(spark, sf_dir), "value", "parsed_ts").select("rec_id", "parsed_ts")
+    return _told(N.with_timestamp_field(_records(spark, sf_dir), "value", "parsed_ts"), "parsed_ts")
 
 
 _N5_TS = f"CASE WHEN {D.ts_is_string(V)} THEN {D.parse_ts(D.pick_ts(V))} END"
 
 
-@register("N5", f"""WITH {_RECS}, {D.message_ctes('recs')}
-SELECT rec_id, {D.resolve_ts(_N5_TS, 'message', AS_OF)} AS resolved_ts FROM msg""", views=("raw_records",))
+@register("N5", f"""WITH {_RECS}, {D.message_ctes('recs')},
+t AS (SELECT rec_id, {D.resolve_ts(_N5_TS, 'message', AS_OF)} AS resolved_ts FROM msg)
+SELECT r.rec_id, t.resolved_ts FROM raw_records r LEFT JOIN t ON t.rec_id = r.rec_id""", views=("raw_records",))
 def q_n5(spark, sf_dir):
     # The normaliser's probe-once path (unused columns such as the redacted message are pruned).
     out = normalize_records(_records(spark, sf_dir), as_of=AS_OF, id_cols=["rec_id"])
-    return out.select("rec_id", F.col("timestamp").alias("resolved_ts"))
+    return _told(out.withColumnRenamed("timestamp", "resolved_ts"), "resolved_ts")
 
 
 @register("N6", f"SELECT line_id, {D.resolve_level('message', 'NULL', 'level')} AS resolved_level FROM raw_lines",
