@@ -10,22 +10,25 @@ Two things are known from the markup itself.  Lines of elements that never hold
 (navigation, headers, footers, sidebars, notices, adverts, forms, comment sections, scripts and
 styles) go without a comparison; a class, id or form may be a wrapper's, so it removes no article
 of a page that has no other, and not all of a page.  Lines inside an article or main element need more evidence
-than one partner: mirrored or partly copied articles are in one another's neighbourhood in URL
-order, and one comparison alone would delete what they share.  Such a line is deleted if two of
-the four nearest paths in order have it and neither those two nor the page with one of
-them are near copies, that is, share half of the shorter article's characters.  A passage copied
-into several otherwise different neighbours looks the same as a repeated line and goes too.
+than one partner, and the same for all pages of a host.  Differencing only proposes them: a line is
+proposed if two of a page's four nearest paths in order have it and neither those two nor the page with
+one of them are near copies, that is, share half of the shorter article's characters (mirrored or partly
+copied articles are in one another's neighbourhood).  A proposed line goes, on every page of the
+host, if at least half of the host's paths have it in their articles; else it stays on all of them.
 Article lines are compared with article lines, all others with the partner's others.
 
 Scale: hosts are not groups here.  Paths are ranked by (host, path) with a range partition, so a
 host with a third of all pages spreads over many tasks; neighbours meet in buckets of ranks that
-overlap by two, and only hashes of lines travel.  Pages are parsed twice, so that their text
-is moved once, to what their path is compared with.
+overlap by two, and only hashes of lines travel.  Lines are counted over a host's paths only where they
+were proposed.  What a host loses is a short list: lines that half of its paths have are at most twice as
+many as an article has on average.  Pages are parsed twice, so that their text is moved once, to what
+their path is compared with.
 
 Defined results: null html has no text; a null url is a host of its own with an empty path; a
 path is represented by its row with the smallest page_id; a page alone on its host loses no line
 by differencing, nor does one that would lose all it has (a copy of its partner tells nothing
-apart), and a host of two paths loses no article line; repeated rows each keep a row; an empty table gives an empty result; other columns are
+apart), and a host of two paths loses no article line; a line's length counts as 2^24 - 1 characters
+at most; repeated rows each keep a row; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -229,12 +232,12 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *(head + i for i in reversed(found)), *range(len(a) - tail, len(a))]
 
 
-#: A line's hash holds its length in the lowest 16 bits, and above them whether it is an article's.
-LENGTH, ARTICLE = 0xFFFF, 0x10000
+#: A line's hash holds its length in the lowest 24 bits, and above them whether it is an article's.
+LENGTH, ARTICLE = 0xFFFFFF, 0x1000000
 
 
 def line_hash(state: int, text: str) -> int:
-    mixed = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 17 << 17
+    mixed = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 25 << 25
     return (mixed | (ARTICLE if state == KEPT else 0) | min(len(text), LENGTH)) - (1 << 63)
 
 
@@ -279,12 +282,11 @@ def _ranked(paths: DataFrame) -> DataFrame:
         paths.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
         .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "paths")
-    counts = {r["part"]: r["n"] for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a partition
-    before, offset = 0, F.lit(0)
-    for part in sorted(counts):
-        offset = F.when(F.col("part") == part, before).otherwise(offset) if before else offset
-        before += counts[part]
-    return numbered.withColumn("rank", (offset + F.col("place")).cast("long")).drop("part", "place")
+    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return (numbered.join(F.broadcast(offsets), "part")
+            .withColumn("rank", (F.col("offset") + F.col("place")).cast("long")).drop("part", "place", "offset"))
 
 
 def _agreement(a: str, b: str) -> F.Column:
@@ -300,7 +302,7 @@ BUCKET = 4096
 
 
 def partners(paths: DataFrame) -> DataFrame:
-    """(host, path, partner_hashes, other_hashes) of the paths that have a neighbour on their host.
+    """(host, path, hashes, partner_hashes, other_hashes) of the paths that have a neighbour on their host.
 
     ``other_hashes`` holds those of the two paths before and the two after that share a line with
     another of them; the rest are no evidence on any line.
@@ -321,7 +323,7 @@ def partners(paths: DataFrame) -> DataFrame:
     near = [f"{name}_hashes" for name in steps]
     others = [F.when(F.coalesce(F.greatest(*(F.arrays_overlap(a, b) for b in near if b != a)), F.lit(False)), F.col(a)) for a in near]
     return dealt.where("guest = 0").select(
-        "host", "path", found.alias("partner_hashes"), F.array_compact(F.array(*others)).alias("other_hashes")
+        "host", "path", "hashes", found.alias("partner_hashes"), F.array_compact(F.array(*others)).alias("other_hashes")
     ).where("partner_hashes is not null")
 
 
@@ -349,19 +351,52 @@ def repeated(article: list[int], others: list[list[int]]) -> set[int]:
     return gone
 
 
-def _shared(hashes: list[int], partner: list[int], others: list[list[int]]) -> set[int]:
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each path is compared with: its partner's lines outside articles, and the article lines proposed."""
+    for batch in batches:
+        partner, proposed = [], []
+        for hashes, other, others in rows_of([batch], "hashes", "partner_hashes", "other_hashes"):
+            article = [h for h in hashes if h & ARTICLE]
+            gone = repeated(article, [[h for h in o if h & ARTICLE] for o in others])
+            partner.append([h for h in other if not h & ARTICLE])
+            proposed.append(sorted({article[n] for n in gone}))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), pa.array(partner, longs), pa.array(proposed, longs)],
+                                         ["host", "path", "partner", "proposed"])
+
+
+#: Up to this many rows a side of a join is broadcast (some 100 bytes each).
+BROADCAST_ROWS = 100_000
+LEAST_PATHS = 3
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def site_lines(paths: DataFrame, compared: DataFrame) -> DataFrame:
+    """(host, site): article lines that were proposed on a host and that at least half of its paths have."""
+    proposed = materialise(compared.select("host", F.explode("proposed").alias("line")).distinct(), "proposed")
+    held = paths.select("host", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.bitwiseAND(F.lit(ARTICLE)) != 0))).alias("line"))
+    times = held.join(_small(proposed), ["host", "line"]).groupBy("host", "line").agg(F.count(F.lit(1)).alias("times"))
+    hosts = paths.join(_small(materialise(proposed.select("host").distinct(), "hosts")), "host").groupBy("host").agg(F.count(F.lit(1)).alias("paths"))
+    common_lines = times.join(hosts, "host").where((F.col("paths") >= LEAST_PATHS) & (2 * F.col("times") >= F.col("paths")))
+    return materialise(common_lines.groupBy("host").agg(F.collect_list("line").alias("site")), "site-lines")
+
+
+def _shared(hashes: list[int], partner: list[int], site: set[int]) -> set[int]:
     """Positions of the lines that differencing deletes."""
-    article = [n for n, h in enumerate(hashes) if h & ARTICLE]
     undecided = [n for n, h in enumerate(hashes) if not h & ARTICLE]
-    gone = {undecided[n] for n in common([hashes[n] for n in undecided], [h for h in partner if not h & ARTICLE])}
-    return gone | {article[n] for n in repeated([hashes[n] for n in article], [[h for h in o if h & ARTICLE] for o in others])}
+    gone = {undecided[n] for n in common([hashes[n] for n in undecided], partner)}
+    return gone | {n for n, h in enumerate(hashes) if h in site}
 
 
 def _delete_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for lines, hashes, partner, others in rows_of([batch], "lines", "hashes", "partner_hashes", "other_hashes"):
-            gone = _shared(hashes, partner or [], others or [])
+        for lines, hashes, partner, site in rows_of([batch], "lines", "hashes", "partner", "site"):
+            gone = _shared(hashes, partner or [], set(site or []))
             if len(gone) == len(lines):
                 gone = set()
             texts.append("\n".join(text for n, text in enumerate(lines) if n not in gone))
@@ -375,7 +410,10 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = _addressed(pages)
     hashed = rows.mapInArrow(_hashed, "page_id long, host string, path string, hashes array<long>")
     paths = hashed.groupBy("host", "path").agg(F.min_by("hashes", "page_id").alias("hashes"))
-    paths = paths.withColumn("hashes", F.coalesce("hashes", F.array().cast("array<long>")))
+    paths = materialise(paths.withColumn("hashes", F.coalesce("hashes", F.array().cast("array<long>"))), "line-hashes")
+    compared = materialise(partners(paths).mapInArrow(
+        _proposed, "host string, path string, partner array<long>, proposed array<long>"), "compared")
+    evidence = compared.drop("proposed").join(_small(site_lines(paths, compared)), "host", "left")
     parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>")
-    return parsed.join(partners(paths), ["host", "path"], "left").mapInArrow(
+    return parsed.join(evidence, ["host", "path"], "left").mapInArrow(
         _delete_shared, "page_id long, url string, text string, n_chars long")

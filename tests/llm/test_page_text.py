@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -152,3 +153,94 @@ def test_neighbours_meet_across_buckets(spark, monkeypatch):
 ])
 def test_wrappers_do_not_remove_the_article(page, want):
     assert kept(page) == want
+
+
+def test_article_lines_are_decided_alike_on_a_host(spark):
+    story = {n: [f"Sentence {n}.{k} of a story that nobody else on this host has told so far." for k in range(4)] for n in range(12)}
+    few, most = "Three neighbours quote this line.", "Seven of twelve pages end with this line."
+    lines = {n: story[n] + [few] * (4 <= n <= 6) + [most] * (n % 5 < 3) for n in range(12)}
+    data = [(n, f"http://a.example/x/{n:02}", article(*lines[n]), "h", 1) for n in range(12)]
+    text = {r.page_id: r.text.split("\n") for r in page_text.extract(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()}
+    assert text == {n: [line for line in lines[n] if line != most] for n in range(12)}
+
+
+def plain(pages):
+    """The whole query on (page_id, url, html) by direct comparison of every path with its host's others."""
+    import difflib
+    import os
+
+    def split(url):
+        bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url or "")
+        host = re.sub(r"^[^/?#@]*@", "", re.match(r"[^/?#]*", bare)[0]).split(":")[0].lower()
+        path = re.sub(r"[?#].*$", "", re.sub(r"^[^/?#]*", "", bare), flags=re.S)
+        return host, re.sub(r"(?:/index)?(?:\.(?:html?|php|aspx?|jsp))?/*$", "", path)
+
+    rows = [(i, split(u), [(k == page_text.KEPT, t) for k, t in page_text.lines_of(h or "") if k != page_text.GONE]) for i, u, h in pages]
+    hosts = {}
+    for i, (host, path), lines in sorted(rows, key=lambda r: r[0]):
+        hosts.setdefault(host, {}).setdefault(path, lines)
+    size = lambda ls: sum(map(len, ls))
+
+    def both(a, b):
+        return [a[m.a + k] for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(m.size)]
+
+    def alike(a, b):
+        return 2 * size(both(a, b)) >= min(size(a), size(b))
+
+    out = {}
+    for host, by_path in hosts.items():
+        order = sorted(by_path)
+        kept = {p: [t for k, t in by_path[p] if k] for p in order}
+        proposed = set()
+        for n, p in enumerate(order):
+            near = [kept[order[m]] for m in range(n - 2, n + 3) if 0 <= m < len(order) and m != n]
+            near = [o for o in near if set(o) & set(kept[p]) and not alike(kept[p], o)]
+            for x in range(len(near)):
+                for y in range(x):
+                    if not alike(near[x], near[y]):
+                        proposed |= set(kept[p]) & set(near[x]) & set(near[y])
+        site = {t for t in proposed if len(order) >= 3 and 2 * sum(t in kept[p] for p in order) >= len(order)}
+        for i, (h, path), lines in rows:
+            if h != host:
+                continue
+            n = order.index(path)
+            there = [order[m] for m in (n - 1, n + 1) if 0 <= m < len(order)]
+            partner = max(there, key=lambda q: len(os.path.commonprefix([path, q])), default=None)
+            other = [t for k, t in by_path[partner] if not k] if partner is not None else []
+            drop = both([t for k, t in lines if not k], other)
+            text = []
+            for k, t in lines:
+                if k:
+                    text += [] if t in site else [t]
+                elif t in drop:
+                    drop.remove(t)
+                else:
+                    text.append(t)
+            out[i] = "\n".join(text or [t for _, t in lines])
+    return out
+
+
+def test_whole_query_against_direct_comparison(spark):
+    rng = random.Random(11)
+    data = []
+    for i in range(90):
+        host = f"h{i % 4}.example"
+        site = [f"Every page of {host} says this.", "Share it."]
+        own = [f"Words {i} {k} " + "x" * rng.randrange(30, 90) for k in range(rng.randrange(1, 6))]
+        extra = [t for t in site if rng.random() < 0.8] + (["Said here and there."] if rng.random() < 0.2 else [])
+        # lines of one page differ, so a common subsequence is told by its lines alone
+        outside = [f"Site {host}", f"Page {i}"] if i % 3 else [f"Page {i}"]
+        html = "".join(f"<div>{t}</div>" for t in outside) + article(*own, *extra)
+        data.append((i, f"http://{host}/{rng.choice('abc')}/{i:03}", html))
+    rows = [(*r, "h", 1) for r in data]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert got == plain(data)
+
+
+def test_many_shuffle_partitions(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        test_differencing(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
