@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .shared import materialise, once, rows_of, utf8
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MEMO_WORDS, MEMO_CHARS = 200_000, 48
-MEMO_WINDOWS, MEMO_WINDOW_IDS = 200_000, 32
+MEMO_WORDS, MEMO_CHARS = 250_000, 48
+MEMO_WINDOWS, MEMO_WINDOW_IDS = 250_000, 32
 #: Up to this many different pairs (some 60 bytes each) their counts are broadcast.
 BROADCAST_PAIRS = 1 << 20
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -93,19 +93,18 @@ def ranked_encoder(file: str) -> Callable[[list[str]], list[list[int]]] | None:
 def align_window(a: list[int], b: list[int], of_a: Vocabulary, of_b: Vocabulary) -> tuple[str, int, bytes]:
     """The alignment of one window: its groups as text, their number, its links as pairs of 32-bit ids, B's first."""
     size_a, size_b, shown_a, shown_b = of_a.sizes, of_b.sizes, of_a.shown, of_b.shown
-    groups, links = [], array("I")
+    groups, links = [], []
     i = j = 0
     x, y = a[0], b[0]
     end_a, end_b = size_a[x], size_b[y]
     text_a, text_b = shown_a[x], shown_b[y]
     while True:
-        links.append(y)
-        links.append(x)
+        links += (y, x)
         if end_a == end_b:
             groups.append(f"{text_a}|{text_b}")
             i, j = i + 1, j + 1
             if i == len(a):
-                return ";".join(groups), len(groups), links.tobytes()
+                return ";".join(groups), len(groups), array("I", links).tobytes()
             x, y = a[i], b[j]
             end_a, end_b = end_a + size_a[x], end_b + size_b[y]
             text_a, text_b = shown_a[x], shown_b[y]
@@ -131,8 +130,9 @@ class Aligner:
 
         self.a = Tokenizer.from_file(file_a)
         self.a.encode_special_tokens = True  # special strings in a text are plain text
-        self.encode_a = ranked_encoder(file_a) or (
-            lambda texts: [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)])
+        ranked = ranked_encoder(file_a)
+        self.spells_a = ranked is not None  # ranks of bytes: its tokens always spell the text
+        self.encode_a = ranked or (lambda texts: [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         byte_of = shown_bytes()
         spelled = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
@@ -157,7 +157,7 @@ class Aligner:
         bytes_a, bytes_b = self.of_a.tokens.__getitem__, self.of_b.tokens.__getitem__
         for part, a, b in zip(parts, self.encode_a([" " + p for p in parts]), self.b.encode(parts, num_threads=1), strict=True):
             raw = b" " + part.encode()
-            spelled = b"".join(map(bytes_b, b)) == raw and b"".join(map(bytes_a, a)) == raw
+            spelled = b"".join(map(bytes_b, b)) == raw and (self.spells_a or b"".join(map(bytes_a, a)) == raw)
             out.append((array("I", a).tobytes(), array("I", b).tobytes()) if spelled else None)
         return out
 
@@ -190,8 +190,11 @@ class Aligner:
         end_a, end_b = np.cumsum(self.of_a.lengths[a]), np.cumsum(self.of_b.lengths[b])
         at_a = np.flatnonzero(self.of_a.spaced[a[1:]]) + 1
         at_b = np.flatnonzero(self.of_b.spaced[b[1:]]) + 1
-        _, in_a, in_b = np.intersect1d(end_a[at_a - 1], end_b[at_b - 1], assume_unique=True, return_indices=True)
-        return [0, *at_a[in_a].tolist(), len(a)], [0, *at_b[in_b].tolist(), len(b)]
+        stop_a, stop_b = end_a[at_a - 1], end_b[at_b - 1]  # both rising
+        place = np.searchsorted(stop_b, stop_a)
+        shared = place < len(stop_b)
+        shared[shared] = stop_b[place[shared]] == stop_a[shared]
+        return [0, *at_a[shared].tolist(), len(a)], [0, *at_b[place[shared]].tolist(), len(b)]
 
     def aligned(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups' digest, different pairs, their numbers)."""
