@@ -77,9 +77,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         payload.alias("payload"))
-    first = (rows.select("page_id", F.sha1("payload").alias("sha1")).groupBy("sha1")
-             .agg(F.max("page_id").alias("winner")))
-    told = (rows.withColumn("sha1", F.sha1("payload")).join(first, "sha1")
+    # Payloads are dealt by page, not by digest: one that many pages share is no hot key.  What is dealt
+    # by digest are ids, a few bytes a page.
+    named = rows.withColumn("sha1", F.sha1("payload"))
+    ids = named.select("page_id", "sha1").distinct()
+    winners = ids.groupBy("sha1").agg(F.max("page_id").alias("winner"))
+    verdicts = ids.join(winners, "sha1").select(F.col("page_id").alias("id"), F.col("sha1").alias("digest"), "winner")
+    told = (named.join(verdicts, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("digest")))
             .withColumn("response", F.col("page_id").eqNullSafe(F.col("winner")))
             .select("page_id", "url", "sha1", F.octet_length("payload").cast("long").alias("size"),
                     F.when(F.col("response"), F.col("payload")).alias("payload"), "response", "winner"))
