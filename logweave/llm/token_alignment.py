@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .shared import materialise, once, rows_of, utf8
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MEMO_WORDS, MEMO_CHARS = 250_000, 48
-MEMO_WINDOWS, MEMO_WINDOW_IDS = 250_000, 32
+MEMO_WORDS, MEMO_CHARS = 200_000, 48
+MEMO_WINDOWS, MEMO_WINDOW_IDS = 200_000, 32
 #: Up to this many different pairs (some 60 bytes each) their counts are broadcast.
 BROADCAST_PAIRS = 1 << 20
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -161,8 +161,8 @@ class Aligner:
             out.append((array("I", a).tobytes(), array("I", b).tobytes()) if spelled else None)
         return out
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of the whole text on both sides; None where it has no tokens."""
+    def parts(self, text: str) -> list[tuple[bytes, bytes]] | None:
+        """The ids of the whole text on both sides, part by part; None where it has no tokens."""
         if not text:
             return None
         parts = _BETWEEN_WORDS.split(text) if self.by_word else [text]
@@ -180,10 +180,12 @@ class Aligner:
         for p in new:
             if len(p) > MEMO_CHARS:
                 del memo[p]
-        if None in got:
-            return None
-        return (np.frombuffer(b"".join([g[0] for g in got]), np.uint32),
-                np.frombuffer(b"".join([g[1] for g in got]), np.uint32))
+        return None if None in got else got
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of the whole text on both sides; None where it has no tokens."""
+        parts = self.parts(text)
+        return parts and tuple(np.frombuffer(b"".join([p[side] for p in parts]), np.uint32) for side in (0, 1))
 
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         """Numbers of the tokens behind each anchor on both sides, the text's ends included."""
@@ -198,22 +200,25 @@ class Aligner:
 
     def aligned(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups' digest, different pairs, their numbers)."""
-        ids = self.ids(text)
-        if ids is None:
+        parts = self.parts(text)
+        if parts is None:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = ids
+        raw_a, raw_b = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        a, b = np.frombuffer(raw_a, np.uint32), np.frombuffer(raw_b, np.uint32)
         cut_a, cut_b = self.anchors(a, b)
-        raw_a, raw_b, list_a, list_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
         if len(self.windows) > MEMO_WINDOWS:
             self.windows, self.older_windows = {}, self.windows
         memo, older = self.windows, self.older_windows
-        windows = list(zip(cut_a, cut_a[1:], cut_b, cut_b[1:]))
-        keys = [(raw_a[4 * i:4 * j], raw_b[4 * k:4 * m]) for i, j, k, m in windows]
+        # Parts start with a space on both sides, so each starts at an anchor; where there are no more
+        # anchors than parts, the parts' ids are the windows' ids.
+        keys = parts if len(cut_a) - 1 == len(parts) else [
+            (raw_a[4 * i:4 * j], raw_b[4 * k:4 * m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
         got = list(map(memo.get, keys))
         for at in [n for n, window in enumerate(got) if window is None]:
-            key, (i, j, k, m) = keys[at], windows[at]
-            got[at] = memo.get(key) or older.get(key) or align_window(list_a[i:j], list_b[k:m], self.of_a, self.of_b)
-            if max(j - i, m - k) <= MEMO_WINDOW_IDS:
+            key = keys[at]
+            got[at] = memo.get(key) or older.get(key) or align_window(
+                *(np.frombuffer(side, np.uint32).tolist() for side in key), self.of_a, self.of_b)
+            if max(map(len, key)) <= 4 * MEMO_WINDOW_IDS:
                 memo[key] = got[at]
         links = np.frombuffer(b"".join([w[2] for w in got]), "<i8")
         pairs, times = np.unique(links, return_counts=True)
