@@ -19,7 +19,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 _MODULES = ("q_search", "q_normalize", "q_pii", "q_vectors", "q_multiline", "q_clusters",
-            "q_triage", "q_misc")
+            "q_triage", "q_misc", "q_streaming")
 
 
 def register(qid: str, oracle: str | None = None, views: tuple[str, ...] = ()):
