@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import multiline as ML
+from ..operators import raw_lines as RL
 from ..sources.tables import Tables
 from . import duck as D
 from .registry import register
@@ -53,3 +56,20 @@ def q_m2(spark, sf_dir):
 def q_m2_small_buckets(spark, sf_dir):
     """Same result with 10-second row buckets: exercises every cross-bucket carry."""
     return ML.assemble_multiline(Tables(spark, sf_dir).stream_lines, bucket_ms=10_000)
+
+
+_RECORDS = f"""SELECT concat(src, ':abcdefabcdef') AS src, first_seq,
+  line_count, aggregated, message, CASE WHEN detected_error THEN 'ERROR' ELSE 'INFO' END AS level, first_seq * 10 AS n FROM ({_M2})"""
+
+
+@register("M2_records", _RECORDS, views=("stream_lines",))
+def q_m2_records(spark, sf_dir):
+    """Raw records to assembled records: key, line and carried fields; each told from the record's JSON."""
+    lines = Tables(spark, sf_dir).stream_lines
+    raw = lines.select("seq", "arrival_ms", F.to_json(F.struct(
+        F.col("line").alias("log"), F.col("src").alias("container_name"), F.lit("abcdefabcdef0123").alias("container_id"),
+        F.lit("INFO").alias("level"), F.struct((F.col("seq") * 10).alias("n")).alias("kubernetes"))).alias("value"))
+    out = RL.assemble_records(raw)
+    return out.select("src", "first_seq", "line_count", "aggregated", F.get_json_object("value", "$.log").alias("message"),
+                      F.get_json_object("value", "$.level").alias("level"),
+                      F.get_json_object("value", "$.kubernetes.n").cast("bigint").alias("n"))
