@@ -1,15 +1,19 @@
-"""Quality by weak supervision: rules vote or abstain, EM weighs them (op 3, native).
-
-Every rule looks at one property of a text.  Defect rules vote bad where they see their defect
-and abstain elsewhere (a text without capitals-only lines is not good for that); support rules
-vote good or abstain.  The votes of the corpus are counted by pattern (at most 2^rules patterns,
-whatever the corpus size) and expectation-maximisation over those counts estimates how often
-each rule votes on good and on bad texts, hence its accuracy, and the share of good texts.  The
-estimates are drawn towards a prior by a fixed share, so that rare defects stay defects in small
-and large corpora alike.  A document is kept if its posterior probability of being good is at
-least one half, and it passes the base conditions.  EM weighs abstaining supports too, as they set
-the corpus's texts apart; the posterior that decides does not: the function words are of four
-languages, and a text of another, a list or a verse lacks supports without being bad for that.
+"""Quality by weak supervision: rules vote in grades or abstain, EM weighs them (op 3, native).
+
+Every rule looks at one property of a text.  Defect rules vote bad, weakly or strongly, where they
+see their defect and abstain elsewhere (a text without capitals-only lines is not good for that);
+support rules vote good, weakly or strongly, or abstain.  The votes of the corpus are counted by
+pattern (at most 3^rules patterns, whatever the corpus size) and expectation-maximisation over
+those counts estimates how often each rule votes in each grade on good and on bad texts, hence its
+accuracy, and the share of good texts.  The estimates are drawn towards a prior by a fixed share, so
+that rare defects stay defects in small and large corpora alike.  A document is kept if its
+posterior probability of being good is at least one half, and it passes the base conditions: the
+same weak defect leaves a text with strong supports and removes one without, and strong supports can
+outweigh a strong defect.
+
+The supports ``letters`` and ``closed`` ask for no language.  ``function`` knows words of four
+languages only, so its silence counts in EM, where it sets the corpus's texts apart, and carries no
+weight in the posterior that decides.
 
 Only built-in functions run: one scan computes the features, which are written once; the
 pattern counts are one small aggregate; each EM step is an aggregate over the pattern table
@@ -37,10 +41,13 @@ SYMBOLS = "[#*$%&|<>]"
 STEPS = 40
 TOLERANCE = 1e-6
 GOOD, BAD = 1, -1
-#: How far estimates are drawn towards the prior, and the prior rates of voting on (good, bad) texts.
+SILENT, WEAK, STRONG = GRADES = (0, 1, 2)
+#: How far estimates are drawn towards the prior (by a share, and by so many documents that follow it), and the
+#: prior rates of each grade on (good, bad) texts.
 PRIOR_SHARE = 0.3
+PRIOR_DOCS = 3
 PRIOR_GOOD = 0.8
-PRIOR = {BAD: (0.005, 0.25), GOOD: (0.95, 0.5)}
+PRIOR = {BAD: ((0.98, 0.0195, 0.0005), (0.55, 0.15, 0.3)), GOOD: ((0.1, 0.25, 0.65), (0.25, 0.3, 0.45))}
 
 #: Frequent function words (English, German, French, Spanish).
 FUNCTION_WORDS = (
@@ -106,6 +113,7 @@ def features(texts: DataFrame) -> DataFrame:
         F.size("q_lines").cast("long").alias("q_n_lines"),
         F.size(closed).cast("long").alias("q_n_closed"),
         F.size(stops).cast("long").alias("q_n_function"),
+        (chars - _without("[\\p{L}\\p{M}]+")).cast("long").alias("q_n_letters"),
         (chars - _without("\\p{Lu}+")).cast("long").alias("q_n_upper"),
         (chars - _without("[!?]+")).cast("long").alias("q_n_marks"))
 
@@ -119,49 +127,65 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
 
 
-def rules() -> dict[str, tuple[int, Column]]:
-    """Each rule's side and the condition on which it votes; it abstains on any other value."""
+@dataclass
+class Rule:
+    """A rule's side, the conditions of its weak and its strong vote, and whether its silence says anything of a text."""
+
+    side: int
+    weak: Column
+    strong: Column
+    silence_counts: bool = True
+
+    def vote(self) -> Column:
+        grade = F.when(self.strong, STRONG).when(self.weak, WEAK).otherwise(SILENT)
+        return (self.side * grade).cast("int")
+
+
+def rules() -> dict[str, Rule]:
     symbols, marks = _share("q_n_symbols", "q_n_words"), _share("q_n_marks", "q_n_words")
     repeats, doubled = _share("q_n_repeat_words", "q_n_words"), _share("q_n_dup_lines", "q_n_lines")
-    capitals, function = _share("q_n_upper", "q_word_chars"), _share("q_n_function", "q_n_words")
+    capitals, letters = _share("q_n_upper", "q_word_chars"), _share("q_n_letters", "q_word_chars")
     length, closed = _share("q_word_chars", "q_n_words"), _share("q_n_closed", "q_n_lines")
+    function = _share("q_n_function", "q_n_words")
     return {
-        "symbols": (BAD, symbols > 0.25), "marks": (BAD, marks > 0.4), "repeats": (BAD, repeats > 0.3),
-        "lines": (BAD, doubled > 0.5), "capitals": (BAD, capitals > 0.5), "length": (BAD, ~length.between(2, 14)),
-        "function": (GOOD, function > 0.05), "closed": (GOOD, closed >= 0.5),
+        "symbols": Rule(BAD, symbols > 0.1, symbols > 0.25),
+        "marks": Rule(BAD, marks > 0.15, marks > 0.4),
+        "repeats": Rule(BAD, repeats > 0.15, repeats > 0.3),
+        "lines": Rule(BAD, doubled > 0.25, doubled > 0.5),
+        "capitals": Rule(BAD, capitals > 0.25, capitals > 0.5),
+        "length": Rule(BAD, ~length.between(3, 12), ~length.between(2, 14)),
+        "letters": Rule(GOOD, letters > 0.7, letters > 0.85),
+        "closed": Rule(GOOD, closed >= 0.3, closed >= 0.7),
+        "function": Rule(GOOD, function > 0.02, function > 0.08, silence_counts=False),
     }
 
 
-def votes() -> dict[str, Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains."""
-    return {name: F.when(condition, side).otherwise(0) for name, (side, condition) in rules().items()}
-
-
 @dataclass
 class Model:
-    """P(good), and for each rule how often it votes on good and on bad texts."""
+    """P(good), and for each rule how often it votes in each grade on good and on bad texts."""
 
     sides: dict[str, int]
     good: float
-    on_good: dict[str, float]
-    on_bad: dict[str, float]
+    on_good: dict[str, tuple[float, ...]]
+    on_bad: dict[str, tuple[float, ...]]
 
     @classmethod
     def first(cls, sides: dict[str, int]) -> Model:
         return cls(sides, PRIOR_GOOD, {r: PRIOR[s][0] for r, s in sides.items()}, {r: PRIOR[s][1] for r, s in sides.items()})
 
-    def posterior(self, vote, lack: bool = True) -> Column:
-        """P(good | votes); ``vote(rule)`` is the rule's vote column; ``lack``: support rules that abstain count against."""
+    def posterior(self, vote, unheard: frozenset[str] = frozenset()) -> Column:
+        """P(good | votes); ``vote(rule)`` is the rule's vote column; ``unheard`` rules' silence carries no weight."""
         logit = F.lit(math.log(self.good / (1 - self.good)))
-        for rule, g in self.on_good.items():
-            b = self.on_bad[rule]
-            silent = math.log((1 - g) / (1 - b)) if lack or self.sides[rule] == BAD else 0.0
-            logit = logit + F.when(vote(rule) != 0, math.log(g / b)).otherwise(silent)
+        for rule in self.sides:
+            silent, weak, strong = (math.log(g / b) for g, b in zip(self.on_good[rule], self.on_bad[rule], strict=True))
+            grade = F.abs(vote(rule))
+            logit = logit + (F.when(grade == STRONG, strong).when(grade == WEAK, weak)
+                             .otherwise(0.0 if rule in unheard else silent))
         return 1 / (1 + F.exp(-logit))
 
     def accuracy(self, rule: str) -> float:
         """Share of a rule's votes that are right."""
-        on = (1 - self.good) * self.on_bad[rule], self.good * self.on_good[rule]
+        on = (1 - self.good) * sum(self.on_bad[rule][WEAK:]), self.good * sum(self.on_good[rule][WEAK:])
         return on[self.sides[rule] == GOOD] / sum(on)
 
 
@@ -172,21 +196,27 @@ def estimate(patterns: DataFrame, sides: dict[str, int], steps: int = STEPS) ->
         weighed = patterns.select("n", *sides, model.posterior(F.col).alias("p"))
         sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("p")).alias("good")]
         for rule in sides:
-            hit = F.when(F.col(rule) != 0, F.col("n")).otherwise(0)
-            sums += [F.sum(hit).alias(f"{rule}_all"), F.sum(hit * F.col("p")).alias(f"{rule}_good")]
+            for grade in GRADES:
+                hit = F.when(F.abs(F.col(rule)) == grade, F.col("n")).otherwise(0)
+                sums += [F.sum(hit).alias(f"{rule}_{grade}"), F.sum(hit * F.col("p")).alias(f"{rule}_{grade}_good")]
         row = weighed.agg(*sums).first()
         if not row["all"]:
             return model
         whole, good = float(row["all"]), float(row["good"])
 
-        def rate(hits: float, total: float, before: float) -> float:
-            return round((1 - PRIOR_SHARE) * (hits + 1) / (total + 2) + PRIOR_SHARE * before, 12)
-
-        new = Model(sides, round((good + 1) / (whole + 2), 12),
-                    {r: rate(row[f"{r}_good"], good, prior.on_good[r]) for r in sides},
-                    {r: rate(row[f"{r}_all"] - row[f"{r}_good"], whole - good, prior.on_bad[r]) for r in sides})
-        moved = max([abs(new.good - model.good), *(abs(new.on_good[r] - model.on_good[r]) for r in sides),
-                     *(abs(new.on_bad[r] - model.on_bad[r]) for r in sides)])
+        def rates(hits: list[float], total: float, before: tuple[float, ...]) -> tuple[float, ...]:
+            return tuple(round((1 - PRIOR_SHARE) * (h + PRIOR_DOCS * b) / (total + PRIOR_DOCS) + PRIOR_SHARE * b, 12)
+                         for h, b in zip(hits, before, strict=True))
+
+        new = Model(sides, round((good + 1) / (whole + 2), 12), {}, {})
+        for r in sides:
+            on_good = [row[f"{r}_{g}_good"] for g in GRADES]
+            on_bad = [row[f"{r}_{g}"] - v for g, v in zip(GRADES, on_good, strict=True)]
+            new.on_good[r] = rates(on_good, good, prior.on_good[r])
+            new.on_bad[r] = rates(on_bad, whole - good, prior.on_bad[r])
+        moved = max([abs(new.good - model.good),
+                     *(abs(x - y) for r in sides for x, y in zip(new.on_good[r], model.on_good[r], strict=True)),
+                     *(abs(x - y) for r in sides for x, y in zip(new.on_bad[r], model.on_bad[r], strict=True))])
         model = new
         if moved < TOLERANCE:
             break
@@ -195,15 +225,17 @@ def estimate(patterns: DataFrame, sides: dict[str, int], steps: int = STEPS) ->
 
 def _judged(measured: DataFrame) -> tuple[DataFrame, Model]:
     """``measured`` with its votes (``q_vote_<rule>``), and the model of its corpus."""
-    sides = {name: side for name, (side, _) in rules().items()}
-    voted = measured.withColumns({f"q_vote_{r}": v for r, v in votes().items()})
-    counted = (voted.where("q_n_words > 0").groupBy(*[F.col(f"q_vote_{r}").alias(r) for r in sides])
+    ruled = rules()
+    voted = measured.withColumns({f"q_vote_{name}": rule.vote() for name, rule in ruled.items()})
+    counted = (voted.where("q_n_words > 0").groupBy(*[F.col(f"q_vote_{name}").alias(name) for name in ruled])
                .agg(F.count(F.lit(1)).alias("n")))
-    return voted, estimate(materialise(counted.coalesce(1), "votes"), sides)
+    return voted, estimate(materialise(counted.coalesce(1), "votes"), {name: rule.side for name, rule in ruled.items()})
 
 
 def _verdict(model: Model) -> tuple[Column, Column]:
-    quality = F.when(F.col("q_n_words") > 0, model.posterior(lambda r: F.col(f"q_vote_{r}"), lack=False)).otherwise(F.lit(0.0))
+    unheard = frozenset(name for name, rule in rules().items() if not rule.silence_counts)
+    posterior = model.posterior(lambda r: F.col(f"q_vote_{r}"), unheard)
+    quality = F.when(F.col("q_n_words") > 0, posterior).otherwise(F.lit(0.0))
     return quality, ~base_failed() & (quality >= 0.5)
 
 

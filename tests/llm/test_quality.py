@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import quality
 
@@ -68,29 +69,54 @@ def test_verdicts(assessed):
 
 
 def test_em_matches_plain_em(spark):
-    patterns = [(0, 0, 1, 400), (0, 0, 0, 90), (-1, -1, 0, 60), (-1, 0, 0, 25), (0, -1, 0, 30), (-1, 0, 1, 8)]
+    patterns = [(0, 0, 2, 400), (0, 0, 1, 70), (0, 0, 0, 90), (-2, -1, 0, 60), (-1, 0, 0, 25), (0, -2, 0, 30), (-1, 0, 2, 8)]
     sides = {"a": -1, "b": -1, "c": 1}
     model = quality.estimate(spark.createDataFrame(patterns, "a int, b int, c int, n long"), sides, steps=7)
-    good, prior = 0.8, {-1: (0.005, 0.25), 1: (0.95, 0.5)}
+    good, prior = 0.8, {-1: ((0.98, 0.0195, 0.0005), (0.55, 0.15, 0.3)), 1: ((0.1, 0.25, 0.65), (0.25, 0.3, 0.45))}
     rates = {r: prior[s] for r, s in sides.items()}
     for _ in range(7):
         posts = []
         for *vs, _n in patterns:
             a, b = good, 1 - good
             for r, v in zip(sides, vs):
-                a, b = a * (rates[r][0] if v else 1 - rates[r][0]), b * (rates[r][1] if v else 1 - rates[r][1])
+                a, b = a * rates[r][0][abs(v)], b * rates[r][1][abs(v)]
             posts.append(a / (a + b))
         total, mass = sum(p[-1] for p in patterns), sum(p[-1] * q for p, q in zip(patterns, posts))
         good = (mass + 1) / (total + 2)
         for k, (r, s) in enumerate(sides.items()):
-            on = sum(p[-1] * q for p, q in zip(patterns, posts) if p[k]), sum(p[-1] * (1 - q) for p, q in zip(patterns, posts) if p[k])
-            rates[r] = tuple(0.7 * (n + 1) / (m + 2) + 0.3 * prior[s][i] for i, (n, m) in enumerate(zip(on, (mass, total - mass))))
+            new = []
+            for side, m in enumerate((mass, total - mass)):
+                share = [q if side == 0 else 1 - q for q in posts]
+                on = [sum(p[-1] * q for p, q in zip(patterns, share) if abs(p[k]) == g) for g in range(3)]
+                new.append(tuple(0.7 * (n + 3 * b) / (m + 3) + 0.3 * b for n, b in zip(on, prior[s][side])))
+            rates[r] = tuple(new)
     assert model.good == pytest.approx(good, rel=1e-6)
     for r in sides:
-        assert (model.on_good[r], model.on_bad[r]) == pytest.approx(rates[r], rel=1e-6)
+        assert model.on_good[r] == pytest.approx(rates[r][0], rel=1e-6)
+        assert model.on_bad[r] == pytest.approx(rates[r][1], rel=1e-6)
     assert model.accuracy("b") > 0.9
 
 
+def test_the_posterior_decides_beside_the_votes(spark):
+    """One weak vote leaves a text with strong supports and removes one without; strong supports can outweigh a strong vote."""
+    folder = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    _, model = quality._judged(quality.features(documents))
+    silent = dict.fromkeys(model.sides, 0)
+    full = {**silent, "letters": 2, "closed": 2, "function": 2}
+    cases = {"full": full, "verse": {**silent, "letters": 2},
+             "full, weak": {**full, "capitals": -1}, "bare, weak": {**silent, "capitals": -1},
+             "full, two weak": {**full, "lines": -1, "repeats": -1}, "verse, two weak": {**silent, "letters": 2, "lines": -1, "capitals": -1},
+             "full, strong": {**full, "lines": -2}, "verse, strong": {**silent, "letters": 2, "lines": -2},
+             "full, two strong": {**full, "lines": -2, "symbols": -2}}
+    rows_ = [(name, *(votes[r] for r in model.sides)) for name, votes in cases.items()]
+    table = spark.createDataFrame(rows_, "name string, " + ", ".join(f"`{r}` int" for r in model.sides))
+    unheard = frozenset(n for n, r in quality.rules().items() if not r.silence_counts)
+    got = {r.name: r.p >= 0.5 for r in table.select("name", model.posterior(F.col, unheard).alias("p")).collect()}
+    assert got == {"full": True, "verse": True, "full, weak": True, "bare, weak": False, "full, two weak": True,
+                   "verse, two weak": False, "full, strong": True, "verse, strong": False, "full, two strong": False}
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_against_the_given_labels(spark, scale):
     folder = f"/root/testdata/{scale}"
