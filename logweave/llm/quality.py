@@ -192,17 +192,19 @@ class Model:
 def estimate(patterns: DataFrame, sides: dict[str, int], steps: int = STEPS) -> Model:
     """EM over ``patterns(<rule>..., n)``; stops when no estimate moves by ``TOLERANCE``."""
     model = prior = Model.first(sides)
+    voted = [(rule, grade) for rule in sides for grade in (WEAK, STRONG)]
+    n, p = F.col("n"), F.col("p")
+
+    def sums(weight: Column) -> list[Column]:
+        return [F.sum(weight).alias("all"), *(F.sum(F.when(F.abs(F.col(r)) == g, weight).otherwise(0)).alias(f"{r}_{g}") for r, g in voted)]
+
+    counts = patterns.agg(*sums(n)).first()
+    if not counts["all"]:
+        return model
+    whole = float(counts["all"])
     for _ in range(steps):
-        weighed = patterns.select("n", *sides, model.posterior(F.col).alias("p"))
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("p")).alias("good")]
-        for rule in sides:
-            for grade in GRADES:
-                hit = F.when(F.abs(F.col(rule)) == grade, F.col("n")).otherwise(0)
-                sums += [F.sum(hit).alias(f"{rule}_{grade}"), F.sum(hit * F.col("p")).alias(f"{rule}_{grade}_good")]
-        row = weighed.agg(*sums).first()
-        if not row["all"]:
-            return model
-        whole, good = float(row["all"]), float(row["good"])
+        row = patterns.select("n", *sides, model.posterior(F.col).alias("p")).agg(*sums(n * p)).first()
+        good = float(row["all"])
 
         def rates(hits: list[float], total: float, before: tuple[float, ...]) -> tuple[float, ...]:
             return tuple(round((1 - PRIOR_SHARE) * (h + PRIOR_DOCS * b) / (total + PRIOR_DOCS) + PRIOR_SHARE * b, 12)
@@ -210,8 +212,9 @@ def estimate(patterns: DataFrame, sides: dict[str, int], steps: int = STEPS) ->
 
         new = Model(sides, round((good + 1) / (whole + 2), 12), {}, {})
         for r in sides:
-            on_good = [row[f"{r}_{g}_good"] for g in GRADES]
-            on_bad = [row[f"{r}_{g}"] - v for g, v in zip(GRADES, on_good, strict=True)]
+            of_all, of_good = ([float(v[f"{r}_{g}"]) for g in (WEAK, STRONG)] for v in (counts, row))
+            on_good = [good - sum(of_good), *of_good]
+            on_bad = [whole - sum(of_all) - on_good[0], *(x - y for x, y in zip(of_all, of_good, strict=True))]
             new.on_good[r] = rates(on_good, good, prior.on_good[r])
             new.on_bad[r] = rates(on_bad, whole - good, prior.on_bad[r])
         moved = max([abs(new.good - model.good),
