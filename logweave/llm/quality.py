@@ -16,8 +16,8 @@ languages only, so its silence counts in EM, where it sets the corpus's texts ap
 weight in the posterior that decides.
 
 Only built-in functions run: one scan computes the features, which are written once; the
-pattern counts are one small aggregate; each EM step is an aggregate over the pattern table
-whose single row of sums returns to the driver and enters the next step as literals.
+pattern counts are one small aggregate, written as well; all EM steps are one fold over the
+pattern table, whose single row, the model, returns to the driver and enters the verdict as literals.
 
 Defined results: null or wordless text has zero counts, fails the base and is not kept; a
 repeated 8-word window is recognised by a 64-bit hash of its words; repeated rows and null
@@ -190,40 +190,70 @@ class Model:
 
 
 def estimate(patterns: DataFrame, sides: dict[str, int], steps: int = STEPS) -> Model:
-    """EM over ``patterns(<rule>..., n)``; stops when no estimate moves by ``TOLERANCE``."""
-    model = prior = Model.first(sides)
-    voted = [(rule, grade) for rule in sides for grade in (WEAK, STRONG)]
-    n, p = F.col("n"), F.col("p")
-
-    def sums(weight: Column) -> list[Column]:
-        return [F.sum(weight).alias("all"), *(F.sum(F.when(F.abs(F.col(r)) == g, weight).otherwise(0)).alias(f"{r}_{g}") for r, g in voted)]
-
-    counts = patterns.agg(*sums(n)).first()
-    if not counts["all"]:
-        return model
-    whole = float(counts["all"])
-    for _ in range(steps):
-        row = patterns.select("n", *sides, model.posterior(F.col).alias("p")).agg(*sums(n * p)).first()
-        good = float(row["all"])
-
-        def rates(hits: list[float], total: float, before: tuple[float, ...]) -> tuple[float, ...]:
-            return tuple(round((1 - PRIOR_SHARE) * (h + PRIOR_DOCS * b) / (total + PRIOR_DOCS) + PRIOR_SHARE * b, 12)
-                         for h, b in zip(hits, before, strict=True))
-
-        new = Model(sides, round((good + 1) / (whole + 2), 12), {}, {})
-        for r in sides:
-            of_all, of_good = ([float(v[f"{r}_{g}"]) for g in (WEAK, STRONG)] for v in (counts, row))
-            on_good = [good - sum(of_good), *of_good]
-            on_bad = [whole - sum(of_all) - on_good[0], *(x - y for x, y in zip(of_all, of_good, strict=True))]
-            new.on_good[r] = rates(on_good, good, prior.on_good[r])
-            new.on_bad[r] = rates(on_bad, whole - good, prior.on_bad[r])
-        moved = max([abs(new.good - model.good),
-                     *(abs(x - y) for r in sides for x, y in zip(new.on_good[r], model.on_good[r], strict=True)),
-                     *(abs(x - y) for r in sides for x, y in zip(new.on_bad[r], model.on_bad[r], strict=True))])
-        model = new
-        if moved < TOLERANCE:
-            break
-    return model
+    """EM over ``patterns(<rule>..., n)``; stops when no estimate moves by ``TOLERANCE``.
+
+    One job: the patterns (at most 3^rules of them) become one array, and the steps are a fold whose state is the model.
+    """
+    first = Model.first(sides)
+    slots = [(rule, grade) for rule in sides for grade in GRADES]
+    cast = F.array(*[F.when(F.abs(F.col(r)) == g, 1.0).otherwise(0.0) for r, g in slots])
+    gathered = patterns.agg(F.sort_array(F.collect_list(
+        F.struct(cast.alias("cast"), F.col("n").cast("double").alias("n")))).alias("rows"))
+
+    def flat(rates: dict[str, tuple[float, ...]]) -> Column:
+        return F.array(*[F.lit(float(rates[r][g])) for r, g in slots])
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def weighed(rows: Column, weight) -> Column:
+        """(all, hits): the sum of ``weight(row)``, and for each slot the sum over the rows that voted so."""
+        weights = F.transform(rows, lambda x: F.struct(x["cast"].alias("cast"), weight(x).alias("w")))
+        zero = F.struct(F.lit(0.0).alias("all"), F.array(*[F.lit(0.0)] * len(slots)).alias("hits"))
+        return F.aggregate(weights, zero, lambda a, x: F.struct(
+            (a["all"] + x["w"]).alias("all"), F.zip_with(a["hits"], x["cast"], lambda y, c: y + x["w"] * c).alias("hits")))
+
+    def rates(hits: Column, mass: Column, before: Column) -> Column:
+        return F.zip_with(hits, before, lambda h, b: F.round(
+            (1 - PRIOR_SHARE) * (h + PRIOR_DOCS * b) / (mass + PRIOR_DOCS) + PRIOR_SHARE * b, 12))
+
+    def change(new: Column, old: Column) -> Column:
+        return F.array_max(F.zip_with(new, old, lambda x, y: F.abs(x - y)))
+
+    def step(state: Column, rows: Column, counts: Column) -> Column:
+        odds = F.struct(F.log(state["good"] / (1 - state["good"])).alias("start"),
+                        F.zip_with(state["on_good"], state["on_bad"], lambda g, b: F.log(g / b)).alias("each"))
+
+        def made(sums: Column) -> Column:
+            return F.struct(
+                F.round((sums["all"] + 1) / (counts["all"] + 2), 12).alias("good"),
+                rates(sums["hits"], sums["all"], flat(first.on_good)).alias("on_good"),
+                rates(F.zip_with(counts["hits"], sums["hits"], lambda x, y: x - y),
+                      counts["all"] - sums["all"], flat(first.on_bad)).alias("on_bad"))
+
+        sums = _spread(odds, lambda o: weighed(rows, lambda x: x["n"] / (
+            1 + F.exp(-(o["start"] + total(F.zip_with(o["each"], x["cast"], lambda e, c: e * c)))))))
+        return _spread(_spread(sums, made), lambda new: F.struct(
+            new["good"].alias("good"), new["on_good"].alias("on_good"), new["on_bad"].alias("on_bad"),
+            F.greatest(F.abs(new["good"] - state["good"]), change(new["on_good"], state["on_good"]),
+                       change(new["on_bad"], state["on_bad"])).alias("moved")))
+
+    start = F.struct(F.lit(first.good).alias("good"), flat(first.on_good).alias("on_good"),
+                     flat(first.on_bad).alias("on_bad"), F.lit(1.0).alias("moved"))
+
+    def fitted(rows: Column) -> Column:
+        return _spread(weighed(rows, lambda x: x["n"]), lambda counts: F.aggregate(
+            F.sequence(F.lit(1), F.lit(steps)), start,
+            lambda state, _: F.when(state["moved"] < TOLERANCE, state).otherwise(step(state, rows, counts))))
+
+    got = gathered.select(F.when(F.size("rows") > 0, _spread(F.col("rows"), fitted)).alias("model")).first()["model"]
+    if got is None:
+        return first
+
+    def by_rule(values: list[float]) -> dict[str, tuple[float, ...]]:
+        return {r: tuple(values[k * len(GRADES):(k + 1) * len(GRADES)]) for k, r in enumerate(sides)}
+
+    return Model(sides, got["good"], by_rule(got["on_good"]), by_rule(got["on_bad"]))
 
 
 def _judged(measured: DataFrame) -> tuple[DataFrame, Model]:
