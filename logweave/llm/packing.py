@@ -185,7 +185,7 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, i
     return sequence, offset, used
 
 
-def _pack_group(limit: int, keep_ids: bool):
+def _pack_group(limit: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "spread"], kind="stable")
         total = group["n_tokens"].to_numpy(dtype=np.int64)
@@ -194,28 +194,40 @@ def _pack_group(limit: int, keep_ids: bool):
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(total[row] - piece * limit, limit)
         sequence, offset, used = best_fit(length, limit)
-        out = pd.DataFrame({
+        return pd.DataFrame({
             "doc_id": group["doc_id"].array[row], "piece": piece.astype(np.int32), "start": piece * limit,
             "length": length, "ids_crc32": np.concatenate(group["sums"].to_list()).astype(np.int64),
-            "sequence_id": (int(group["deal"].iloc[0]) << 40) + sequence, "offset": offset})
-        if keep_ids:
-            buffers = group["ids"].to_list()
-            out["ids"] = [np.frombuffer(buffers[r], dtype="<u4")[s:s + n].astype(np.int32)
-                          for r, s, n in zip(row, out["start"], length, strict=True)]
-        return out
+            "sequence_id": (int(group["deal"].iloc[0]) << 40) + sequence, "offset": offset,
+            "spread": group["spread"].to_numpy()[row]})
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ids`` from bytes to lists of integers."""
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        lists = [np.frombuffer(b, dtype="<i4") for (b,) in rows_of([batch], "ids")]
+        columns = [*batch.columns[:at], pa.array(lists, pa.list_(pa.int32())), *batch.columns[at + 1:]]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = SEQUENCE_TOKENS,
          keep_ids: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pieces of ``docs(doc_id, text)`` with their place; ``keep_ids`` adds ``ids array<int>``."""
-    made = materialise(tokenised(docs, tokenizer or default_tokenizer(), limit, keep_ids), "tokens")
+    """Pieces of ``docs(doc_id, text)`` with their place; ``keep_ids`` adds ``ids array<int>``.
+
+    Only lengths and checksums go through the packing groups; ids are joined to the pieces by row.
+    """
+    numbered = tokenised(docs, tokenizer or default_tokenizer(), limit, keep_ids).withColumn("spread", F.monotonically_increasing_id())
+    made = materialise(numbered, "tokens")
     groups = max(1, math.ceil(made.count() / group_rows))
-    dealt = (made.withColumn("spread", F.monotonically_increasing_id())
-             .withColumn("deal", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(groups))))
-    return dealt.groupBy("deal").applyInPandas(
-        _pack_group(limit, keep_ids), PIECES + (", ids array<int>" if keep_ids else ""))
+    dealt = made.drop("ids").withColumn("deal", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(groups)))
+    pieces = dealt.groupBy("deal").applyInPandas(_pack_group(limit), PIECES + ", spread long")
+    if not keep_ids:
+        return pieces.drop("spread")
+    cut = F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))")
+    whole = pieces.join(made.select("spread", "ids"), "spread").withColumn("ids", cut).drop("spread")
+    return whole.mapInArrow(_unpacked, PIECES + ", ids array<int>")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -9,14 +9,15 @@ and the rule goes on behind it.  That is leftmost, non-overlapping search of eac
 A rule has a head and a body; matches whose body is too short are dropped after they were
 found, so their text is used up all the same.
 
-Defined results: null text counts as empty (no spans); very long texts take one pass and no
-copy; repeated rows and null doc_ids each keep a row; an empty table gives an empty result;
+Defined results: null text counts as empty (no spans); very long texts take one pass, and a
+stretch where a rule could begin at every byte is kept as its two ends; repeated rows and null doc_ids each keep a row; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -85,23 +86,29 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, by start and then rule."""
-        table, hot, state = self.starts.table, self.starts.hot, self.starts.start
-        found = []
+        table, hot, state, tags = self.starts.table, self.starts.hot, self.starts.start, self.starts.tags
+        # For each rule the stretches of bytes (first, last, counted from the end) where a match could begin.
+        runs = [array("q") for _ in self.rules]
         for back, byte in enumerate(reversed(data), 1):
             state = table[state + byte]
             if state >= hot:
-                found.append((back, state))
-        if not found:
-            return []
-        out, passed, size = [], [0] * len(self.rules), len(data)
-        for back, state in reversed(found):
-            start = size - back
-            for rule in self.starts.tags[state >> 8]:
-                if start < passed[rule]:
-                    continue
-                end = passed[rule] = automaton.longest(self.ends[rule], data, start)
-                if end - automaton.longest(self.heads[rule], data, start) >= self.rules[rule].least:
-                    out.append((start, rule, end))
+                for rule in tags[state >> 8]:
+                    run = runs[rule]
+                    if run and run[-1] == back - 1:
+                        run[-1] = back
+                    else:
+                        run.append(back)
+                        run.append(back)
+        out, size = [], len(data)
+        for rule, run in enumerate(runs):
+            passed = 0
+            for k in range(len(run) - 2, -1, -2):
+                start, last = max(size - run[k + 1], passed), size - run[k]
+                while start <= last:
+                    end = passed = automaton.longest(self.ends[rule], data, start)
+                    if end - automaton.longest(self.heads[rule], data, start) >= self.rules[rule].least:
+                        out.append((start, rule, end))
+                    start = max(end, start + 1)
         return sorted(out)
 
 

@@ -1,4 +1,8 @@
+import zlib
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logweave.llm import quality, secrets, simhash
@@ -70,6 +74,7 @@ def test_run_packs_every_kept_document(spark, stages):
     for r in pieces:
         filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
     assert max(filled.values()) <= 2048
+    assert all(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in pieces)
 
 
 def test_empty_table(spark):
@@ -77,3 +82,22 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialise(stage(spark, docs, SF), "test")
     assert docs.collect() == []
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark):
+    """Hard rows pass every stage; columns named like those the stages make stay as they are."""
+    read = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    first = read.where("text is not null").first()
+    long_ = " ".join(f"{w} of the number {i} in the row." for i, w in enumerate(first.text.split() * 200))
+    hard = [first.asDict() | {"doc_id": i, "text": t} for i, t in
+            ((None, first.text), (900001, None), (900002, ""), (900003, "  "), (900004, long_), (900004, long_))]
+    docs = read.unionByName(spark.createDataFrame([tuple(h[c] for c in read.columns) for h in hard], read.schema))
+    for name in ("component_id", "q_row", "kept", "found", "ids", "spread", "deal", "lang_pred"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialise(stage(spark, docs, SF), "test")
+        assert name == "packing" or out.columns == docs.columns
+        docs = out
+    # Null, empty and blank texts go at the first stage, the repeated long text once at the third.
+    rows = [r for r in docs.select("doc_id", "piece", "length").collect() if r.doc_id is not None and r.doc_id > 900000]
+    assert {r.doc_id for r in rows} == {900004} and len({r.piece for r in rows}) == len(rows) > 1

@@ -131,3 +131,17 @@ def test_no_part_of_a_private_key_is_left(spark, key):
 def test_private_key_spans_as_regular_expressions(rest):
     text = "-----BEGIN PRIVATE KEY-----" + rest
     assert secrets.code_points(text.encode(), secrets.scanner().spans(text.encode())) == brute(text)
+
+
+def test_long_stretches_take_little_memory():
+    import tracemalloc
+
+    data = b"start " + b"0123456789abcdef" * 20000 + b" token = " + b"Zz9" * 20000 + b" end"
+    scan = secrets.scanner()
+    tracemalloc.start()
+    spans = scan.spans(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hexes = [(s, e) for s, r, e in spans if secrets.RULES[r].name == "hex"]
+    assert hexes == [(6, 6 + 320000)] and any(secrets.RULES[r].name == "assign" for _, r, _ in spans)
+    assert peak < 2 * len(data)
