@@ -8,7 +8,8 @@ for the last, which returns the packed pieces.
 2. language: documents without a letter, or whose best language has a score below 0.4, go.
 3. near_duplicates: of each SimHash group the document with the smallest doc_id stays.
 4. secrets: every document stays; secrets in its text are replaced by their kind.
-5. packing: what is left is tokenised and packed into sequences of at most 2,048 ids.
+5. packing: what is left is tokenised and packed into sequences of at most 2,048 ids; the ids
+   stay with their pieces, and ``packing.sequences`` joins them.
 
 Null texts fail the first stage; repeated rows leave at the third; empty tables pass through.
 """
@@ -42,7 +43,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
