@@ -1,15 +1,15 @@
 """HDBSCAN (C1): Campello, Moulavi, Sander (PAKDD 2013); McInnes, Healy (ICDMW 2017).
 
 Distributed plan
-1. Core distances: exact Euclidean k-NN by blocks (cogroup of vector block x vector block,
-   numpy per cell, top-k per point merged per point).  core(p) = distance to the
-   ``min_samples``-th nearest point counting p itself (the usual library convention).
-2. Minimum spanning tree of the mutual-reachability graph, exactly, by Boruvka rounds: every
-   round each cell computes, per point, the lightest edge to a point of another component
-   (mrd = max(core_a, core_b, d(a, b)), ties by (weight, min id, max id)); a grouped minimum
-   per component selects the component's edge; components merge by pointer jumping over the
-   chosen edges (joins only).  At most ceil(log2 n) rounds; each round's state is cut with
-   ``checkpoint()`` in the shared checkpoint dir.  No candidate cap: every pair is examined.
+1. Core distances: exact Euclidean k-NN by cells (unordered pairs of blocks of points, numpy per
+   cell, top-k per point merged per point).  core(p) = distance to the ``min_samples``-th nearest
+   point counting p itself (the usual library convention).
+2. Minimum spanning tree of the mutual-reachability graph (mrd = max(core_a, core_b, d(a, b)),
+   ties by (weight, min id, max id)), exactly: each cell gives the spanning forest of its own
+   pairs.  What a cell drops is the largest edge of a cycle, so the cells' forests together hold
+   the whole tree; all pairs are looked at once.  Boruvka rounds over those edges choose it: a
+   grouped minimum per component, components merged by pointer jumping (joins only), each round's
+   remaining edges cut with ``checkpoint()`` in the shared checkpoint dir.  No candidate cap.
 3. Condensed tree and excess-of-mass selection from the n-1 MST edges (24 bytes each) in one
    grouped ``applyInPandas`` — the single-linkage hierarchy is inherently sequential.  This is
    the one step that sees all edges of a clustering run in one task.
@@ -27,75 +27,176 @@ from pyspark.sql import functions as F
 from .vectors import valid_vectors
 
 NOISE = -1
+#: Rows and columns of a matrix of distances held at a time; points of a block at most and at least.
+TILE, BLOCK_MOST, BLOCK_LEAST = 2048, 8192, 1024
 
 
-def _blocks(v: DataFrame, vb: int) -> tuple[DataFrame, DataFrame]:
-    """Left/right replicas for all (i, j) block cells."""
-    b = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(vb)))
-    left = b.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(vb - 1).cast("bigint")))) \
-        .select(F.col("blk").alias("lb"), F.col("other").alias("rb"), *[c for c in b.columns if c != "blk"])
-    right = b.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(vb - 1).cast("bigint")))) \
-        .select(F.col("other").alias("lb"), F.col("blk").alias("rb"), *[c for c in b.columns if c != "blk"])
-    return left, right
+def _cells(v: DataFrame, vb: int) -> DataFrame:
+    """Every unordered pair of blocks as one cell; a point comes once in each of its ``vb`` cells."""
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.lit(vb - 1).cast("bigint"))
+    return v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(vb))).withColumn("other", F.explode(blocks)) \
+        .withColumn("lb", F.least("blk", "other")).withColumn("rb", F.greatest("blk", "other")).drop("other") \
+        .repartition(vb * (vb + 1) // 2, "lb", "rb")
 
 
-def _dist(A: np.ndarray, B: np.ndarray, rows: int = 1 << 22) -> np.ndarray:
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks of a cell; twice the same for a block with itself."""
+    lb, rb = pdf["lb"].iloc[0], pdf["rb"].iloc[0]
+    left = pdf[pdf["blk"] == lb]
+    return left, left if lb == rb else pdf[pdf["blk"] == rb]
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.empty((0, 1))
+
+
+def _dist(A: np.ndarray, B: np.ndarray, cached: int = 1 << 15) -> np.ndarray:
     """Distances from the differences themselves: equal points are 0 apart and a pair's distance
-    is the same from both sides, to the last bit."""
+    is the same from both sides, to the last bit.  ``cached`` differences are held at a time."""
     out = np.empty((len(A), len(B)))
-    step = max(1, rows // max(1, B.size))
+    step = max(1, cached // max(1, A.shape[1]))
+    for at in range(0, len(B), step):
+        part = B[at:at + step]
+        gap = np.empty_like(part)
+        for i, a in enumerate(A):
+            np.subtract(a, part, out=gap)
+            np.multiply(gap, gap, out=gap)
+            np.add.reduce(gap, axis=1, out=out[i, at:at + step])
+    return np.sqrt(out, out=out)
+
+
+def _nearest(A: np.ndarray, B: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` smallest distances from each row of A to rows of B (fewer if B has fewer).
+
+    A matrix product tells which rows can be among them, its rounding allowed for; only their
+    distances are then taken from differences, the same bits as ``_dist`` gives.
+    """
+    k = min(k, len(B))
+    out = np.full((len(A), k), np.nan)
+    norm_a, norm_b = (A * A).sum(axis=1), (B * B).sum(axis=1)
+    slack = 1e-12 * (A.shape[1] + 8) * (norm_a + norm_b.max())
+    step = max(1, TILE * TILE // max(1, len(B)))
     for at in range(0, len(A), step):
-        gap = A[at:at + step, None, :] - B[None, :, :]
-        out[at:at + step] = np.sqrt((gap * gap).sum(axis=2))
+        a, room = A[at:at + step], slack[at:at + step, None]
+        rough = norm_a[at:at + step, None] + norm_b[None, :] - 2 * (a @ B.T)
+        bound = np.partition(rough, k - 1, axis=1)[:, k - 1:k] + 2 * room
+        if not np.isfinite(bound).all():
+            out[at:at + step] = np.sort(np.partition(_dist(a, B), k - 1, axis=1)[:, :k], axis=1)
+            continue
+        rows, cols = np.nonzero(rough <= bound)
+        d = np.empty(len(rows))
+        many = max(1, (1 << 20) // max(1, A.shape[1]))
+        for p in range(0, len(rows), many):
+            gap = a[rows[p:p + many]] - B[cols[p:p + many]]
+            d[p:p + many] = np.sqrt((gap * gap).sum(axis=1))
+        order = np.lexsort((d, rows))
+        first = np.searchsorted(rows, np.arange(len(a)))   # ``rows`` is sorted, and so is rows[order]
+        out[at:at + step] = d[order][first[:, None] + np.arange(k)]
     return out
 
 
 def _knn_cell(k: int):
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64")})
-        A = np.stack(a["v"].to_numpy()).astype(np.float64)
-        B = np.stack(b["v"].to_numpy()).astype(np.float64)
-        D = _dist(A, B)
-        kk = min(k, D.shape[1])
-        part = np.sort(np.partition(D, kk - 1, axis=1)[:, :kk], axis=1)
-        ids = np.repeat(a["id"].to_numpy(dtype=np.int64), kk)
-        return pd.DataFrame({"id": ids, "d": part.reshape(-1)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(pdf)
+        pairs = [(left, right)] if left is right else [(left, right), (right, left)]
+        ids, near = [np.empty(0, dtype=np.int64)], [np.empty(0)]
+        for a, b in pairs:
+            own = a[a["id"].notna()]       # a point without an id is a neighbour, but has no row
+            if len(own) and len(b):
+                d = _nearest(_matrix(own), _matrix(b), k)
+                ids.append(np.repeat(own["id"].to_numpy(dtype=np.int64), d.shape[1]))
+                near.append(d.reshape(-1))
+        return pd.DataFrame({"id": np.concatenate(ids), "d": np.concatenate(near)})
     return run
 
 
 def core_distances(v: DataFrame, min_samples: int, vb: int) -> DataFrame:
     """(id, core): distance to the min_samples-th nearest point, the point itself included."""
-    left, right = _blocks(v, vb)
-    cand = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")) \
-        .applyInPandas(_knn_cell(min_samples), "id bigint, d double")
+    cand = _cells(v, vb).groupBy("lb", "rb").applyInPandas(_knn_cell(min_samples), "id bigint, d double")
     w = Window.partitionBy("id").orderBy("d")
     return cand.withColumn("r", F.row_number().over(w)).filter(F.col("r") == min_samples) \
         .select("id", F.col("d").alias("core"))
 
 
+def _span(M: np.ndarray, ida: np.ndarray, idb: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest (w, lo, hi) of a tile by Prim, edges ordered by (w, lo, hi).
+
+    ``M`` weighs the pairs of the rows ``ida`` and the columns ``idb``; without ``idb``, those of
+    the rows among themselves.
+    """
+    ids = ida if idb is None else np.concatenate([ida, idb])
+    n, na = len(ids), len(ida)
+    across = None if idb is None else np.ascontiguousarray(M.T)
+    best, source, free = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    w, lo, hi = [], [], []
+    at = 0
+    for _ in range(n):
+        free[at] = False
+        best[at] = np.inf
+        if idb is None:
+            far, row = slice(0, n), M[at]
+        elif at < na:
+            far, row = slice(na, n), M[at]
+        else:
+            far, row = slice(0, na), across[at - na]
+        near = row < best[far]
+        same = (row == best[far]) & np.isfinite(row)
+        if same.any():                     # with one end given, the smaller other id is the smaller edge
+            near |= same & (ids[at] < ids[source[far]])
+        near &= free[far]
+        best[far][near] = row[near]
+        source[far][near] = at
+        least = best.min()
+        if not np.isfinite(least):         # nothing in reach: a new tree
+            at = int(free.argmax())
+            continue
+        ends = np.flatnonzero(best == least)
+        if len(ends) > 1:
+            one, two = ids[ends], ids[source[ends]]
+            ends = ends[np.lexsort((np.maximum(one, two), np.minimum(one, two)))]
+        at = int(ends[0])
+        one, two = ids[at], ids[source[at]]
+        w.append(least)
+        lo.append(min(one, two))
+        hi.append(max(one, two))
+    return np.asarray(w, dtype=np.float64), np.asarray(lo, dtype=np.int64), np.asarray(hi, dtype=np.int64)
+
+
+def _forest(w: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Positions of the edges in the minimum spanning forest by (w, lo, hi) (Kruskal)."""
+    ids, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    one, two = ends[:len(lo)].tolist(), ends[len(lo):].tolist()
+    up = list(range(len(ids)))
+    kept = []
+    for e in np.lexsort((hi, lo, w)).tolist():
+        a, b = one[e], two[e]
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            kept.append(e)
+    return np.asarray(kept, dtype=np.int64)
+
+
 def _edge_cell():
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"comp": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64"),
-                              "lo": pd.Series([], dtype="int64"), "hi": pd.Series([], dtype="int64")})
-        if len(a) == 0 or len(b) == 0:
-            return empty
-        A = np.stack(a["v"].to_numpy()).astype(np.float64)
-        B = np.stack(b["v"].to_numpy()).astype(np.float64)
-        M = np.maximum(_dist(A, B), np.maximum(a["core"].to_numpy()[:, None], b["core"].to_numpy()[None, :]))
-        ca, cb = a["comp"].to_numpy(dtype=np.int64), b["comp"].to_numpy(dtype=np.int64)
-        M[ca[:, None] == cb[None, :]] = np.inf
-        ia, ib = a["id"].to_numpy(dtype=np.int64), b["id"].to_numpy(dtype=np.int64)
-        lo = np.minimum(ia[:, None], ib[None, :])
-        hi = np.maximum(ia[:, None], ib[None, :])
-        # lexicographic minimum per row: weight, then lo, then hi
-        order = np.lexsort((hi, lo, M), axis=1)[:, 0]
-        r = np.arange(len(ia))
-        w = M[r, order]
-        keep = np.isfinite(w)
-        if not keep.any():
-            return empty
-        return pd.DataFrame({"comp": ca[keep], "w": w[keep], "lo": lo[r, order][keep], "hi": hi[r, order][keep]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(pdf)
+        A, core_a, ida = _matrix(left), left["core"].to_numpy(), left["id"].to_numpy(dtype=np.int64)
+        B, core_b, idb = _matrix(right), right["core"].to_numpy(), right["id"].to_numpy(dtype=np.int64)
+        found = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+        for i in range(0, len(A), TILE):
+            for j in range(i if left is right else 0, len(B), TILE):
+                r, c = slice(i, i + TILE), slice(j, j + TILE)
+                M = np.maximum(_dist(A[r], B[c]), np.maximum(core_a[r][:, None], core_b[c][None, :]))
+                M[~np.isfinite(M)] = np.inf
+                found.append(_span(M, ida[r], None if left is right and i == j else idb[c]))
+        w, lo, hi = (np.concatenate(x) for x in zip(*found))
+        apart = lo != hi                   # an id may come twice
+        w, lo, hi = w[apart], lo[apart], hi[apart]
+        keep = _forest(w, lo, hi)
+        return pd.DataFrame({"lo": lo[keep], "hi": hi[keep], "w": w[keep]})
     return run
 
 
@@ -124,32 +225,32 @@ def _resolve_parents(pairs: DataFrame) -> DataFrame:
 
 def mst_edges(v: DataFrame, core: DataFrame, vb: int, max_rounds: int | None = None) -> DataFrame:
     """Exact MST of the mutual-reachability graph: (lo, hi, w), n-1 rows."""
-    pts = v.join(core, "id").withColumn("comp", F.col("id")).checkpoint()
-    n = pts.count()
+    pts = v.join(core, "id")
+    # An edge that is no minimum in a cycle of one cell is none in the whole graph.
+    left = _cells(pts, vb).groupBy("lb", "rb").applyInPandas(_edge_cell(), "lo bigint, hi bigint, w double") \
+        .withColumn("c_lo", F.col("lo")).withColumn("c_hi", F.col("hi")).checkpoint()
+    n = v.select("id").distinct().count()
     edges = None
     rounds = max_rounds or (int(math.ceil(math.log2(max(n, 2)))) + 2)
     for _ in range(rounds):
-        left, right = _blocks(pts, vb)
-        cand = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")) \
-            .applyInPandas(_edge_cell(), "comp bigint, w double, lo bigint, hi bigint")
-        best = cand.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")) \
-            .select("comp", "e.w", "e.lo", "e.hi").checkpoint()
+        ends = left.select(F.explode(F.array(F.struct(F.col("c_lo").alias("comp"), F.col("c_hi").alias("target")),
+                                             F.struct(F.col("c_hi").alias("comp"), F.col("c_lo").alias("target")))).alias("x"),
+                           "w", "lo", "hi")
+        best = ends.groupBy("x.comp").agg(F.min(F.struct("w", "lo", "hi", "x.target")).alias("e")) \
+            .select("comp", "e.*").checkpoint()
         if best.limit(1).count() == 0:
             break
-        comp_of = pts.select("id", "comp")
-        best = best.join(comp_of.withColumnRenamed("id", "lo").withColumnRenamed("comp", "c_lo"), "lo") \
-            .join(comp_of.withColumnRenamed("id", "hi").withColumnRenamed("comp", "c_hi"), "hi") \
-            .withColumn("target", F.when(F.col("c_lo") == F.col("comp"), F.col("c_hi")).otherwise(F.col("c_lo")))
         new_edges = best.select("lo", "hi", "w").distinct()
-        edges = new_edges if edges is None else edges.unionByName(new_edges).distinct()
-        edges = edges.checkpoint()
+        edges = new_edges if edges is None else edges.unionByName(new_edges)
         roots = _resolve_parents(best.select("comp", "target"))
-        pts = pts.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root") \
-            .checkpoint()
-        if pts.select("comp").distinct().limit(2).count() <= 1:
-            break
+        # The lightest edge between two components is all that can be chosen of theirs.
+        left = left.join(roots.select(F.col("comp").alias("c_lo"), F.col("root").alias("r_lo")), "c_lo") \
+            .join(roots.select(F.col("comp").alias("c_hi"), F.col("root").alias("r_hi")), "c_hi") \
+            .where("r_lo <> r_hi") \
+            .groupBy(F.least("r_lo", "r_hi").alias("c_lo"), F.greatest("r_lo", "r_hi").alias("c_hi")) \
+            .agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("e.*", "c_lo", "c_hi").checkpoint()
     else:
-        if pts.select("comp").distinct().limit(2).count() > 1:
+        if left.limit(1).count():
             raise RuntimeError(f"the points are still in several components after {rounds} rounds")
     return edges if edges is not None else v.sparkSession.createDataFrame([], "lo bigint, hi bigint, w double")
 
@@ -295,9 +396,10 @@ def hdbscan(vec: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
         .checkpoint()
     if vb is None:
         d = len(v.select("v").first()[0]) if v.limit(1).count() else 1
-        # A block pair's matrix of doubles is what has to fit.
-        side = max(1, min(block_bytes // (8 * d), math.isqrt(block_bytes // 8)))
-        vb = max(1, math.ceil(v.count() / side))
+        # A block of doubles is what has to fit; few points still give every core some cells.
+        side = max(1, min(block_bytes // (8 * d), BLOCK_MOST))
+        n, cores = v.count(), vec.sparkSession.sparkContext.defaultParallelism
+        vb = max(1, math.ceil(n / side), min(math.ceil(n / BLOCK_LEAST), math.isqrt(8 * cores)))
     core = core_distances(v, min_samples, vb)
     edges = mst_edges(v, core, vb)
     ids = v.select("id")

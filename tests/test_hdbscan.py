@@ -47,3 +47,29 @@ def test_tiny_inputs_and_duplicates(spark):
         assert sorted((r.log_id, r.cluster_id) for r in H.hdbscan(df).collect()) == [(i, -1) for i in range(n)]
     a = np.random.default_rng(0).standard_normal((40, 6)) * 1e3
     assert (H._dist(a, a).diagonal() == 0).all() and (H._dist(a, a[::-1]) == H._dist(a[::-1], a).T).all()
+
+
+def test_cells_hold_every_pair_once_and_their_forests_the_tree(spark):
+    rng = np.random.default_rng(3)
+    X = np.round(rng.normal(0, 1, (60, 3)) * 2) / 2           # many equal distances
+    X[40:50] = X[0]
+    ids = rng.permutation(1000)[:60].astype(np.int64)
+    v = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, X)], "id long, v array<double>")
+    cells = [(r.id, r.blk, r.lb, r.rb) for r in H._cells(v, 4).select("id", "blk", "lb", "rb").collect()]
+    assert len(cells) == 60 * 4 and all(lb <= rb and blk in (lb, rb) for _, blk, lb, rb in cells)
+
+    D = H._dist(X, X)
+    core = np.sort(D, axis=1)[:, 2]
+    near = np.concatenate([H._nearest(X, X[:25], 3), H._nearest(X, X[25:], 3)], axis=1)
+    assert (np.sort(near, axis=1)[:, 2] == core).all()
+    M = np.maximum(D, np.maximum(core[:, None], core[None, :]))
+    i, j = np.triu_indices(60, 1)
+    w, lo, hi = M[i, j], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    want = {(w[e], lo[e], hi[e]) for e in H._forest(w, lo, hi)}
+    assert len(want) == 59 and set(zip(*H._span(M, ids, None))) == want
+    parts = [H._span(M[:25, :25], ids[:25], None), H._span(M[25:, 25:], ids[25:], None),
+             H._span(M[:25, 25:], ids[:25], ids[25:])]
+    w, lo, hi = (np.concatenate(x) for x in zip(*parts))
+    assert {(w[e], lo[e], hi[e]) for e in H._forest(w, lo, hi)} == want
+    got = H.mst_edges(v, H.core_distances(v, 3, 4), 4).collect()
+    assert {(r.w, r.lo, r.hi) for r in got} == want and len(got) == 59
