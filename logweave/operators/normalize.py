@@ -25,14 +25,16 @@ _IDX = {k: i for i, k in enumerate(PROBE_KEYS)}
 
 def _probe(v: Column) -> Column:
     """All field probes of a record, computed once: per key its JSON type, string value and
-    Python truthiness (the lambda variable keeps each probe from being re-evaluated)."""
-    raw = F.struct(
-        v.isNull().alias("isnull"),
-        F.coalesce(F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("null")))).startswith("OBJECT"),
-                   F.lit(False)).alias("obj"),
-        *[N.vtype(v, k).alias(f"t{i}") for i, k in enumerate(PROBE_KEYS)],
-        *[N.vget(v, k).alias(f"s{i}") for i, k in enumerate(PROBE_KEYS)],
-        v.alias("v"))
+    Python truthiness (lambda variables keep the record and each probe from being re-evaluated,
+    also where a filter on the reason is pushed below the projection that parses the record)."""
+    def probes(v):
+        return F.struct(
+            v.isNull().alias("isnull"),
+            F.coalesce(F.schema_of_variant(F.coalesce(v, F.parse_json(F.lit("null")))).startswith("OBJECT"),
+                       F.lit(False)).alias("obj"),
+            *[N.vtype(v, k).alias(f"t{i}") for i, k in enumerate(PROBE_KEYS)],
+            *[N.vget(v, k).alias(f"s{i}") for i, k in enumerate(PROBE_KEYS)],
+            v.alias("v"))
 
     def finish(r):
         cols = [r["obj"].alias("obj")]
@@ -62,7 +64,7 @@ def _probe(v: Column) -> Column:
                   .when(t["metadata"].isNotNull() & (t["metadata"] != "OBJECT"), F.lit("metadata_type"))
                   .when(~str_or_null("log_type"), F.lit("log_type_type")))
         return F.struct(*cols, reject.alias("reject"))
-    return let(raw, finish)
+    return let(let(v, probes), finish)
 
 
 def _t(k):
