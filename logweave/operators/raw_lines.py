@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions.pii import let
 from . import multiline as ML
 
 CONTAINER_ID_CHARS = 12  # fixed value
@@ -39,11 +40,14 @@ def source_key(record: Column) -> Column:
 
 def to_lines(records: DataFrame, value_col: str = "value", time_col: str = "arrival_ms", seq_col: str = "seq") -> DataFrame:
     """(src, arrival_ms, seq, line, value) of the records that have a line."""
+    def told(v: Column) -> Column:
+        return F.struct(source_key(v).alias("src"),
+                        ML.strip_line(N.first_message(v, N.ASSEMBLER_LINE_KEYS)).alias("line"))
+
+    # The generator keeps the condition on the line above it: a record is parsed and told once.
     parsed = records.select(F.col(time_col).alias("arrival_ms"), F.col(seq_col).alias("seq"), F.col(value_col).alias("value"),
-                            N.parse_record(value_col).alias("_v"))
-    told = parsed.select(source_key(F.col("_v")).alias("src"), "arrival_ms", "seq",
-                         ML.strip_line(N.first_message(F.col("_v"), N.ASSEMBLER_LINE_KEYS)).alias("line"), "value")
-    return told.where("line is not null and line <> ''")
+                            F.explode_outer(F.array(let(N.parse_record(value_col), told))).alias("_t"))
+    return parsed.select("_t.src", "arrival_ms", "seq", "_t.line", "value").where("line is not null and line <> ''")
 
 
 def _record(first: Column) -> Column:

@@ -54,3 +54,10 @@ def test_a_filter_on_the_reason_parses_a_record_no_more_often(spark, records):
     assert sorted((r.rec_id, r.reject_reason) for r in rejected.collect()) == \
         [(1, "level_type"), (2, "not_object"), (3, "invalid_json"), (4, "invalid_json")]
     assert _plan(spark, rejected).count("parseJson(value") <= 3
+
+
+def test_a_filter_on_the_line_parses_a_record_once(spark, records):
+    lines = RL.to_lines(records.withColumn("arrival_ms", F.col("rec_id") * 10), seq_col="rec_id")
+    assert sorted((r.seq, r.src, r.line, r.value) for r in lines.collect()) == \
+        [(0, "unknown:", "a", RECORDS[0]), (1, "unknown:", "b", RECORDS[1]), (5, "s:", "x", RECORDS[5])]
+    assert _plan(spark, lines).count("parseJson(value") == 1
