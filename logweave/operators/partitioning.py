@@ -13,3 +13,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def deal(df: DataFrame, share: int = 4) -> DataFrame:
+    """``df`` dealt evenly over ``share`` tasks a core, and over ``share`` a split where those are more.
+
+    Splits of a file may hold no row group or several; where a narrow row costs much more to work on
+    than to move, dealing keeps the longest task at its share of the rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(share * max(cores, df.rdd.getNumPartitions()))

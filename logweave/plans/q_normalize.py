@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators.normalize import normalize_records, split_rejected
-from ..operators.partitioning import spread
+from ..operators.partitioning import deal
 from ..sources.tables import Tables
 from . import duck as D
 from .registry import register
@@ -150,7 +150,7 @@ SELECT rec_id, reject_reason, NULL, NULL, NULL, NULL, NULL FROM r WHERE reject_r
 @register("N11", _N11_SQL, views=("raw_records",))
 def q_n11(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = normalize_records(spread(t.raw_records), as_of=AS_OF, id_cols=["rec_id"])
+    out = normalize_records(deal(t.raw_records), as_of=AS_OF, id_cols=["rec_id"])
     ok = F.col("reject_reason").isNull()
     return out.select("rec_id", "reject_reason",
                       *[F.when(ok, F.col(c)).alias(c) for c in
@@ -161,7 +161,7 @@ def q_n11(spark, sf_dir):
 def q_n11_rejects(spark, sf_dir):
     """Quarantine output of N11 (rows-only: the reasons are checked in N11 itself)."""
     t = Tables(spark, sf_dir)
-    _, rejected = split_rejected(normalize_records(t.raw_records, as_of=AS_OF, id_cols=["rec_id"]))
+    _, rejected = split_rejected(normalize_records(deal(t.raw_records), as_of=AS_OF, id_cols=["rec_id"]))
     return rejected.select("rec_id", "reject_reason", "raw_log")
 
 

@@ -61,3 +61,20 @@ def test_a_filter_on_the_line_parses_a_record_once(spark, records):
     assert sorted((r.seq, r.src, r.line, r.value) for r in lines.collect()) == \
         [(0, "unknown:", "a", RECORDS[0]), (1, "unknown:", "b", RECORDS[1]), (5, "s:", "x", RECORDS[5])]
     assert _plan(spark, lines).count("parseJson(value") == 1
+
+
+def test_entity_rows_redact_a_text_once(spark, folder):
+    out = q_pii.q_p7(spark, folder)
+    once = _plan(spark, P.redact_frame(spark.range(1).select(F.col("id").cast("string").alias("text")), "text")
+                 .select("pii_entities")).count("[CLOUD_HOST]")
+    assert _plan(spark, out).count("[CLOUD_HOST]") == once
+    assert {r.entity_type for r in out.select("entity_type").distinct().collect()} <= \
+        {"IP_ADDRESS", "UUID", "CLOUD_HOST", "EMAIL_ADDRESS", "CREDIT_CARD"}
+
+
+def test_rows_of_one_row_group_are_dealt_over_all_tasks(spark, folder):
+    cores = spark.sparkContext.defaultParallelism
+    for query in (q_normalize.q_n11, q_normalize.q_n11_rejects, q_pii.q_p7):
+        assert query(spark, folder).rdd.getNumPartitions() >= 4 * cores
+    sizes = [len(x) for x in deal(spark.read.parquet(f"{folder}/events.parquet")).rdd.glom().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / len(sizes)
