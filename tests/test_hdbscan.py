@@ -73,3 +73,55 @@ def test_cells_hold_every_pair_once_and_their_forests_the_tree(spark):
     assert {(w[e], lo[e], hi[e]) for e in H._forest(w, lo, hi)} == want
     got = H.mst_edges(v, H.core_distances(v, 3, 4), 4).collect()
     assert {(r.w, r.lo, r.hi) for r in got} == want and len(got) == 59
+
+
+def test_close_looks_at_few_pairs_exactly_and_finds_the_nearest(monkeypatch):
+    rng = np.random.default_rng(7)
+    X = rng.normal(0, 1, (3000, 16))
+    X[100:140] = np.round(X[100:140])                         # equal distances
+    X[200:230] = X[200:230] * 1e-4 + 3                        # close together, far from zero
+    A, B = X[:1300], X[1300:]
+    seen, gaps = [], H._gaps
+    monkeypatch.setattr(H, "_gaps", lambda a, b, i, j: seen.append(len(i)) or gaps(a, b, i, j))
+    D = H._dist(A, B)
+    (i, j, d), (q, p, e) = H._close(A, B, H._bound(A, B, 4), H._bound(B, A, 4), 4)
+    assert (d == D[i, j]).all() and (e == D[p, q]).all()
+    assert (d.reshape(-1, 4) == np.sort(D, axis=1)[:, :4]).all() and (i.reshape(-1, 4) == np.arange(1300)[:, None]).all()
+    assert (e.reshape(-1, 4) == np.sort(D.T, axis=1)[:, :4]).all() and (q.reshape(-1, 4) == np.arange(1700)[:, None]).all()
+    assert sum(seen) < D.size / 10
+    far = np.full(1300, np.inf)                               # without a bound, and beyond what squares can hold
+    (i, j, d), _ = H._close(A, A, far, far, 4)
+    assert (d.reshape(-1, 4) == np.sort(H._dist(A, A), axis=1)[:, 1:5]).all() and (i != j).all()
+    big = A[:40] * 1e160
+    with np.errstate(over="ignore", invalid="ignore"):
+        assert not len(H._close(big, big, far[:40], far[:40], 4)[0][0])
+
+
+def test_tree_from_neighbours_is_the_tree_of_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    X = np.vstack([rng.normal(0, .02, (40, 3)) + c for c in rng.normal(0, 3, (4, 3))])   # clusters wider than a list
+    X = np.vstack([X, np.round(rng.normal(0, 1, (50, 3))), np.full((9, 3), 2.0), np.full((2, 3), -4.0)])
+    ids = [int(x) for x in rng.permutation(1000)[:len(X)]]
+    rows = [(i, [float(x) for x in r]) for i, r in zip(ids, X)]
+    rows += [(ids[3], [9.0, 9.0, 9.0]), (ids[170], [2.0, 2.0, 2.0]), (ids[5], rows[5][1])]        # ids that repeat
+    rows += [(None, rows[0][1]), (None, [9.0, 9.0, 9.1]), (2000, [float("nan"), 0.0, 1.0]), (2001, [None, 1.0, 2.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+
+    good = [(i, r) for i, r in rows if i not in (2000, 2001)]
+    P = np.array([r for _, r in good])
+    D = H._dist(P, P)
+    near = {}
+    for (i, _), d in zip(good, D):
+        near.setdefault(i, []).extend(d)
+    core = {i: sorted(d)[2] for i, d in near.items() if i is not None}
+    got = H.core_distances(v, 3, 3)
+    assert {r.id: r.core for r in got.collect()} == core
+    at = [n for n, (i, _) in enumerate(good) if i is not None]
+    own = np.array([good[n][0] for n in at])
+    c = np.array([core[i] for i in own])
+    M = np.maximum(D[np.ix_(at, at)], np.maximum(c[:, None], c[None, :]))
+    a, b = np.nonzero(own[:, None] < own[None, :])
+    w, lo, hi = M[a, b], own[a], own[b]
+    want = {(w[e], lo[e], hi[e]) for e in H._forest(w, lo, hi)}
+    assert len(want) == len(core) - 1
+    assert {(r.w, r.lo, r.hi) for r in H.mst_edges(v, got, 3, k=2).collect()} == want
