@@ -675,16 +675,15 @@ def condense_and_select(edges: pd.DataFrame, n_ids: np.ndarray, min_cluster_size
     cp, cc, cl, cs = (np.asarray(x) for x in (c_parent, c_child, c_lambda, c_size))
     if len(cp) == 0:
         return pd.DataFrame({"id": ids, "cluster_id": np.full(n, NOISE, dtype=np.int64)})
-    clusters = np.unique(cc[cc >= n].tolist() + [n])
+    clusters = np.unique(cc[cc >= n].tolist() + [n]).tolist()
+    cp, cc, cl, cs = (x.tolist() for x in (cp, cc, cl, cs))
     birth = {n: 0.0}
     for p_, c_, l_, s_ in zip(cp, cc, cl, cs):
         if c_ >= n:
             birth[c_] = l_
     stability = {c: 0.0 for c in clusters}
     for p_, c_, l_, s_ in zip(cp, cc, cl, cs):
-        lv = l_ if np.isfinite(l_) else 0.0
-        b = birth.get(p_, 0.0)
-        stability[p_] += (lv - b) * s_ if np.isfinite(l_) else 0.0
+        stability[p_] += (l_ - birth.get(p_, 0.0)) * s_ if math.isfinite(l_) else 0.0
     children = {c: [] for c in clusters}
     csize = {n: n}
     for p_, c_, l_, s_ in zip(cp, cc, cl, cs):
@@ -704,23 +703,18 @@ def condense_and_select(edges: pd.DataFrame, n_ids: np.ndarray, min_cluster_size
             stability[c] = sub
         else:
             selected[c] = True
-            stack2 = list(kids)
-            while stack2:
-                k = stack2.pop()
-                selected[k] = False
-                stack2.extend(children[k])
-    chosen = sorted(c for c, s in selected.items() if s)
-    label_of = {c: i for i, c in enumerate(chosen)}
     cparent = {c_: p_ for p_, c_ in zip(cp, cc) if c_ >= n}
+    # From the root down: a cluster below a selected one is part of that, at any depth.
+    chosen, label_at = 0, {}
+    for c in clusters:
+        label_at[c] = label_at[cparent[c]] if c in cparent else NOISE
+        if selected[c] and label_at[c] == NOISE:
+            label_at[c] = chosen
+            chosen += 1
     point_cluster = {c_: p_ for p_, c_ in zip(cp, cc) if c_ < n}
     labels = np.full(n, NOISE, dtype=np.int64)
-    for i in range(n):
-        c = point_cluster.get(i)
-        while c is not None:
-            if c in label_of:
-                labels[i] = label_of[c]
-                break
-            c = cparent.get(c)
+    for i, c in point_cluster.items():
+        labels[i] = label_at[c]
     return pd.DataFrame({"id": ids, "cluster_id": labels})
 
 

@@ -125,3 +125,13 @@ def test_tree_from_neighbours_is_the_tree_of_all_pairs(spark):
     want = {(w[e], lo[e], hi[e]) for e in H._forest(w, lo, hi)}
     assert len(want) == len(core) - 1
     assert {(r.w, r.lo, r.hi) for r in H.mst_edges(v, got, 3, k=2).collect()} == want
+
+
+def test_selection_in_a_deep_chain_of_clusters():
+    n = 5000                                                  # groups of five that join one after the other
+    at = np.arange(n - 1)
+    w = np.where(at % 5 == 4, 1.0 + at // 5, 0.5 + at % 5 * 0.01)
+    edges = H.pd.DataFrame({"lo": at, "hi": at + 1, "w": w})
+    labels = H.condense_and_select(edges, np.arange(n), 5)["cluster_id"].to_numpy()
+    assert (labels.reshape(-1, 5) == labels[::5, None]).all()
+    assert sorted(set(labels.tolist())) == list(range(n // 5))
